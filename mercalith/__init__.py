@@ -1 +1,6 @@
 """Merchant master-data preparation and compliance checks as Spark DataFrame plans."""
+
+from mercalith.plans.checker import Violations, check
+from mercalith.session import get_session
+
+__all__ = ["Violations", "check", "get_session"]

@@ -1,9 +1,11 @@
-"""Column helpers for the two normalisations and for defensive casts."""
+"""The two normalisations and the defensive casts, as Spark SQL text over a column name.
+
+SQL text keeps a plan with many derived columns cheap to put together and reads like the rules
+built from it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The Unicode space separators (category Zs), which count as blank when text
@@ -14,60 +16,68 @@ SPACES = "\u0020\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u20
 WHITESPACE = SPACES + "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u2028\u2029"
 
 
-def text(c: Column) -> Column:
-    return c.cast("string")
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(value: str) -> str:
+    """A SQL string literal of any text, every unusual character escaped."""
+    plain = [c.isascii() and c.isprintable() and c not in "'\\" for c in value]
+    return "'" + "".join(c if ok else f"\\u{ord(c):04x}" for c, ok in zip(value, plain)) + "'"
+
+
+def text(name: str) -> str:
+    return f"CAST({quoted(name)} AS STRING)"
 
 
-def trimmed(c: Column) -> Column:
-    value = text(c)
-    ascii_only = F.octet_length(value) == F.length(value)
-    return F.when(ascii_only, F.trim(value)).otherwise(F.trim(value, F.lit(SPACES)))
+def trimmed(name: str) -> str:
+    return trim(text(name))
 
 
-def norm_id(c: Column) -> Column:
+def trim(expression: str) -> str:
+    return f"trim(BOTH {literal(SPACES)} FROM {expression})"
+
+
+def norm_id(name: str) -> str:
     """Formal identifier: upper case, inner and outer spaces removed."""
-    return F.upper(F.replace(text(c), F.lit(" "), F.lit("")))
+    return f"upper(replace({text(name)}, ' ', ''))"
 
 
-def norm_text(c: Column) -> Column:
+def norm_text(name: str) -> str:
     """Free text as a grouping key: trimmed, upper case."""
-    return F.upper(trimmed(c))
+    return f"upper({trimmed(name)})"
 
 
-def fold(c: Column) -> Column:
+def fold(name: str) -> str:
     """Free text for comparison: trimmed, lower case."""
-    return F.lower(trimmed(c))
-
-
-def filled(c: Column) -> Column:
-    """True where the value is neither NULL nor blank; never NULL."""
-    return c.isNotNull() & (F.coalesce(trimmed(c), F.lit("")) != "")
+    return f"lower({trimmed(name)})"
 
 
-def is_whitespace(c: Column) -> Column:
-    return F.ltrim(text(c), F.lit(WHITESPACE)) == ""
+def is_whitespace(expression: str) -> str:
+    return f"ltrim({literal(WHITESPACE)}, {expression}) = ''"
 
 
-def whole_number(c: Column, data_type: T.DataType) -> Column:
+def whole_number(name: str, data_type: T.DataType) -> str:
     """Value as BIGINT, NULL if it is no number.
 
     Text rounds half away from zero ('12.5' is 13), floating point half to even.
     """
+    column = quoted(name)
     if isinstance(data_type, T.IntegralType):
-        return c.cast("bigint")
-    if isinstance(data_type, T.FractionalType) and not isinstance(data_type, T.DecimalType):
-        return F.bround(c).try_cast("bigint")
-    as_decimal = c.try_cast(T.DecimalType(38, 9))
-    return F.round(as_decimal, 0).try_cast("bigint")
+        return f"CAST({column} AS BIGINT)"
+    if isinstance(data_type, (T.DoubleType, T.FloatType)):
+        return f"try_cast(bround({column}) AS BIGINT)"
+    return f"try_cast(round(try_cast({column} AS DECIMAL(38,9)), 0) AS BIGINT)"
 
 
-def single_repeated_char(c: Column) -> Column:
+def single_repeated_char(expression: str) -> str:
     """True for text of at least two characters that are all the same."""
-    size = F.length(c)
-    first = F.substring(c, 1, 1)
-    return (size > 1) & (F.replace(c, first, F.lit("")) == "")
+    return (
+        f"(length({expression}) > 1 AND "
+        f"replace({expression}, substring({expression}, 1, 1), '') = '')"
+    )
 
 
-def no_alphanumeric(c: Column) -> Column:
+def no_alphanumeric(expression: str) -> str:
     """True for non-empty text without one ASCII letter or digit."""
-    return c.rlike("^[^a-zA-Z0-9]+$")
+    return f"{expression} RLIKE '^[^a-zA-Z0-9]+$'"

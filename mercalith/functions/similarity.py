@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,21 +107,21 @@ def jaro_winkler(left: pa.Array, right: pa.Array) -> pa.Array:
     return score_pairs(left, right)
 
 
-def may_exceed(a: Column, b: Column, threshold: float) -> Column:
+def may_exceed(a: str, b: str, threshold: float) -> str:
     """False only for pairs whose similarity provably is not above `threshold`.
 
     At most as many bytes match as the shorter text has, so Jaro is at most (2 + short/long)/3;
     the prefix boost is zero when the first bytes differ.
     """
-    la, lb = F.octet_length(a), F.octet_length(b)
-    no_prefix = (F.ascii(a) != F.ascii(b)) & (F.least(F.ascii(a), F.ascii(b)) < 128)
     full_boost = PREFIX_WEIGHT * PREFIX_LENGTH
     boosted = (threshold - full_boost) / (1 - full_boost)
     slack = 1e-9
-    shortest = F.when(no_prefix, F.lit(3 * threshold - 2 - slack)).otherwise(
-        F.lit(3 * boosted - 2 - slack)
+    no_prefix = f"(ascii({a}) <> ascii({b}) AND least(ascii({a}), ascii({b})) < 128)"
+    la, lb = f"octet_length({a})", f"octet_length({b})"
+    return (
+        f"(least({la}, {lb}) > greatest({la}, {lb}) * CASE WHEN {no_prefix} "
+        f"THEN {3 * threshold - 2 - slack}D ELSE {3 * boosted - 2 - slack}D END)"
     )
-    return (la > 0) & (lb > 0) & (F.least(la, lb) > shortest * F.greatest(la, lb))
 
 
 def register_sql_functions(spark: SparkSession) -> None:

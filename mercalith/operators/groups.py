@@ -8,8 +8,7 @@ into a broadcast by measured size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 HOT_ROWS = 1_000_000
 # Bounds of the broadcast list of hot keys; keys beyond them take the ordinary join.
@@ -17,65 +16,51 @@ HOT_KEYS = 4_096
 HOT_KEY_BYTES = 1_024
 
 
-def _width(keys: list[str]) -> Column:
-    total = F.lit(0)
-    for key in keys:
-        total = total + F.coalesce(F.octet_length(F.col(key).cast("string")), F.lit(0))
-    return total
-
-
-def _same(left: DataFrame, right: DataFrame, keys: list[str], null_safe: bool) -> Column:
-    condition = None
-    for key in keys:
-        pair = left[key].eqNullSafe(right[key]) if null_safe else left[key] == right[key]
-        condition = pair if condition is None else condition & pair
-    return condition
-
-
 def join_groups(
     rows: DataFrame,
     groups: DataFrame,
-    keys: list[str],
-    how: str = "left_semi",
+    keys: tuple[str, ...],
+    how: str = "LEFT SEMI",
+    carry: tuple[str, ...] = (),
     *,
     weight: str = "n",
     spread_on: str = "row_id",
     null_safe: bool = False,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Join `rows` to `groups` (unique on `keys`) by `how` in left_semi, left or inner.
+    """Join `rows` to `groups` (unique on the string columns `keys`) by `how`.
 
-    `groups[weight]` is the number of rows of the key; it steers the spreading only and is
-    dropped.  Result: the columns of `rows`, then for left/inner the other columns of `groups`.
+    `groups[weight]` is the number of rows of the key and only steers the spreading.  Result:
+    the columns of `rows` and, unless `how` is LEFT SEMI, the `carry` columns of `groups`.
     """
-    carried = [c for c in groups.columns if c not in (*keys, weight)]
-    parts = F.ceil(F.col(weight) / F.lit(hot_rows)).cast("int")
-    hot = (
-        groups.where((F.col(weight) > hot_rows) & (_width(keys) <= HOT_KEY_BYTES))
-        .orderBy(F.desc(weight), *keys)
-        .limit(HOT_KEYS)
-        .select(*[F.col(k).alias(f"_h_{k}") for k in keys], parts.alias("_parts"))
-    )
-    on_hot = None
-    for key in keys:
-        pair = (
-            F.col(key).eqNullSafe(F.col(f"_h_{key}"))
-            if null_safe
-            else F.col(key) == F.col(f"_h_{key}")
+    same = "<=>" if null_safe else "="
+
+    def match(other: str) -> str:
+        return " AND ".join(f"r.{k} {same} {other}.{k}" for k in keys)
+
+    names = ", ".join(keys)
+    width = " + ".join(f"coalesce(octet_length({k}), 0)" for k in keys)
+    parts = f"CAST(ceil({weight} / {hot_rows}) AS INT)"
+    carried = "".join(f", g.{c}" for c in carry)
+    return rows.sparkSession.sql(
+        f"""
+        WITH hot AS (
+          SELECT {names}, {parts} AS _parts
+          FROM {{groups}}
+          WHERE {weight} > {hot_rows} AND {width} <= {HOT_KEY_BYTES}
+          ORDER BY {weight} DESC, {names}
+          LIMIT {HOT_KEYS}
+        ), salted AS (
+          SELECT /*+ BROADCAST(h) */ r.*,
+                 coalesce(CAST(pmod(xxhash64(r.{spread_on}), h._parts) AS INT), 0) AS _salt
+          FROM {{rows}} r LEFT JOIN hot h ON {match("h")}
+        ), copies AS (
+          SELECT *, explode(sequence(0, greatest({parts}, 1) - 1)) AS _salt
+          FROM {{groups}}
         )
-        on_hot = pair if on_hot is None else on_hot & pair
-    salt = F.when(
-        F.col("_parts").isNotNull(),
-        F.pmod(F.xxhash64(spread_on), F.col("_parts").cast("bigint")).cast("int"),
-    ).otherwise(F.lit(0))
-    spread = rows.join(F.broadcast(hot), on_hot, "left").select(*rows.columns, salt.alias("_salt"))
-    split = groups.select(
-        *keys,
-        *carried,
-        F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)).alias("_salt"),
+        SELECT r.* EXCEPT (_salt){carried}
+        FROM salted r {how} JOIN copies g ON {match("g")} AND r._salt = g._salt
+        """,
+        rows=rows,
+        groups=groups,
     )
-    on = _same(spread, split, keys, null_safe) & (spread["_salt"] == split["_salt"])
-    joined = spread.join(split, on, how)
-    if how == "left_semi":
-        return joined.select(*rows.columns)
-    return joined.select(*[spread[c] for c in rows.columns], *[split[c] for c in carried])

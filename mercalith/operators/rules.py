@@ -1,10 +1,10 @@
 """The thirteen built-in rules.
 
-Row rules are boolean `Column`s over one target row.  Group rules are declared as keys, a row
-filter and the values compared inside a group; one shared plan evaluates them:
+Row rules are predicates over one target row.  Group rules are declared as keys, a row filter
+and the values compared inside a group; one shared plan evaluates them:
 
-    groups = rows -> groupBy(keys).agg(count, min, max of each value)   map-side combine
-    hits   = rows LEFT SEMI groups                                      one narrow shuffle
+    groups = rows -> GROUP BY keys: count, min and max of each value    map-side combine
+    hits   = rows LEFT SEMI JOIN groups                                 one narrow shuffle
 
 "More than one distinct value" is min <> max, so no distinct aggregate is needed, and a group
 of any size is reduced before it is shuffled.
@@ -12,10 +12,9 @@ of any size is reduced before it is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercalith.functions.normalize import (
@@ -23,7 +22,10 @@ from mercalith.functions.normalize import (
     no_alphanumeric,
     norm_id,
     norm_text,
+    quoted,
     single_repeated_char,
+    text,
+    trim,
     trimmed,
     whole_number,
 )
@@ -32,131 +34,82 @@ from mercalith.operators.groups import HOT_ROWS, join_groups
 
 # Fixed values used by the rules.
 SIMILARITY_ABOVE = 0.85
+NAME_FIELDS = ("DBAName", "LegalName", "BASEIIName")
 STREET_NOISE = r"[0-9,.\-#]"
 STREET_MARKERS = ("%p.o.%", "%po box%", "%p o box%", "%test%address%")
 STREET_JUNK = ("xxx", "xxxx", "xxxxx", "na", "n/a", "none", "null", "tbd", ".")
 CITY_JUNK = ("na", "n/a", "none", "null", "tbd", ".")
 TAX_ID_JUNK = ("0", "00", "000", "NA", "N/A", "NONE", "NULL", "TBD")
-STREET_MIN, CITY_MIN, CAID_MIN, CAID_MAX, TAX_ID_MIN = 5, 2, 3, 15, 3
-NAME_FIELDS = ("DBAName", "LegalName", "BASEIIName")
-
 
-def _any(*conditions: Column) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
-
-
-def _yes(condition: Column) -> Column:
-    """Unknown counts as no, as in a WHERE clause."""
-    return F.coalesce(condition, F.lit(False))
+# Normalised forms the row rules refer to: t_ trimmed, f_ trimmed and lower case, i_ number.
+_TEXT = (
+    "AcquirerName AggregatorName BASEIIName BusinessRegistrationID CAID City DBAName LegalName "
+    "Street"
+).split()
+_IDS = ("ProcessorBINCIB", "AcquirerBID", "AcquirerBIN")
+
+
+def _junk(words: tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+def _unlike(markers: tuple[str, ...]) -> str:
+    return " OR ".join(f"f_Street LIKE '{m}'" for m in markers)
+
+
+ROW_RULES: dict[str, str] = {
+    # street repeats the city, or does so once digits and punctuation are taken out
+    "V2": """
+        f_Street = f_City
+        OR (length(t_City) > 3 AND length(bare_street) > 3 AND lower(bare_street) = f_City)""",
+    "V4": f"""
+        {_unlike(STREET_MARKERS)}
+        OR length(t_Street) < 5 OR {single_repeated_char("t_Street")}
+        OR f_Street IN {_junk(STREET_JUNK)}
+        OR f_City IN {_junk(CITY_JUNK)} OR length(t_City) < 2""",
+    "V5": """
+        t_AggregatorName <> '' AND (
+          coalesce(t_BASEIIName, '') = ''
+          OR f_BASEIIName = f_AcquirerName
+          OR f_BASEIIName = f_DBAName
+          OR f_BASEIIName = f_LegalName)""",
+    "V6": """
+        (i_ProcessorBINCIB <> 0 AND i_ProcessorBINCIB IN (i_AcquirerBID, i_AcquirerBIN))
+        OR (i_AcquirerBID <> 0 AND i_AcquirerBID = i_AcquirerBIN)""",
+    "V7": f"""
+        t_CAID IS NULL OR length(t_CAID) NOT BETWEEN 3 AND 15 OR {no_alphanumeric("t_CAID")}""",
+    "V9": f"""
+        t_BusinessRegistrationID <> '' AND (
+          length(t_BusinessRegistrationID) < 3
+          OR upper(t_BusinessRegistrationID) IN {_junk(TAX_ID_JUNK)}
+          OR {no_alphanumeric("t_BusinessRegistrationID")}
+          OR {single_repeated_char("t_BusinessRegistrationID")})""",
+    "V12": "t_BASEIIName <> '' AND f_BASEIIName IN (f_DBAName, f_LegalName)",
+}
 
 
-class Fields:
-    """The normalised forms the row rules look at, each computed once per row.
+def row_rule_hits(df: DataFrame, rule_ids: list[str], keep: list[str]) -> DataFrame:
+    """`keep` columns plus `rule_id` for all given row rules, in one scan and no shuffle.
 
-    `attach` adds them as columns, so an expression used by several rules is one projection
-    instead of many copies.
+    Each normalised form is one projected column shared by all rules; a row is emitted once
+    per rule it breaks.
     """
-
-    TEXT = (
-        "AcquirerName AggregatorName BASEIIName BusinessRegistrationID CAID City DBAName "
-        "LegalName Street"
-    ).split()
-    IDS = ("ProcessorBINCIB", "AcquirerBID", "AcquirerBIN")
-
-    @classmethod
-    def attach(cls, df: DataFrame, keep: list[str]) -> DataFrame:
-        stripped = F.regexp_replace(df["Street"].cast("string"), STREET_NOISE, "")
-        once = df.select(
-            *keep,
-            *[trimmed(df[c]).alias(f"_t_{c}") for c in cls.TEXT],
-            *[whole_number(df[c], df.schema[c].dataType).alias(f"_i_{c}") for c in cls.IDS],
-            trimmed(stripped).alias("_street_bare"),
-        )
-        return once.select("*", *[F.lower(f"_t_{c}").alias(f"_f_{c}") for c in cls.TEXT])
-
-    @staticmethod
-    def trimmed(name: str) -> Column:
-        return F.col(f"_t_{name}")
-
-    @staticmethod
-    def folded(name: str) -> Column:
-        return F.col(f"_f_{name}")
-
-    @staticmethod
-    def filled(name: str) -> Column:
-        return F.coalesce(F.col(f"_t_{name}") != "", F.lit(False))
-
-
-def street_equals_city() -> Column:
-    street, city, bare = Fields.folded("Street"), Fields.folded("City"), F.col("_street_bare")
-    same_without_noise = (F.length(city) > 3) & (F.length(bare) > 3) & (F.lower(bare) == city)
-    return (street == city) | same_without_noise
-
-
-def invalid_address() -> Column:
-    street, city = Fields.folded("Street"), Fields.folded("City")
-    return _any(
-        *[street.like(marker) for marker in STREET_MARKERS],
-        F.length(street) < STREET_MIN,
-        single_repeated_char(Fields.trimmed("Street")),
-        street.isin(*STREET_JUNK),
-        city.isin(*CITY_JUNK),
-        F.length(city) < CITY_MIN,
-    )
-
-
-def invalid_baseii() -> Column:
-    baseii = Fields.folded("BASEIIName")
-    copies = [baseii == Fields.folded(c) for c in ("AcquirerName", "DBAName", "LegalName")]
-    return Fields.filled("AggregatorName") & _any(~Fields.filled("BASEIIName"), *copies)
-
-
-def ids_copied() -> Column:
-    cib, bid, acq_bin = (F.col(f"_i_{c}") for c in Fields.IDS)
-    pairs = ((cib, bid), (cib, acq_bin), (bid, acq_bin))
-    return _any(*[(a == b) & (a != 0) for a, b in pairs])
-
-
-def invalid_caid() -> Column:
-    caid = Fields.trimmed("CAID")
-    size = F.length(caid)
-    return _any(caid.isNull(), size < CAID_MIN, size > CAID_MAX, no_alphanumeric(caid))
-
-
-def invalid_tax_id() -> Column:
-    tax = Fields.trimmed("BusinessRegistrationID")
-    bad = _any(
-        F.length(tax) < TAX_ID_MIN,
-        F.upper(tax).isin(*TAX_ID_JUNK),
-        no_alphanumeric(tax),
-        single_repeated_char(tax),
-    )
-    return Fields.filled("BusinessRegistrationID") & bad
-
-
-def baseii_copied() -> Column:
-    baseii = Fields.folded("BASEIIName")
-    copied = (baseii == Fields.folded("DBAName")) | (baseii == Fields.folded("LegalName"))
-    return Fields.filled("BASEIIName") & copied
-
-
-ROW_RULES: dict[str, Callable[[], Column]] = {
-    "V2": street_equals_city,
-    "V4": invalid_address,
-    "V5": invalid_baseii,
-    "V6": ids_copied,
-    "V7": invalid_caid,
-    "V9": invalid_tax_id,
-    "V12": baseii_copied,
-}
+    kept = [quoted(c) for c in keep]
+    once = df.selectExpr(
+        *kept,
+        *[f"{trimmed(c)} AS t_{c}" for c in _TEXT],
+        *[f"{whole_number(c, df.schema[c].dataType)} AS i_{c}" for c in _IDS],
+        trim(f"regexp_replace({text('Street')}, r'{STREET_NOISE}', '')") + " AS bare_street",
+    ).selectExpr("*", *[f"lower(t_{c}) AS f_{c}" for c in _TEXT])
+    fired = ", ".join(f"CASE WHEN {ROW_RULES[r]} THEN '{r}' END" for r in rule_ids)
+    hits = once.selectExpr(*kept, f"explode(array({fired})) AS rule_id")
+    return hits.where("rule_id IS NOT NULL")
 
 
 @dataclass(frozen=True)
 class GroupRule:
-    """`keys` and `values` name normalised columns; `verdict` looks at the group's aggregates."""
+    """Rows agree on `keys`; the group is wrong if the `values` differ (or, with `differ`
+    false, if more than one row shares the only value).  `nonempty` filters the rows."""
 
     keys: tuple[str, ...]
     values: tuple[str, ...]
@@ -164,61 +117,58 @@ class GroupRule:
     differ: bool = True
 
 
-def _address_line(df: DataFrame) -> Column:
-    parts = [norm_text(df[c]) for c in ("Street", "City", "PostalCode")]
-    return F.concat(parts[0], F.lit("|"), parts[1], F.lit("|"), parts[2])
-
-
 # Normalised columns a group rule may refer to.
-GROUP_COLUMNS: dict[str, Callable[[DataFrame], Column]] = {
-    "_mid": lambda df: norm_id(df["AcquirerMerchantID"]),
-    "_caid": lambda df: norm_id(df["CAID"]),
-    "_dba": lambda df: norm_text(df["DBAName"]),
-    "_legal": lambda df: norm_text(df["LegalName"]),
-    "_street": lambda df: norm_text(df["Street"]),
-    "_city": lambda df: norm_text(df["City"]),
-    "_postal": lambda df: norm_text(df["PostalCode"]),
-    "_address": _address_line,
-    "_aggregator": lambda df: norm_text(df["AggregatorID"]),
-    "_tax": lambda df: norm_text(df["BusinessRegistrationID"]),
+GROUP_COLUMNS: dict[str, str] = {
+    "_mid": norm_id("AcquirerMerchantID"),
+    "_caid": norm_id("CAID"),
+    "_dba": norm_text("DBAName"),
+    "_legal": norm_text("LegalName"),
+    "_street": norm_text("Street"),
+    "_city": norm_text("City"),
+    "_postal": norm_text("PostalCode"),
+    # NULL as soon as one part is NULL, so such an address counts as none
+    "_address": " || '|' || ".join(norm_text(c) for c in ("Street", "City", "PostalCode")),
+    "_aggregator": norm_text("AggregatorID"),
+    "_tax": norm_text("BusinessRegistrationID"),
 }
 
 GROUP_RULES: dict[str, GroupRule] = {
     "V3": GroupRule(("_mid", "_caid", "_dba"), ("_address",), ("_caid",)),
-    "V8": GroupRule(
-        ("_street", "_city", "_postal"), ("_mid",), ("_street", "_city", "_postal")
-    ),
+    "V8": GroupRule(("_street", "_city", "_postal"), ("_mid",), ("_street", "_city", "_postal")),
     "V10": GroupRule(("_mid", "_caid"), ("_dba", "_legal"), ("_caid",)),
     "V11": GroupRule(("_caid",), ("_mid",), ("_caid",)),
     "V13": GroupRule(("_aggregator",), ("_tax",), ("_aggregator", "_tax"), differ=False),
 }
 
 
-def group_keys_used(rule_id: str) -> tuple[str, ...]:
-    rule = GROUP_RULES[rule_id]
-    return tuple(dict.fromkeys((*rule.keys, *rule.values)))
+def _columns(names: tuple[str, ...]) -> list[str]:
+    return [f"{GROUP_COLUMNS[n]} AS {n}" for n in names]
 
 
-def flagged_groups(df: DataFrame, rule_id: str) -> DataFrame:
-    """Keys of the groups that break the rule, with the number `n` of rows they hold.
+def _present(keys: tuple[str, ...], nonempty: tuple[str, ...]) -> str:
+    """A NULL key can match nothing later, so such rows leave before any shuffle."""
+    tests = [f"{k} IS NOT NULL" for k in keys if k not in nonempty]
+    return " AND ".join([*tests, *[f"{c} <> ''" for c in nonempty]])
 
-    A NULL key can match no row later, so such rows leave before the shuffle.
-    """
+
+def flagged_groups(df: DataFrame, rule_id: str) -> DataFrame:
+    """Keys of the groups that break the rule, with the number `n` of rows they hold."""
     rule = GROUP_RULES[rule_id]
-    narrow = df.select(*[GROUP_COLUMNS[c](df).alias(c) for c in group_keys_used(rule_id)])
-    for key in rule.keys:
-        narrow = narrow.where(F.col(key).isNotNull())
-    for name in rule.nonempty:
-        narrow = narrow.where(F.col(name) != "")
-    bounds = [f(v).alias(f"{v}{end}") for v in rule.values for f, end in ((F.min, "_lo"), (F.max, "_hi"))]
-    groups = narrow.groupBy(*rule.keys).agg(F.count(F.lit(1)).alias("n"), *bounds)
+    keys = ", ".join(rule.keys)
     if rule.differ:
-        broken = _any(*[F.col(f"{v}_lo") != F.col(f"{v}_hi") for v in rule.values])
+        broken = " OR ".join(f"min({v}) <> max({v})" for v in rule.values)
     else:
-        broken = (F.col("n") > 1)
-        for v in rule.values:
-            broken = broken & (F.col(f"{v}_lo") == F.col(f"{v}_hi"))
-    return groups.where(broken).select(*rule.keys, "n")
+        broken = " AND ".join(["count(*) > 1", *[f"min({v}) = max({v})" for v in rule.values]])
+    return df.sparkSession.sql(
+        f"""
+        SELECT {keys}, count(*) AS n
+        FROM (SELECT {", ".join(_columns(rule.keys + rule.values))} FROM {{df}})
+        WHERE {_present(rule.keys, rule.nonempty)}
+        GROUP BY {keys}
+        HAVING {broken}
+        """,
+        df=df,
+    )
 
 
 def rows_in_flagged_groups(
@@ -226,15 +176,13 @@ def rows_in_flagged_groups(
 ) -> DataFrame:
     """The `keep` columns of every row that belongs to a group breaking the rule."""
     rule = GROUP_RULES[rule_id]
-    keyed = df.select(*keep, *[GROUP_COLUMNS[k](df).alias(k) for k in rule.keys])
-    for key in rule.keys:
-        keyed = keyed.where(F.col(key).isNotNull())
-    # the same filter as on the group side, except where a rule returns rows it did not count
-    for name in rule.nonempty:
-        if name in rule.keys:
-            keyed = keyed.where(F.col(name) != "")
-    hits = join_groups(keyed, flagged_groups(df, rule_id), list(rule.keys), hot_rows=hot_rows)
-    return hits.select(*keep)
+    # rows are filtered by key only: a rule may return rows it did not count
+    on_keys = tuple(c for c in rule.nonempty if c in rule.keys)
+    keyed = df.selectExpr(*[quoted(c) for c in keep], *_columns(rule.keys)).where(
+        _present(rule.keys, on_keys)
+    )
+    hits = join_groups(keyed, flagged_groups(df, rule_id), rule.keys, hot_rows=hot_rows)
+    return hits.drop(*rule.keys)
 
 
 def acquirer_name_hits(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -244,52 +192,39 @@ def acquirer_name_hits(df: DataFrame, keep: list[str]) -> DataFrame:
     no earlier field is equal already and its length leaves a score above the threshold
     possible; otherwise NULL is passed, which costs next to nothing.
     """
-    acquirer = fold(df["AcquirerName"])
-    base = df.select(
-        *keep, acquirer.alias("_acq"), *[fold(df[c]).alias(f"_{c}") for c in NAME_FIELDS]
+    kept = [quoted(c) for c in keep]
+    names = df.selectExpr(
+        *kept, f"{fold('AcquirerName')} AS _acq", *[f"{fold(c)} AS _{c}" for c in NAME_FIELDS]
     )
-    equal = {c: _yes(F.col(f"_{c}") == F.col("_acq")) for c in NAME_FIELDS}
-    undecided, settled = {}, F.lit(False)
-    for c in NAME_FIELDS:
-        settled = settled | equal[c]
-        undecided[c] = ~settled & may_exceed(F.col(f"_{c}"), F.col("_acq"), SIMILARITY_ABOVE)
-    marked = base.select(
-        *keep,
+    equal = " ".join(f"WHEN _{c} = _acq THEN '{c}'" for c in NAME_FIELDS)
+    open_ = names.selectExpr("*", f"CASE {equal} END AS _equal").selectExpr(
+        *kept,
         "_acq",
-        _first_of(equal).alias("_equal"),
-        *[F.when(undecided[c], F.col(f"_{c}")).alias(f"_{c}") for c in NAME_FIELDS],
-    )
-    scored = marked.select(
-        *keep,
         "_equal",
+        *[
+            f"CASE WHEN (_equal IS NULL OR _equal IN {_junk(NAME_FIELDS[i + 1:] or ('',))}) "
+            f"AND {may_exceed(f'_{c}', '_acq', SIMILARITY_ABOVE)} THEN _{c} END AS _{c}"
+            for i, c in enumerate(NAME_FIELDS)
+        ],
+    )
+    scored = open_.select(
+        *[F.expr(c) for c in [*kept, "_equal"]],
         *[jaro_winkler(F.col(f"_{c}"), F.col("_acq")).alias(f"_{c}") for c in NAME_FIELDS],
     )
-    shows = {
-        c: (F.col("_equal") == c) | (F.col(f"_{c}") > SIMILARITY_ABOVE) for c in NAME_FIELDS
-    }
-    hits = scored.select(*keep, _first_of(shows).alias("violated_column"))
-    return hits.where(F.col("violated_column").isNotNull())
-
-
-def _first_of(conditions: dict[str, Column]) -> Column:
-    return F.coalesce(*[F.when(_yes(c), F.lit(name)) for name, c in conditions.items()])
+    first = " ".join(
+        f"WHEN _equal = '{c}' OR _{c} > {SIMILARITY_ABOVE}D THEN '{c}'" for c in NAME_FIELDS
+    )
+    hits = scored.selectExpr(*kept, f"CASE {first} END AS violated_column")
+    return hits.where("violated_column IS NOT NULL")
 
 
 def rule_rows(df: DataFrame, rule_id: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """All columns of the rows breaking one built-in rule, plus `violation_id`."""
-    keep = [c for c in df.columns if c not in ("Violations", "violation_id", "violated_column")]
-    if rule_id == "V1":
-        hits = acquirer_name_hits(df, keep)
-        return hits.select(*keep, F.lit(rule_id).alias("violation_id"), "violated_column")
+    df = df.drop("Violations", "violation_id", "violated_column")
     if rule_id in ROW_RULES:
-        hits = Fields.attach(df, keep).where(ROW_RULES[rule_id]()).select(*keep)
+        return row_rule_hits(df, [rule_id], df.columns).withColumnRenamed("rule_id", "violation_id")
+    if rule_id == "V1":
+        hits = acquirer_name_hits(df, df.columns)
     else:
-        hits = rows_in_flagged_groups(df, rule_id, keep, hot_rows)
+        hits = rows_in_flagged_groups(df, rule_id, df.columns, hot_rows)
     return hits.withColumn("violation_id", F.lit(rule_id))
-
-
-def row_rule_hits(df: DataFrame, rule_ids: list[str], keep: list[str]) -> DataFrame:
-    """`keep` columns plus `rule_id` for all given row rules, in one scan and no shuffle."""
-    fired = F.array(*[F.when(ROW_RULES[r](), F.lit(r)) for r in rule_ids])
-    hits = Fields.attach(df, keep).select(*keep, F.explode(fired).alias("rule_id"))
-    return hits.where(F.col("rule_id").isNotNull())

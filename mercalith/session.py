@@ -49,13 +49,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/mercalith/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` once in the shared folder so later actions do not recompute it.
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` once as a columnar dataset in the shared folder and return the reader.
 
-    A checkpoint survives the loss of executors, unlike cached blocks.
+    Used where several later scans each need a few of its columns: they prune, a checkpoint
+    would not.  The dataset also outlives the executors that wrote it.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give every core work where a scan has fewer splits than the cluster has cores.
+
+    A large table has many splits already and is returned unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
