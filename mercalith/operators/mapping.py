@@ -74,7 +74,7 @@ _WEIGHTS = {"dictionary": 0.4, "name": 0.4, "type": 0.1, "fill": 0.1}
 _FAMILIES = {
     "integer": "('tinyint', 'smallint', 'int', 'bigint')",
     "string": "('string')",
-    "date": "('date', 'timestamp')",
+    "date": "('date', 'timestamp', 'timestamp_ntz')",
 }
 
 
