@@ -9,7 +9,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercalith.operators.profile import canonical
 from mercalith.functions.normalize import quoted
 
 _INTEGRAL = {"tinyint", "smallint", "int", "bigint"}
@@ -95,7 +94,7 @@ def discover_joins(
         mine = [c for t, c in involved if t == name]
         if mine:
             rows = ", ".join(
-                f"{number[name, c]}, {canonical(c, df.schema[c].dataType)}" for c in mine
+                f"{number[name, c]}, CAST({quoted(c)} AS STRING)" for c in mine
             )
             cells.append(df.selectExpr(f"stack({len(mine)}, {rows}) AS (column_no, value)"))
     holders = (

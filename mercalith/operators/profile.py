@@ -24,41 +24,75 @@ SAMPLES = 5
 HIGH_NULL_PCT, CONSTANT_MIN_ROWS, UNIQUE_MIN_ROWS, ISSUE_PENALTY = 50, 10, 100, 5
 
 
-def canonical(name: str, data_type: T.DataType) -> str:
-    """The value as text such that equal values give equal text; NaN counts as missing."""
+def canonical(name: str, data_type: T.DataType) -> tuple[str, str]:
+    """Kind of key (bigint, double or string) and SQL text of the value as such a key.
+
+    Equal values give equal keys.  Numbers and times stay numbers, which keeps the shuffle
+    small and the counting inside generated code.
+    """
     c = quoted(name)
-    if isinstance(data_type, (T.DoubleType, T.FloatType)):
-        return f"CASE WHEN NOT isnan({c}) THEN CAST({c} + 0.0 AS STRING) END"
+    if isinstance(data_type, T.IntegralType):
+        return "bigint", f"CAST({c} AS BIGINT)"
+    if isinstance(data_type, T.BooleanType):
+        return "bigint", f"CAST(CAST({c} AS INT) AS BIGINT)"
+    if isinstance(data_type, T.DateType):
+        return "bigint", f"CAST(unix_date({c}) AS BIGINT)"
     if isinstance(data_type, T.TimestampType):
-        return f"CAST(unix_micros({c}) AS STRING)"
+        return "bigint", f"unix_micros({c})"
+    if isinstance(data_type, T.TimestampNTZType):
+        return "bigint", f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})"
+    if isinstance(data_type, (T.DoubleType, T.FloatType)):
+        return "double", f"CAST(CASE WHEN NOT isnan({c}) THEN {c} END AS DOUBLE)"
     if isinstance(data_type, (T.ArrayType, T.MapType, T.StructType)):
-        return f"to_json({c})"
+        return "string", f"to_json({c})"
     if isinstance(data_type, T.BinaryType):
-        return f"hex({c})"
-    return f"CAST({c} AS STRING)"
+        return "string", f"hex({c})"
+    return "string", f"CAST({c} AS STRING)"
 
 
-def value_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """table_no, column_no, value (or digest), n, blank."""
-    parts = [_cells(i, df) for i, df in enumerate(tables.values()) if df.columns]
-    cells = reduce(DataFrame.unionByName, parts)
-    digest = f"CASE WHEN length(value) > {_RAW_LENGTH} THEN '#' || sha2(value, 256) ELSE value END"
-    return (
-        cells.selectExpr("table_no", "column_no", f"{digest} AS value", "blank")
-        .groupBy("table_no", "column_no", "value")
-        .agg(F.count(F.lit(1)).alias("n"), F.bool_or("blank").alias("blank"))
-    )
-
-
-def _cells(table_no: int, df: DataFrame) -> DataFrame:
-    rows = []
-    for column_no, field in enumerate(df.schema.fields):
-        value = canonical(field.name, field.dataType)
-        textual = isinstance(field.dataType, T.StringType)
-        blank = is_whitespace(quoted(field.name)) if textual else "false"
-        rows.append(f"{column_no}, {value}, {blank}")
-    stack = f"stack({len(rows)}, {', '.join(rows)}) AS (column_no, value, blank)"
-    return df.selectExpr(stack).selectExpr(f"{table_no} AS table_no", "*")
+def _cells(tables: dict[str, DataFrame], kind: str) -> DataFrame | None:
+    """table_no, column_no, value, blank: the unpivoted columns of one kind of key."""
+    parts = []
+    for table_no, df in enumerate(tables.values()):
+        rows = []
+        for column_no, field in enumerate(df.schema.fields):
+            its_kind, value = canonical(field.name, field.dataType)
+            textual = isinstance(field.dataType, T.StringType)
+            blank = is_whitespace(quoted(field.name)) if textual else "false"
+            if its_kind == kind:
+                rows.append(f"{column_no}, {value}, {blank}")
+        if rows:
+            stack = f"stack({len(rows)}, {', '.join(rows)}) AS (column_no, value, blank)"
+            parts.append(df.selectExpr(f"{table_no} AS table_no", stack))
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def counted_columns(tables: dict[str, DataFrame]) -> DataFrame:
+    """table_no, column_no and the counts of every column that has rows.
+
+    Values are counted first, with map-side combine; the per-column figures are sums over
+    those counts.
+    """
+    parts = []
+    for kind in ("bigint", "double", "string"):
+        cells = _cells(tables, kind)
+        if cells is None:
+            continue
+        if kind == "string":
+            digest = f"IF(length(value) > {_RAW_LENGTH}, '#' || sha2(value, 256), value)"
+            cells = cells.selectExpr("table_no", "column_no", f"{digest} AS value", "blank")
+        counts = cells.groupBy("table_no", "column_no", "value").agg(
+            F.expr("count(*) AS n"), F.expr("bool_or(blank) AS blank")
+        )
+        parts.append(
+            counts.groupBy("table_no", "column_no").agg(
+                F.expr("sum(n) AS row_count"),
+                F.expr("sum(IF(value IS NULL, n, 0)) AS null_count"),
+                F.expr("count(value) AS distinct_count"),
+                F.expr("sum(IF(blank, n, 0)) AS blank_count"),
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
 
 
 def columns_frame(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
@@ -77,16 +111,7 @@ def columns_frame(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFram
 def column_stats(tables: dict[str, DataFrame]) -> DataFrame:
     """One row per (table, column): counts, null share and the list of issues."""
     spark = next(iter(tables.values())).sparkSession
-    counted = (
-        value_counts(tables)
-        .groupBy("table_no", "column_no")
-        .agg(
-            F.sum("n").alias("row_count"),
-            F.expr("sum(CASE WHEN value IS NULL THEN n ELSE 0 END)").alias("null_count"),
-            F.count("value").alias("distinct_count"),
-            F.expr("sum(CASE WHEN blank THEN n ELSE 0 END)").alias("blank_count"),
-        )
-    )
+    counted = counted_columns(tables)
     zero = [
         f"coalesce({c}, 0L) AS {c}"
         for c in ("row_count", "null_count", "distinct_count", "blank_count")

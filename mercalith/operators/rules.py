@@ -29,7 +29,7 @@ from mercalith.functions.normalize import (
     trimmed,
     whole_number,
 )
-from mercalith.functions.similarity import jaro_winkler, may_exceed
+from mercalith.functions.similarity import jaro_winkler_once, may_exceed
 from mercalith.operators.groups import HOT_ROWS, join_groups
 
 # Fixed values used by the rules.
@@ -209,7 +209,7 @@ def acquirer_name_hits(df: DataFrame, keep: list[str]) -> DataFrame:
     )
     scored = open_.select(
         *[F.expr(c) for c in [*kept, "_equal"]],
-        *[jaro_winkler(F.col(f"_{c}"), F.col("_acq")).alias(f"_{c}") for c in NAME_FIELDS],
+        *[jaro_winkler_once(F.col(f"_{c}"), F.col("_acq")).alias(f"_{c}") for c in NAME_FIELDS],
     )
     first = " ".join(
         f"WHEN _equal = '{c}' OR _{c} > {SIMILARITY_ABOVE}D THEN '{c}'" for c in NAME_FIELDS

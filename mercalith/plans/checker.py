@@ -271,7 +271,7 @@ def check(
             found = _long(hits, literal(rule.id), group_by, "xxhash64(*) AS _digest")
             parts.append(stored(found, f"rule-{rule.id}").drop("_digest"))
         except Exception as error:  # a user rule may fail in any way; record and go on
-            errors[rule.id] = str(error).split("\n")[0]
+            errors[rule.id] = str(error).strip().split("\n")[0]
 
     if not parts:
         parts.append(_long(target.limit(0), "''"))
@@ -322,7 +322,7 @@ def trial_rule(target: DataFrame, sql: str, view: str = TARGET_VIEW) -> dict:
     except Exception as error:  # shown to the author of the rule instead of raised
         result.update(
             status="error",
-            error=str(error).split("\n")[0],
+            error=str(error).strip().split("\n")[0],
             total_rows_flagged=0,
             columns=[],
             sample_rows=[],
