@@ -11,8 +11,11 @@ rule did not return both identifier columns.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +30,7 @@ from mercalith.operators.rules import (
     rows_in_flagged_groups,
     rule_rows,
 )
-from mercalith.session import stored
+from mercalith.session import scratch_path, stored
 from mercalith.spec import OFF_BY_DEFAULT, ROW_ID, RULES
 
 TARGET_VIEW = "merchant_target"
@@ -105,10 +108,14 @@ def run_rule_sql(target: DataFrame, sql: str, view: str = TARGET_VIEW) -> DataFr
 class Violations:
     target: DataFrame
     rules: list[Rule]
-    long: DataFrame
+    parts: list[DataFrame]
     available: int
     errors: dict[str, str] = field(default_factory=dict)
 
+    @property
+    def long(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
+
     @property
     def spark(self) -> SparkSession:
         return self.target.sparkSession
@@ -209,10 +216,18 @@ class Violations:
         )
 
     def store(self) -> Violations:
-        """The same result with the long frame written once to the shared folder."""
-        return Violations(
-            self.target, self.rules, stored(self.long, "violations"), self.available, self.errors
-        )
+        """The same result with the long frame written once to the shared folder.
+
+        The parts are independent jobs and run side by side, so a small one fills the cores
+        the tail of a large one leaves idle.
+        """
+        root = scratch_path(self.spark, "violations")
+        paths = [f"{root}/part{i}" for i in range(len(self.parts))]
+        write = inheritable_thread_target(self.spark)(lambda df, path: df.write.parquet(path))
+        with ThreadPoolExecutor(max_workers=len(paths)) as pool:
+            list(pool.map(write, self.parts, paths))
+        written = self.spark.read.schema(self.parts[0].schema).parquet(*paths)
+        return Violations(self.target, self.rules, [written], self.available, self.errors)
 
 
 def clean_summary(stamped: DataFrame) -> DataFrame:
@@ -275,10 +290,7 @@ def check(
 
     if not parts:
         parts.append(_long(target.limit(0), "''"))
-    long = parts[0]
-    for part in parts[1:]:
-        long = long.unionByName(part)
-    return Violations(target, chosen, long, len(everything), errors)
+    return Violations(target, chosen, parts, len(everything), errors)
 
 
 def _long(

@@ -63,7 +63,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give every core work where a scan has fewer splits than the cluster has cores.
 
-    A large table has many splits already and is returned unchanged, without a shuffle.
+    A large table has many splits already and is returned unchanged, without a shuffle.  A
+    small one is hashed by `keys`, which should be close to unique.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:

@@ -80,9 +80,14 @@ def norm_text_query(spark, sf_dir):
     )
 
 
+def found(spark, sf_dir, *more):
+    """Rules run once and written; every report is an aggregate of that frame."""
+    return check(target(spark, sf_dir), *more).store()
+
+
 @query("run_rules", over_hits("SELECT row_id, rule_id, violated_column FROM hits"))
 def run_rules(spark, sf_dir):
-    return check(target(spark, sf_dir)).long.select("row_id", "rule_id", "violated_column")
+    return found(spark, sf_dir).long.select("row_id", "rule_id", "violated_column")
 
 
 _CUSTOM = (
@@ -129,7 +134,7 @@ def test_rule(spark, sf_dir):
 )
 def select_rules(spark, sf_dir):
     chosen = default_selection(effective_rules())
-    return check(target(spark, sf_dir), chosen).counts().select("rule_id", "rows")
+    return found(spark, sf_dir, chosen).counts().select("rule_id", "rows")
 
 
 _OVERRIDES = [
@@ -153,7 +158,7 @@ _OVERRIDES = [
 def rule_error_isolation(spark, sf_dir):
     chosen = ["V2", "V4", "V7", "V9", "V14", "V15"]
     return (
-        check(target(spark, sf_dir), chosen, _OVERRIDES)
+        found(spark, sf_dir, chosen, _OVERRIDES)
         .summary()
         .select("rule_id", "affected_rows")
     )
@@ -164,7 +169,7 @@ def rule_error_isolation(spark, sf_dir):
 
 @query("rule_counts", over_hits("SELECT rule_id, count(*) AS rows FROM hits GROUP BY rule_id"))
 def rule_counts(spark, sf_dir):
-    return check(target(spark, sf_dir)).counts().select("rule_id", "rows")
+    return found(spark, sf_dir).counts().select("rule_id", "rows")
 
 
 @query(
@@ -172,7 +177,7 @@ def rule_counts(spark, sf_dir):
     over_hits("SELECT rule_id, count(DISTINCT grp) AS groups FROM hits GROUP BY rule_id"),
 )
 def rule_group_counts(spark, sf_dir):
-    return check(target(spark, sf_dir)).counts().select("rule_id", "groups")
+    return found(spark, sf_dir).counts().select("rule_id", "groups")
 
 
 @query(
@@ -186,7 +191,7 @@ def rule_group_counts(spark, sf_dir):
 )
 def rule_samples(spark, sf_dir):
     return (
-        check(target(spark, sf_dir))
+        found(spark, sf_dir)
         .samples()
         .selectExpr("rule_id", "CAST(rank AS BIGINT) AS rank", "row_id", "CAID", "BASEIIName", "Street")
     )
@@ -200,7 +205,7 @@ def rule_samples(spark, sf_dir):
     ),
 )
 def total_violations(spark, sf_dir):
-    return check(target(spark, sf_dir)).totals()
+    return found(spark, sf_dir).totals()
 
 
 @query(
@@ -211,7 +216,7 @@ def total_violations(spark, sf_dir):
     ),
 )
 def rows_affected(spark, sf_dir):
-    return check(target(spark, sf_dir)).rows_affected()
+    return found(spark, sf_dir).rows_affected()
 
 
 _STAMPS = (
@@ -224,7 +229,7 @@ _STAMPS = (
 
 @query("stamp_violations", over_hits("SELECT row_id, Violations FROM stamps", _STAMPS))
 def stamp_violations(spark, sf_dir):
-    return check(target(spark, sf_dir)).stamped().select("row_id", "Violations")
+    return found(spark, sf_dir).stamped().select("row_id", "Violations")
 
 
 @query(
@@ -239,7 +244,7 @@ def stamp_violations(spark, sf_dir):
     ),
 )
 def clean_summary(spark, sf_dir):
-    return check(target(spark, sf_dir)).clean_summary()
+    return found(spark, sf_dir).clean_summary()
 
 
 _RULE_ROWS = "info(rule_id, rule_name, affected_columns) AS (VALUES " + ", ".join(
@@ -257,7 +262,7 @@ _RULE_ROWS = "info(rule_id, rule_name, affected_columns) AS (VALUES " + ", ".joi
 )
 def violation_summary(spark, sf_dir):
     return (
-        check(target(spark, sf_dir))
+        found(spark, sf_dir)
         .summary()
         .select("rule_id", "rule_name", "affected_columns", "affected_rows", "groups")
     )
@@ -270,8 +275,8 @@ def violation_summary(spark, sf_dir):
     ),
 )
 def filter_rules(spark, sf_dir):
-    found = check(target(spark, sf_dir), ["V4", "V8"]).summary()
-    shown = found.where((F.col("affected_rows") > 0) & (F.col("rule_id") == "V8"))
+    summary = found(spark, sf_dir, ["V4", "V8"]).summary()
+    shown = summary.where((F.col("affected_rows") > 0) & (F.col("rule_id") == "V8"))
     return shown.select("rule_id", "affected_rows")
 
 
@@ -284,7 +289,7 @@ def filter_rules(spark, sf_dir):
 )
 def export_target_query(spark, sf_dir):
     path = scratch_path(spark, "export")
-    export_target(check(target(spark, sf_dir)).stamped(), path)
+    export_target(found(spark, sf_dir).stamped(), path)
     return spark.read.parquet(path).select("CAID", "AcquirerMerchantID", "DBAName", "Violations")
 
 

@@ -86,7 +86,7 @@ def target_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view as a lazy plan over the given tables."""
     for name in ("customer", "nation", "region"):
         table(spark, sf_dir, name).createOrReplaceTempView(name)
-    spread(table(spark, sf_dir, "orders")).createOrReplaceTempView("orders")
+    spread(table(spark, sf_dir, "orders"), "o_orderkey").createOrReplaceTempView("orders")
     return spark.sql(TARGET_SQL)
 
 
