@@ -37,6 +37,7 @@ TARGET_VIEW = "merchant_target"
 CAID, MID = "CAID", "AcquirerMerchantID"
 RESULT_COLUMNS = ("Violations", "violation_id", "violated_column")
 SAMPLE_ROWS = 10
+PARALLEL_JOBS = 8
 
 
 @dataclass(frozen=True)
@@ -224,7 +225,7 @@ class Violations:
         root = scratch_path(self.spark, "violations")
         paths = [f"{root}/part{i}" for i in range(len(self.parts))]
         write = inheritable_thread_target(self.spark)(lambda df, path: df.write.parquet(path))
-        with ThreadPoolExecutor(max_workers=len(paths)) as pool:
+        with ThreadPoolExecutor(max_workers=min(len(paths), PARALLEL_JOBS)) as pool:
             list(pool.map(write, self.parts, paths))
         written = self.spark.read.schema(self.parts[0].schema).parquet(*paths)
         return Violations(self.target, self.rules, [written], self.available, self.errors)
