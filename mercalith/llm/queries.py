@@ -34,3 +34,17 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mercalith.llm.bpe import encode_documents
 
     return encode_documents(sf_table(spark, sf_dir, "documents"))
+
+
+@query("op9_simhash")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mercalith.llm.simhash import near_duplicates
+
+    return near_duplicates(sf_table(spark, sf_dir, "documents"))
+
+
+@query("op2_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mercalith.llm.quality import quality
+
+    return quality(sf_table(spark, sf_dir, "documents"), sf_table(spark, sf_dir, "labels")).drop("text")
