@@ -48,3 +48,43 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mercalith.llm.quality import quality
 
     return quality(sf_table(spark, sf_dir, "documents"), sf_table(spark, sf_dir, "labels")).drop("text")
+
+
+# Sizes, targets by sharing the excess again (at most one round for each source, 40 allow 40
+# sources to fill up one after the other), and one ordered sum for each source.
+MIX_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 3 * sum(size) AS lim,
+         (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w
+  FROM d GROUP BY source),
+share(n, level) AS (
+  SELECT 0, CAST(0 AS DOUBLE)
+  UNION ALL
+  SELECT n + 1, ((SELECT sum(source_size) FROM s) - coalesce((SELECT sum(lim) FROM s WHERE lim <= level * w), 0))
+                / nullif((SELECT sum(w) FROM s WHERE lim > level * w), 0)
+  FROM share WHERE n < 40 AND level IS NOT NULL),
+t AS (
+  SELECT source, source_size,
+         CAST(least(lim, (SELECT max(level) FROM share) * w) AS DOUBLE) AS target FROM s),
+o AS (
+  SELECT doc_id, d.source, size, source_size, target,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, text
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, source, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(size * CASE WHEN source_size = 0 THEN 0 ELSE least(3, floor(target / source_size)
+         + CASE WHEN b + size / 2 <= target - floor(target / source_size) * source_size
+           THEN 1 ELSE 0 END) END AS BIGINT) AS taken
+FROM o
+"""
+
+
+@query("op8_mixing", MIX_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mercalith.llm.mixing import mix
+
+    return mix(sf_table(spark, sf_dir, "documents"))
