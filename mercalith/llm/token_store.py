@@ -32,6 +32,7 @@ from mercalith.llm.perfect_hash import MinimalPerfectHash, fingerprint
 from mercalith.llm.pieces import PieceEncoder, pack
 
 SHARD_IDS = 1_000_000
+BATCH_PIECES = 8192
 END_ID = 2
 
 SCHEMA = (
@@ -53,7 +54,10 @@ def library_encoder(name: str) -> PieceEncoder:
     specials = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
 
     def encode_many(pieces: list[str]) -> list[bytes]:
-        found = [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        found: list[list[int]] = []
+        for at in range(0, len(pieces), BATCH_PIECES):  # the library's results are large objects
+            batch = tokenizer.encode_batch_fast(pieces[at : at + BATCH_PIECES], add_special_tokens=False)
+            found += [e.ids for e in batch]
         bounds = np.cumsum([0, *map(len, found)])
         return pack(np.array([i for ids in found for i in ids], dtype=np.int64), bounds)
 
