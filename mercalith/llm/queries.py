@@ -88,3 +88,34 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mercalith.llm.mixing import mix
 
     return mix(sf_table(spark, sf_dir, "documents"))
+
+
+# Every window with the smallest document it starts in, and the words that no repeat covers.
+SUBSTRING_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS s
+  FROM w, LATERAL (SELECT unnest(generate_series(1, len(ws) - 12)) AS i)),
+low AS (SELECT s, min(doc_id) AS first FROM win GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT doc_id, unnest(generate_series(i, i + 12)) AS j FROM win JOIN low USING (s) WHERE doc_id > first),
+gone AS (SELECT doc_id, list_distinct(list(j)) AS js FROM hit GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+       CAST(coalesce(len(js), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(
+         CASE WHEN js IS NULL THEN ws
+              ELSE list_transform(list_filter(list_zip(ws, generate_series(1, len(ws))),
+                                              lambda z: NOT list_contains(js, z[2])), lambda z: z[1]) END,
+         ' '), '')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id)
+"""
+
+
+@query("op5_substrings", SUBSTRING_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mercalith.llm.substrings import remove_repeats
+
+    cut = remove_repeats(sf_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
