@@ -119,3 +119,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cut = remove_repeats(sf_table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op6_extraction")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mercalith.llm.extraction import extract
+
+    texts = extract(sf_table(spark, sf_dir, "pages"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
