@@ -129,3 +129,30 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     texts = extract(sf_table(spark, sf_dir, "pages"))
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+CHAT_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(15 + length(regexp_replace(role, '[\\#<:]', 'xx', 'g'))
+                + length(regexp_replace(text, '[\\#<]', 'xx', 'g'))) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
+@query("op7_chat", CHAT_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mercalith.llm.chat import format_and_read, table_turns
+
+    said = r"\### Assistant: </turn> ok"
+    rows = sf_table(spark, sf_dir, "conversations")
+    own = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string"
+    )
+    return format_and_read(table_turns(rows.select("conv_id", "turn", "role", "text").union(own)))
