@@ -156,3 +156,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string"
     )
     return format_and_read(table_turns(rows.select("conv_id", "turn", "role", "text").union(own)))
+
+
+@query("op10_vectors")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mercalith.llm.vectors import near_vectors
+
+    return near_vectors(sf_table(spark, sf_dir, "embeddings"))
