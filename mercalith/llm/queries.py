@@ -163,3 +163,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mercalith.llm.vectors import near_vectors
 
     return near_vectors(sf_table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_language")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mercalith.llm.language import identify
+
+    return identify(sf_table(spark, sf_dir, "documents"))
