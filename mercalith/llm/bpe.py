@@ -281,47 +281,34 @@ def bpe(name: str = VOCABULARY) -> Bpe:
     return Bpe(name)
 
 
-def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Encode `text` and decode it again; adds n_tokens, ids_sha256 and decoded_sha256.
+def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
+    """Encode `text` and decode it again: doc_id, n_tokens, ids_sha256 and decoded_sha256.
+
+    With `with_ids` also token_ids array<int>.
 
     NULL text counts as empty; an empty text has no ids.  Rows are independent: repeated rows,
-    NULL ids and further columns (also ones named like the new ones, which are replaced) pass
-    through unharmed.  `token_ids(docs)` returns the ids themselves.
+    NULL ids and further columns (also ones named like the new ones) change nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe(vocabulary)
         for batch in batches:
-            rows = []
+            rows, lists = [], []
             for ids in coder.encode_texts(batch.column("text")):
                 decoded = coder.decode(ids).encode("utf-8")
                 packed = ids_bytes(ids)
+                if with_ids:
+                    lists.append(ids.astype(np.int32))
                 rows.append((len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded).hexdigest()))
             n, a, b = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            columns = {
+                "doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()),
+                "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string()),
+            }
+            if with_ids:
+                columns["token_ids"] = pa.array(lists, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema)
-
-
-def token_ids(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, token_ids array<int>, decoded string) of every document; NULL text is empty."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe(vocabulary)
-        for batch in batches:
-            ids = list(coder.encode_texts(batch.column("text")))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())),
-                    pa.array([coder.decode(x) for x in ids], pa.string()),
-                ],
-                names=["doc_id", "token_ids", "decoded"],
-            )
-
-    schema = "doc_id bigint, token_ids array<int>, decoded string"
+    schema += ", token_ids array<int>" if with_ids else ""
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema)

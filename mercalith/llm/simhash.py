@@ -123,8 +123,8 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp bigint): the 64-bit fingerprint of every text; NULL and blank texts have 0.
+def fingerprints(docs: DataFrame, size: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *keep, fp bigint): the 64-bit fingerprint of every text; NULL and blank texts have 0.
 
     Letters A-Z are lowered, words are `[^\\x20\\x09-\\x0D]+`, shingles of `size` words count with
     repeats (fewer words: all of them form the one shingle); a bit is set if it is set in more than
@@ -137,12 +137,14 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 part = batch.slice(at, _BATCH_TEXTS)
                 texts = pc.fill_null(part.column("text"), "").to_pylist()
                 prints = np.array([fingerprint(x, size) for x in texts], dtype=np.uint64)
+                names = ["doc_id", *keep]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"]
+                    [*map(part.column, names), pa.array(prints.view(np.int64))], names=[*names, "fp"]
                 )
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id bigint, fp bigint")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep)]
+    return rows.mapInArrow(run, ", ".join([*kinds, "fp bigint"]))
 
 
 def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,13 +186,8 @@ def links(prints: DataFrame, frequent: int = FREQUENT_KEY) -> DataFrame:
     return pairs.union(stars.distinct())
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fingerprint string, component_id) of every document.
-
-    component_id is the smallest doc_id that links lead to, the document's own included.  Rows
-    whose doc_id is NULL keep their fingerprint and join components, but name none unless it has
-    no other member.  Repeated rows stay; an empty table gives none; other columns are ignored.
-    """
+def _classes(docs: DataFrame, size: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and (fp, root, component_id) of every fingerprint."""
     if max_bits != MAX_BITS:
         raise ValueError("the keys are made for a distance of two bits")
     prints = stored(fingerprints(docs, size), "simhash-fingerprints")
@@ -200,7 +197,43 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BI
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = stored(placed.join(named, "root").select("fp", "component_id"), "simhash-classes")
+    return prints, stored(placed.join(named, "root").select("fp", "root", "component_id"), "simhash-classes")
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, fingerprint string, component_id) of every document.
+
+    component_id is the smallest doc_id that links lead to, the document's own included.  Rows
+    whose doc_id is NULL keep their fingerprint and join components, but name none (component_id is
+    NULL where there is no other member).  Repeated rows stay; an empty table gives none; other
+    columns are ignored.
+    """
+    prints, classes = _classes(docs, size, max_bits)
     return prints.join(classes, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def deduplicated(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of `docs` for each component, whole: the one of the smallest doc_id.
+
+    Of rows with the same doc_id one stays (the smallest by a hash of its text).  Components of
+    rows without a doc_id keep one row of their smallest fingerprint.
+    """
+    prints, classes = _classes(docs, size, max_bits)
+    keepers = prints.join(classes, "fp").filter("doc_id = component_id").select("doc_id").distinct()
+    whole = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"),
+    )
+    # few rows have a doc_id in common; the join has brought them together already
+    named = (
+        whole.filter("doc_id IS NOT NULL").join(keepers, "doc_id")
+        .groupBy("doc_id").agg(F.min_by("_row", F.xxhash64("text")).alias("_row")).select("_row.*")
+    )
+    bare = fingerprints(whole.filter("doc_id IS NULL"), size, ("_row",))
+    alone = classes.filter("component_id IS NULL AND fp = root").select("fp")
+    unnamed = (
+        bare.join(alone, "fp").groupBy("fp").agg(F.min_by("_row", F.xxhash64("_row.text")).alias("_row")).select("_row.*")
+    )
+    return named.union(unnamed)

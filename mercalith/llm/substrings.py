@@ -374,18 +374,19 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group_r
     return found.filter("high IS NULL").select("doc", "start").union(more)
 
 
-def _cut(window: int, others: list[str]):
+def _cut(window: int, others: list[str], as_is: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, removed, kept = [], [], []
             unpack = zstandard.ZstdDecompressor()
             for text, starts in zip(batch.column("text"), batch.column("starts")):
-                words = unpack.decompress(text.as_py()).split()
+                whole = unpack.decompress(text.as_py())
+                words = whole.split()
                 total.append(len(words))
                 begin = np.asarray(starts.values) if starts.is_valid else np.empty(0, np.int64)
                 if not len(begin):
                     removed.append(0)
-                    kept.append(b" ".join(words))
+                    kept.append(whole if as_is else b" ".join(words))
                     continue
                 change = np.zeros(len(words) + 1, dtype=np.int64)
                 np.add.at(change, begin, 1)
@@ -402,12 +403,12 @@ def _cut(window: int, others: list[str]):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = (), as_is: bool = False) -> DataFrame:
     """(doc_id, *keep, n_words, n_removed, kept_text) of every row of `docs`.
 
     Each word that lies in a window of `window` words whose sequence also starts in a document of
     smaller doc_id goes; windows are judged on the input.  kept_text is the words that stay, joined
-    by one space.  NULL text has no words.  A row with a NULL doc_id has no place in the order: it
+    by one space (with `as_is`, the text itself where no word goes).  NULL text has no words.  A row with a NULL doc_id has no place in the order: it
     loses nothing and nothing is lost to it.  Rows with the same doc_id are judged one by one and
     never against each other.  An empty table gives an empty result.
     """
@@ -423,4 +424,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     others = ["doc_id", *keep]
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "n_words bigint", "n_removed bigint", "kept_text string"])
-    return judged.union(unnamed).mapInArrow(_cut(window, others), schema)
+    return judged.union(unnamed).mapInArrow(_cut(window, others, as_is), schema)
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """All rows of `docs` with their columns; `text` without its repeats, `n_chars` its new length.
+
+    Texts that lose nothing stay as they are; one that loses all becomes empty.
+    """
+    inner = {c: f"_c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    plain = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in inner.items()])
+    cut = remove_repeats(plain, window, tuple(inner.values()), as_is=True)
+    changed = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("bigint")}
+    return cut.select(*[changed.get(c, F.col(inner.get(c, c))).alias(c) for c in docs.columns])
