@@ -217,23 +217,23 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BI
 def deduplicated(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One row of `docs` for each component, whole: the one of the smallest doc_id.
 
-    Of rows with the same doc_id one stays (the smallest by a hash of its text).  Components of
-    rows without a doc_id keep one row of their smallest fingerprint.
+    Where several rows have that doc_id, or none of the component's rows has one, the row that
+    stays is the smallest by a hash of its text.
     """
     prints, classes = _classes(docs, size, max_bits)
-    keepers = prints.join(classes, "fp").filter("doc_id = component_id").select("doc_id").distinct()
     whole = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
         F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"),
     )
-    # few rows have a doc_id in common; the join has brought them together already
-    named = (
-        whole.filter("doc_id IS NOT NULL").join(keepers, "doc_id")
-        .groupBy("doc_id").agg(F.min_by("_row", F.xxhash64("text")).alias("_row")).select("_row.*")
+    ids = prints.groupBy("doc_id").agg(F.count("*").alias("n"))
+    once = ids.filter("n = 1 AND doc_id IS NOT NULL").select("doc_id")
+    keepers = prints.join(classes, "fp").filter("doc_id = component_id").select("doc_id").join(once, "doc_id")
+    plain = whole.join(keepers, "doc_id").select("_row.*")
+    # rows whose id does not name them; written, so that Spark knows how few they are
+    vague = stored(ids.filter("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_id")), "simhash-vague")
+    others = whole.join(vague, whole["doc_id"].eqNullSafe(vague["_id"]), "left_semi")
+    chosen = (
+        fingerprints(others, size, ("_row",)).join(classes, "fp").filter("component_id IS NULL OR doc_id = component_id")
+        .groupBy("root").agg(F.min_by("_row", F.xxhash64("_row.text")).alias("_row")).select("_row.*")
     )
-    bare = fingerprints(whole.filter("doc_id IS NULL"), size, ("_row",))
-    alone = classes.filter("component_id IS NULL AND fp = root").select("fp")
-    unnamed = (
-        bare.join(alone, "fp").groupBy("fp").agg(F.min_by("_row", F.xxhash64("_row.text")).alias("_row")).select("_row.*")
-    )
-    return named.union(unnamed)
+    return plain.union(chosen)
