@@ -44,10 +44,23 @@ def norm_id(name: str) -> str:
 
 
 def norm_text(name: str) -> str:
-    """Free text as a grouping key: trimmed, upper case."""
+    """Free text for display: trimmed, upper case."""
     return f"upper({trimmed(name)})"
 
 
+def key_id(name: str) -> str:
+    """Formal identifier as a grouping key: `norm_id` in lower case.
+
+    Upper case would make 'ss' and the sharp s one text.
+    """
+    return f"lower(replace({text(name)}, ' ', ''))"
+
+
+def key_text(name: str) -> str:
+    """Free text as a grouping key: `norm_text` in lower case."""
+    return f"lower({trimmed(name)})"
+
+
 def fold(name: str) -> str:
     """Free text for comparison: trimmed, lower case."""
     return f"lower({trimmed(name)})"
@@ -70,6 +83,21 @@ def whole_number(name: str, data_type: T.DataType) -> str:
     return f"try_cast(round(try_cast({column} AS DECIMAL(38,9)), 0) AS BIGINT)"
 
 
+def cast_value(expression: str, data_type: T.DataType) -> str:
+    """`expression` as a target type, NULL where it has no such value.
+
+    Dates may be written yyyyMMdd; text that is a number but not whole rounds half away from zero.
+    """
+    if isinstance(data_type, T.DateType):
+        written = f"CAST({expression} AS STRING)"
+        return f"coalesce(try_to_date({written}, 'yyyyMMdd'), try_cast({written} AS DATE))"
+    if isinstance(data_type, T.IntegralType):
+        kind = data_type.simpleString()
+        number = f"round(try_cast({expression} AS DECIMAL(38,9)), 0)"
+        return f"coalesce(try_cast({expression} AS {kind}), try_cast({number} AS {kind}))"
+    return f"try_cast({expression} AS {data_type.simpleString()})"
+
+
 def single_repeated_char(expression: str) -> str:
     """True for text of at least two characters that are all the same."""
     return (

@@ -1,20 +1,14 @@
-"""Attach the rows of a large frame to a table holding one row per key, whatever the skew.
+"""Attach the rows of a large frame to a table holding one row per key.
 
-Group rules aggregate first (with map-side combine) and so know how many rows each key has.
-Keys above `HOT_ROWS` are spread over several reducers; how many follows from their count.
-Everything else is an ordinary hash join, which adaptive execution may still split or turn
-into a broadcast by measured size.
+The rows stay on the left, the side that adaptive execution can split where a key is frequent
+(`session.SESSION_CONF` lets it do so for every join kind used here); the right side has one row
+for each key, so nothing multiplies.  A small right side becomes a broadcast by its measured size.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-HOT_ROWS = 1_000_000
-# Bounds of the broadcast list of hot keys; keys beyond them take the ordinary join.
-HOT_KEYS = 4_096
-HOT_KEY_BYTES = 1_024
-
 
 def join_groups(
     rows: DataFrame,
@@ -23,44 +17,17 @@ def join_groups(
     how: str = "LEFT SEMI",
     carry: tuple[str, ...] = (),
     *,
-    weight: str = "n",
-    spread_on: str = "row_id",
     null_safe: bool = False,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join `rows` to `groups` (unique on the string columns `keys`) by `how`.
 
-    `groups[weight]` is the number of rows of the key and only steers the spreading.  Result:
-    the columns of `rows` and, unless `how` is LEFT SEMI, the `carry` columns of `groups`.
+    Result: the columns of `rows` and, unless `how` is LEFT SEMI, the `carry` columns of `groups`.
     """
     same = "<=>" if null_safe else "="
-
-    def match(other: str) -> str:
-        return " AND ".join(f"r.{k} {same} {other}.{k}" for k in keys)
-
-    names = ", ".join(keys)
-    width = " + ".join(f"coalesce(octet_length({k}), 0)" for k in keys)
-    parts = f"CAST(ceil({weight} / {hot_rows}) AS INT)"
+    match = " AND ".join(f"r.{k} {same} g.{k}" for k in keys)
     carried = "".join(f", g.{c}" for c in carry)
     return rows.sparkSession.sql(
-        f"""
-        WITH hot AS (
-          SELECT {names}, {parts} AS _parts
-          FROM {{groups}}
-          WHERE {weight} > {hot_rows} AND {width} <= {HOT_KEY_BYTES}
-          ORDER BY {weight} DESC, {names}
-          LIMIT {HOT_KEYS}
-        ), salted AS (
-          SELECT /*+ BROADCAST(h) */ r.*,
-                 coalesce(CAST(pmod(xxhash64(r.{spread_on}), h._parts) AS INT), 0) AS _salt
-          FROM {{rows}} r LEFT JOIN hot h ON {match("h")}
-        ), copies AS (
-          SELECT *, explode(sequence(0, greatest({parts}, 1) - 1)) AS _salt
-          FROM {{groups}}
-        )
-        SELECT r.* EXCEPT (_salt){carried}
-        FROM salted r {how} JOIN copies g ON {match("g")} AND r._salt = g._salt
-        """,
+        f"SELECT r.*{carried} FROM {{rows}} r {how} JOIN {{groups}} g ON {match}",
         rows=rows,
         groups=groups,
     )

@@ -98,7 +98,7 @@ def detect(tables: dict[str, DataFrame]) -> DataFrame:
             ).alias("b")
         )
     )
-    whole = "CAST(CAST(try_cast(b.value AS DOUBLE) AS BIGINT) AS STRING)"
+    whole = "CAST(try_cast(try_cast(b.value AS DOUBLE) AS BIGINT) AS STRING)"
     return best.selectExpr(
         "field",
         f"CASE WHEN b.numeric THEN coalesce({whole}, b.value) ELSE b.value END AS value",
@@ -121,10 +121,10 @@ def resolve(detected: DataFrame, chosen: dict | None = None) -> DataFrame:
 
 
 def options(
-    tables: dict[str, DataFrame], order_by: dict[str, list[str]], limit: int = MAX_OPTIONS
+    tables: dict[str, DataFrame], order_by: dict[str, list[str]], limit: int | None = MAX_OPTIONS
 ) -> DataFrame:
-    """field, position, value, source_table, source_column: up to `limit` values to choose from,
-    the first to appear in the table, listed numbers first."""
+    """field, position, value, source_table, source_column: up to `limit` values to choose from
+    (None: all), the first to appear in the table, listed numbers first."""
     parts = []
     for s in _sources(tables, ids_from_reference=False, first_column_only=True):
         keys = [f"{quoted(c)} AS _o{i}" for i, c in enumerate(order_by[s.table])]
@@ -135,9 +135,9 @@ def options(
             .where("value <> '' AND lower(value) <> 'nan'")
             .groupBy("value")
             .agg(F.expr(f"min(struct({order}))").alias("seen"))
-            .orderBy("seen")
-            .limit(limit)
         )
+        if limit is not None:
+            first = first.orderBy("seen").limit(limit)
         parts.append(
             first.selectExpr(
                 f"'{s.field}' AS field",
@@ -147,6 +147,11 @@ def options(
                 "value",
             )
         )
+    if not parts:
+        spark = next(iter(tables.values())).sparkSession
+        return spark.createDataFrame(
+            [], "field string, position int, value string, source_table string, source_column string"
+        )
     found = reduce(DataFrame.unionByName, parts)
     best = found.groupBy("field").agg(F.min("priority").alias("priority"))
     listing = "row_number() OVER (PARTITION BY field ORDER BY try_cast(value AS DOUBLE) ASC NULLS LAST, value)"

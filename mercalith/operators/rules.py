@@ -3,11 +3,11 @@
 Row rules are predicates over one target row.  Group rules are declared as keys, a row filter
 and the values compared inside a group; one shared plan evaluates them:
 
-    groups = rows -> GROUP BY keys: count, min and max of each value    map-side combine
-    hits   = rows LEFT SEMI JOIN groups                                 one narrow shuffle
+    groups = rows -> GROUP BY keys: count, min and max of each value's hash   map-side combine
+    hits   = rows LEFT SEMI JOIN groups                                       one narrow shuffle
 
-"More than one distinct value" is min <> max, so no distinct aggregate is needed, and a group
-of any size is reduced before it is shuffled.
+"More than one distinct value" is min <> max of a hash of 128 bits in two numbers, so no distinct
+aggregate and no sort is needed, and a group of any size is reduced before it is shuffled.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from mercalith.functions.normalize import (
     fold,
+    key_id,
+    key_text,
     no_alphanumeric,
-    norm_id,
-    norm_text,
     quoted,
     single_repeated_char,
     text,
@@ -30,7 +30,7 @@ from mercalith.functions.normalize import (
     whole_number,
 )
 from mercalith.functions.similarity import jaro_winkler_once, may_exceed
-from mercalith.operators.groups import HOT_ROWS, join_groups
+from mercalith.operators.groups import join_groups
 
 # Fixed values used by the rules.
 SIMILARITY_ABOVE = 0.85
@@ -53,7 +53,7 @@ def _junk(words: tuple[str, ...]) -> str:
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-def _unlike(markers: tuple[str, ...]) -> str:
+def _like_any(markers: tuple[str, ...]) -> str:
     return " OR ".join(f"f_Street LIKE '{m}'" for m in markers)
 
 
@@ -63,7 +63,7 @@ ROW_RULES: dict[str, str] = {
         f_Street = f_City
         OR (length(t_City) > 3 AND length(bare_street) > 3 AND lower(bare_street) = f_City)""",
     "V4": f"""
-        {_unlike(STREET_MARKERS)}
+        {_like_any(STREET_MARKERS)}
         OR length(t_Street) < 5 OR {single_repeated_char("t_Street")}
         OR f_Street IN {_junk(STREET_JUNK)}
         OR f_City IN {_junk(CITY_JUNK)} OR length(t_City) < 2""",
@@ -119,17 +119,17 @@ class GroupRule:
 
 # Normalised columns a group rule may refer to.
 GROUP_COLUMNS: dict[str, str] = {
-    "_mid": norm_id("AcquirerMerchantID"),
-    "_caid": norm_id("CAID"),
-    "_dba": norm_text("DBAName"),
-    "_legal": norm_text("LegalName"),
-    "_street": norm_text("Street"),
-    "_city": norm_text("City"),
-    "_postal": norm_text("PostalCode"),
+    "_mid": key_id("AcquirerMerchantID"),
+    "_caid": key_id("CAID"),
+    "_dba": key_text("DBAName"),
+    "_legal": key_text("LegalName"),
+    "_street": key_text("Street"),
+    "_city": key_text("City"),
+    "_postal": key_text("PostalCode"),
     # NULL as soon as one part is NULL, so such an address counts as none
-    "_address": " || '|' || ".join(norm_text(c) for c in ("Street", "City", "PostalCode")),
-    "_aggregator": norm_text("AggregatorID"),
-    "_tax": norm_text("BusinessRegistrationID"),
+    "_address": " || '|' || ".join(key_text(c) for c in ("Street", "City", "PostalCode")),
+    "_aggregator": key_text("AggregatorID"),
+    "_tax": key_text("BusinessRegistrationID"),
 }
 
 GROUP_RULES: dict[str, GroupRule] = {
@@ -151,19 +151,27 @@ def _present(keys: tuple[str, ...], nonempty: tuple[str, ...]) -> str:
     return " AND ".join([*tests, *[f"{c} <> ''" for c in nonempty]])
 
 
+def _hashes(value: str) -> list[str]:
+    """Two independent 64-bit hashes of a value, NULL for NULL."""
+    return [f"IF({value} IS NULL, NULL, xxhash64({value}, {seed}))" for seed in (1, 2)]
+
+
 def flagged_groups(df: DataFrame, rule_id: str) -> DataFrame:
     """Keys of the groups that break the rule, with the number `n` of rows they hold."""
     rule = GROUP_RULES[rule_id]
     keys = ", ".join(rule.keys)
+    forms = [h for v in rule.values for h in _hashes(v)]
+    names = [f"_h{i}" for i in range(len(forms))]
     if rule.differ:
-        broken = " OR ".join(f"min({v}) <> max({v})" for v in rule.values)
+        broken = " OR ".join(f"min({h}) <> max({h})" for h in names)
     else:
-        broken = " AND ".join(["count(*) > 1", *[f"min({v}) = max({v})" for v in rule.values]])
+        broken = " AND ".join(["count(*) > 1", *[f"min({h}) = max({h})" for h in names]])
     return df.sparkSession.sql(
         f"""
         SELECT {keys}, count(*) AS n
-        FROM (SELECT {", ".join(_columns(rule.keys + rule.values))} FROM {{df}})
-        WHERE {_present(rule.keys, rule.nonempty)}
+        FROM (SELECT {keys}, {", ".join(f"{f} AS {n}" for f, n in zip(forms, names))}
+              FROM (SELECT {", ".join(_columns(rule.keys + rule.values))} FROM {{df}})
+              WHERE {_present(rule.keys, rule.nonempty)})
         GROUP BY {keys}
         HAVING {broken}
         """,
@@ -171,9 +179,7 @@ def flagged_groups(df: DataFrame, rule_id: str) -> DataFrame:
     )
 
 
-def rows_in_flagged_groups(
-    df: DataFrame, rule_id: str, keep: list[str], hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def rows_in_flagged_groups(df: DataFrame, rule_id: str, keep: list[str]) -> DataFrame:
     """The `keep` columns of every row that belongs to a group breaking the rule."""
     rule = GROUP_RULES[rule_id]
     # rows are filtered by key only: a rule may return rows it did not count
@@ -181,8 +187,7 @@ def rows_in_flagged_groups(
     keyed = df.selectExpr(*[quoted(c) for c in keep], *_columns(rule.keys)).where(
         _present(rule.keys, on_keys)
     )
-    hits = join_groups(keyed, flagged_groups(df, rule_id), rule.keys, hot_rows=hot_rows)
-    return hits.drop(*rule.keys)
+    return join_groups(keyed, flagged_groups(df, rule_id), rule.keys).drop(*rule.keys)
 
 
 def acquirer_name_hits(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -218,7 +223,7 @@ def acquirer_name_hits(df: DataFrame, keep: list[str]) -> DataFrame:
     return hits.where("violated_column IS NOT NULL")
 
 
-def rule_rows(df: DataFrame, rule_id: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def rule_rows(df: DataFrame, rule_id: str) -> DataFrame:
     """All columns of the rows breaking one built-in rule, plus `violation_id`."""
     df = df.drop("Violations", "violation_id", "violated_column")
     if rule_id in ROW_RULES:
@@ -226,5 +231,5 @@ def rule_rows(df: DataFrame, rule_id: str, hot_rows: int = HOT_ROWS) -> DataFram
     if rule_id == "V1":
         hits = acquirer_name_hits(df, df.columns)
     else:
-        hits = rows_in_flagged_groups(df, rule_id, df.columns, hot_rows)
+        hits = rows_in_flagged_groups(df, rule_id, df.columns)
     return hits.withColumn("violation_id", F.lit(rule_id))

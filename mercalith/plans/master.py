@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercalith.functions.normalize import literal, quoted
+from mercalith.functions.normalize import cast_value, literal, quoted
 from mercalith.spec import ROW_ID, SPARK_TYPES, TARGET_COLUMNS, TARGET_NAMES
 
 # Derivations every build may use, over named source columns.
@@ -71,27 +71,59 @@ def build_target(
     key: str,
     constants: dict[str, str | int | None] | None = None,
     distinct: bool = True,
+    feed: str | None = None,
 ) -> DataFrame:
     """`row_id` and the 31 columns in order, each cast to its type.
 
-    A mapping row gives a source column or, if derived, SQL text over table.column names.
-    `constants` set target columns outright.  Unmapped columns are NULL.  `key` is a column of
+    Dates may be written yyyyMMdd and numbers with decimals (rounded); `lost_values` counts what no
+    cast can save.  A mapping row gives a source column or, if derived, SQL text over table.column names.
+    A mapping of several feeds needs `feed`; a target mapped twice is refused.  `constants` set target columns outright.  Unmapped columns are NULL.  `key` is a column of
     `main` that identifies its rows; of rows alike in all 31 columns the smallest key stays.
     """
-    if isinstance(mapping, DataFrame):
-        mapping = [row.asDict() for row in mapping.toLocalIterator()]  # at most 31 rows
-    chosen = {m["target"]: _expression(m) for m in mapping}
+    chosen = _chosen(mapping, feed)
     for name, value in (constants or {}).items():
         chosen[name] = "NULL" if value is None else literal(str(value))
-    columns = []
-    for c in TARGET_COLUMNS:
-        type_name = SPARK_TYPES[c.type].simpleString()
-        columns.append(f"try_cast({chosen.get(c.name, 'NULL')} AS {type_name}) AS {c.name}")
+    columns = [
+        f"{cast_value(chosen.get(c.name, 'NULL'), SPARK_TYPES[c.type])} AS {c.name}" for c in TARGET_COLUMNS
+    ]
     joined = join_sources(tables, main, plan)
     built = joined.selectExpr(f"CAST({quoted(main)}.{quoted(key)} AS BIGINT) AS {ROW_ID}", *columns)
     return distinct_rows(built) if distinct else built
 
 
+def _chosen(mapping: DataFrame | Iterable[dict], feed: str | None) -> dict[str, str]:
+    """SQL text per mapped target column, of one feed."""
+    if isinstance(mapping, DataFrame):
+        if feed is not None:
+            mapping = mapping.where(F.col("feed") == feed)
+        # one row for each target, and one more to notice that there are too many
+        mapping = [row.asDict() for row in mapping.limit(len(TARGET_COLUMNS) + 1).collect()]
+    elif feed is not None:
+        mapping = [m for m in mapping if m.get("feed") == feed]
+    chosen: dict[str, str] = {}
+    for m in mapping:
+        if m["target"] in chosen:
+            raise ValueError(f"{m['target']} is mapped twice; several feeds need `feed`")
+        chosen[m["target"]] = _expression(m)
+    return chosen
+
+
+def lost_values(
+    tables: dict[str, DataFrame], mapping: DataFrame | Iterable[dict], plan: Iterable[dict], main: str, feed: str | None = None
+) -> DataFrame:
+    """column_name, lost: per mapped column how many values that are not blank its type cannot hold."""
+    chosen = {t: e for t, e in _chosen(mapping, feed).items() if e != "NULL"}
+    types = {c.name: SPARK_TYPES[c.type] for c in TARGET_COLUMNS}
+    names = [n for n in TARGET_NAMES if n in chosen]
+    counts = [
+        f"count_if(trim(CAST({chosen[n]} AS STRING)) <> '' AND {cast_value(chosen[n], types[n])} IS NULL) AS {quoted(n)}"
+        for n in names
+    ]
+    one = join_sources(tables, main, plan).selectExpr(*counts)
+    listed = ", ".join(f"'{n}', {quoted(n)}" for n in names)
+    return one.selectExpr(f"stack({len(names)}, {listed}) AS (column_name, lost)")
+
+
 def distinct_rows(target: DataFrame) -> DataFrame:
     """No two rows alike in the 31 columns; copies collapse before the shuffle."""
     return (

@@ -8,21 +8,17 @@ needs_confirmation.  Fixes are ordered by (source_row_id, column_no).
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from mercalith.functions.normalize import WHITESPACE, literal, quoted
+from mercalith.functions.normalize import WHITESPACE, cast_value, literal, quoted
 from mercalith.operators.groups import join_groups
 from mercalith.operators.rules import NAME_FIELDS
 from mercalith.plans.checker import CAID, MID, Rule, run_rule
 from mercalith.spec import DEFAULT_STRATEGY, ROW_ID, RULES, SPARK_TYPES, TARGET_COLUMNS
 
-# How many fixes one plan lists, and rows looked at by the generic plan.
-MAX_FIXES = 500
-GENERIC_ROWS = 200
-
 _ORDER = ("source_row_id", "column_no")
 
 
@@ -32,29 +28,30 @@ def locate_rows(hits: DataFrame, target: DataFrame, mode: str = "first") -> Data
     Mode `first` is the first target row with the same identifiers, compared as text; a NULL
     identifier is left out of the comparison and a hit with both NULL is dropped.  Mode
     `exact` is the violating row itself.
+
+    One lookup table answers all hits in one join: the smallest row of every pair, and of every
+    single identifier with the other one NULL.
     """
     if mode == "exact":
         return hits.withColumn("located", F.col(ROW_ID))
     ids = [f"CAST({CAID} AS STRING) AS _caid", f"CAST({MID} AS STRING) AS _mid"]
-    pairs = (
-        target.selectExpr(*ids, ROW_ID)
-        .groupBy("_caid", "_mid")
-        .agg(F.min(ROW_ID).alias("located"), F.count(F.lit(1)).alias("n"))
+    known = hits.sparkSession.sql(
+        f"""
+        SELECT key._caid, key._mid, min(located) AS located
+        FROM (
+          SELECT min({ROW_ID}) AS located, explode(array(
+            named_struct('_caid', _caid, '_mid', _mid),
+            named_struct('_caid', _caid, '_mid', CAST(NULL AS STRING)),
+            named_struct('_caid', CAST(NULL AS STRING), '_mid', _mid))) AS key
+          FROM {{ids}} GROUP BY _caid, _mid)
+        WHERE key._caid IS NOT NULL OR key._mid IS NOT NULL
+        GROUP BY key._caid, key._mid
+        """,
+        ids=target.selectExpr(*ids, ROW_ID),
     )
-    rows = hits.selectExpr("*", *ids)
-    found = []
-    for keys, condition in (
-        (("_caid", "_mid"), "_caid IS NOT NULL AND _mid IS NOT NULL"),
-        (("_mid",), "_caid IS NULL AND _mid IS NOT NULL"),
-        (("_caid",), "_caid IS NOT NULL AND _mid IS NULL"),
-    ):
-        known = pairs.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
-        if len(keys) == 1:
-            known = known.groupBy(*keys).agg(
-                F.min("located").alias("located"), F.sum("n").alias("n")
-            )
-        found.append(join_groups(rows.where(condition), known, keys, "INNER", ("located",)))
-    return reduce(DataFrame.unionByName, found).drop("_caid", "_mid")
+    rows = hits.selectExpr("*", *ids).where("_caid IS NOT NULL OR _mid IS NOT NULL")
+    found = join_groups(rows, known, ("_caid", "_mid"), "INNER", ("located",), null_safe=True)
+    return found.drop("_caid", "_mid")
 
 
 def _strip(name: str) -> str:
@@ -137,20 +134,15 @@ def _proposals(rule_id: str, columns: Iterable[str]) -> list[str]:
     return [_stub(0, first, "true", f"'Flagged by {rule_id}, needs {need}'", strategy)]
 
 
-HANDLED = ("V1", "V2", "V4", "V5", "V9", "V12")
-
-
 def propose_fixes(
     target: DataFrame,
     rule: Rule,
     mode: str = "first",
-    max_fixes: int | None = MAX_FIXES,
+    max_fixes: int | None = None,
     hits: DataFrame | None = None,
 ) -> DataFrame:
-    """The proposals for one rule.  `max_fixes=None` lists them all."""
+    """The proposals for one rule, all of them unless `max_fixes` asks for the first so many."""
     hits = run_rule(target, rule) if hits is None else hits
-    if rule.id not in HANDLED and max_fixes is not None:
-        hits = hits.orderBy(ROW_ID).limit(GENERIC_ROWS)
     proposals = ", ".join(_proposals(rule.id, rule.columns))
     found = (
         locate_rows(hits, target, mode)
@@ -165,7 +157,7 @@ def propose_fixes(
     return found if max_fixes is None else cap_fixes(found, max_fixes)
 
 
-def cap_fixes(fixes: DataFrame, limit: int = MAX_FIXES) -> DataFrame:
+def cap_fixes(fixes: DataFrame, limit: int) -> DataFrame:
     """The first `limit` fixes; a task keeps `limit` rows at most."""
     return fixes.orderBy(*_ORDER).limit(limit)
 
@@ -199,46 +191,72 @@ def plan_summary(fixes: DataFrame, total: DataFrame) -> DataFrame:
     )
 
 
+def _judged(target: DataFrame, fixes: DataFrame) -> DataFrame:
+    """`fixes` with a value, whether their column is the target's and whether its type can hold it."""
+    names = {c for c in target.columns if c != ROW_ID}
+    types = {c.name: SPARK_TYPES[c.type] for c in TARGET_COLUMNS if c.name in names}
+    # text columns take any value; '' empties a column of another type
+    typed = {n: t for n, t in types.items() if not isinstance(t, T.StringType)}
+    tests = " ".join(
+        f"WHEN `column` = '{n}' THEN new_value = '' OR {cast_value('new_value', t)} IS NOT NULL" for n, t in typed.items()
+    )
+    listed = ", ".join(f"'{n}'" for n in sorted(names))
+    fits = f"CASE {tests} ELSE true END" if tests else "true"
+    return fixes.where("new_value IS NOT NULL").selectExpr("*", f"`column` IN ({listed}) AS _known", f"{fits} AS _fits")
+
+
+def rejected_fixes(target: DataFrame, fixes: DataFrame) -> DataFrame:
+    """The fixes whose value the column's type cannot hold; `apply_fixes` leaves those cells alone."""
+    return _judged(target, fixes).where("_known AND NOT _fits").drop("_known", "_fits")
+
+
 def apply_fixes(
     target: DataFrame, fixes: DataFrame, order: Iterable[str] = _ORDER
 ) -> DataFrame:
-    """A new version of the target.  Fixes without a value do nothing; of several fixes of one
-    cell the last in `order` wins; '' is a value, NULL is none."""
+    """A new version of the target.  Fixes without a value do nothing, nor do those whose value
+    the column's type cannot hold (`rejected_fixes`); of several fixes of one cell the last in
+    `order` wins; '' is a value (NULL in a column that is no text), NULL is none."""
     order = list(order)
     columns = [c for c in target.columns if c != ROW_ID]
-    listed = ", ".join(f"'{c}'" for c in columns)
     last = (
-        fixes.where(f"new_value IS NOT NULL AND `column` IN ({listed})")
+        _judged(target, fixes)
+        .where("_known AND _fits")
         .groupBy(ROW_ID, "column")
         .agg(F.expr(f"max_by(new_value, struct({', '.join(order)}))").alias("new_value"))
         .groupBy(ROW_ID)
         .agg(F.expr("map_from_entries(collect_list(struct(`column`, new_value)))").alias("_new"))
     )
-    types = {c.name: SPARK_TYPES[c.type].simpleString() for c in TARGET_COLUMNS}
-    changed = [
-        f"CASE WHEN map_contains_key(_new, '{c}') "
-        f"THEN try_cast(_new['{c}'] AS {types.get(c, 'string')}) ELSE {quoted(c)} END AS {quoted(c)}"
-        for c in columns
-    ]
+    types = {c.name: SPARK_TYPES[c.type] for c in TARGET_COLUMNS}
+    changed = []
+    for c in columns:
+        value = cast_value(f"_new['{c}']", types.get(c, T.StringType()))
+        changed.append(
+            f"CASE WHEN map_contains_key(_new, '{c}') THEN {value} ELSE {quoted(c)} END AS {quoted(c)}"
+        )
     return target.join(last, ROW_ID, "left").selectExpr(ROW_ID, *changed)
 
 
 def rows_modified(target: DataFrame, fixes: DataFrame) -> DataFrame:
-    """One row: how many fixes had a value and a row to go to, repeats included."""
+    """One row: how many fixes had a value that fits and a row to go to, repeats included."""
     return (
-        fixes.where("new_value IS NOT NULL")
+        _judged(target, fixes)
+        .where("_fits")
         .join(target.select(ROW_ID), ROW_ID, "left_semi")
         .agg(F.count(F.lit(1)).alias("rows_modified"))
     )
 
 
-def reverify(rule: Rule, before: DataFrame, after: DataFrame) -> DataFrame:
-    """rule_id, counts on both versions and delta (positive: fewer violations)."""
+def reverify(rule: Rule, before: DataFrame, after: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """rule_id, counts on both versions and delta (positive: fewer violations).
+
+    With `counts` (rule_id, rows) of an earlier check also `total_violations`, its total with this
+    rule's new count in place of the old one.
+    """
     counted = [
         run_rule(version, rule).agg(F.count(F.lit(1)).alias("n")).selectExpr(f"'{which}' AS w", "n")
         for which, version in (("old", before), ("new", after))
     ]
-    return (
+    found = (
         counted[0]
         .unionByName(counted[1])
         .agg(
@@ -251,6 +269,15 @@ def reverify(rule: Rule, before: DataFrame, after: DataFrame) -> DataFrame:
             "previous_violation_count - new_violation_count AS delta",
         )
     )
+    if counts is None:
+        return found
+    # one row on either side
+    others = counts.agg(F.expr(f"coalesce(sum(IF(rule_id <> '{rule.id}', rows, 0)), 0L)").alias("others")).selectExpr(
+        f"'{rule.id}' AS rule_id", "others"
+    )
+    return found.join(others, "rule_id").selectExpr(
+        *found.columns, "others + new_violation_count AS total_violations"
+    )
 
 
 def usable_suggestions(target: DataFrame, suggested: DataFrame) -> DataFrame:
@@ -279,11 +306,17 @@ MAX_QUERIES, MAX_RESULTS, MAX_FINDINGS = 3, 5, 10
 
 
 def top_findings(findings: DataFrame) -> DataFrame:
-    """At most 10 findings per merchant: the first 5 results of its first 3 queries.
+    """At most 10 findings per merchant: the first 5 results of its first 3 queries, in order.
 
-    Both limits per query are filters; what is left per merchant is 15 rows, so the final
-    ranking is small for any merchant.
+    Queries are ranked by their number and results by theirs, whatever the numbers are.  Each
+    ranking keeps a bounded number of rows per group, which Spark cuts before it shuffles.
     """
-    kept = findings.where(f"query_no <= {MAX_QUERIES} AND result_no <= {MAX_RESULTS}")
-    rank = "row_number() OVER (PARTITION BY merchant_name ORDER BY query_no, result_no, source)"
-    return kept.selectExpr("*", f"{rank} AS finding_no").where(f"finding_no <= {MAX_FINDINGS}")
+    queries = "dense_rank() OVER (PARTITION BY merchant_name ORDER BY query_no)"
+    results = "row_number() OVER (PARTITION BY merchant_name, query_no ORDER BY result_no, source)"
+    place = "row_number() OVER (PARTITION BY merchant_name ORDER BY query_no, result_no, source)"
+    return (
+        findings.selectExpr("*", f"{results} AS _result").where(f"_result <= {MAX_RESULTS}")
+        .selectExpr("*", f"{queries} AS _query").where(f"_query <= {MAX_QUERIES}")
+        .drop("_result", "_query")
+        .selectExpr("*", f"{place} AS finding_no").where(f"finding_no <= {MAX_FINDINGS}")
+    )

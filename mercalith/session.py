@@ -34,19 +34,30 @@ def get_session(
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: `spark.checkpoint.dir`.
 
-    Only where the setting is absent (a local test session) is a temporary folder made.
+    Where it is unset, a session on one machine gets a temporary folder; on a cluster, whose
+    machines would each write to a folder of their own, it must be set.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     local = tempfile.mkdtemp(prefix="mercalith-")
     spark.conf.set("spark.checkpoint.dir", local)
     return local
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Delete the datasets that this application has written with `stored` or `scratch_path`."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/mercalith/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for a dataset written by one run."""
-    return f"{shared_dir(spark)}/mercalith/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/mercalith/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -58,15 +69,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give every core work where a scan has fewer splits than the cluster has cores.
-
-    A large table has many splits already and is returned unchanged, without a shuffle.  A
-    small one is hashed by `keys`, which should be close to unique.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)

@@ -4,69 +4,64 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-# Target columns in output order, as "name type need" where need is
-# required, submerchant (required for sub-merchants only) or optional.
-_COLUMNS = """
-ProcessorBINCIB integer required
-ProcessorName string required
-LocationCountry integer required
-AcquirerBID integer required
-AcquirerName string required
-AcquirerMerchantID string required
-AcquirerBIN integer required
-AggregatorID string submerchant
-AggregatorName string submerchant
-AggregatorType string submerchant
-CAID string required
-DBAName string required
-LegalName string required
-CorporateStatus integer required
-CorporateName string optional
-DateSigned date required
-BASEIIName string submerchant
-Street string required
-City string required
-StateProvinceCode string optional
-PostalCode string required
-MCC1 integer required
-MCC2 integer optional
-MCC3 integer optional
-MCC4 integer optional
-MCC5 integer optional
-MCC6 integer optional
-MCC7 integer optional
-MCC8 integer optional
-MCC9 integer optional
-BusinessRegistrationID string optional
-"""
+ROW_ID = "row_id"
 
 
 @dataclass(frozen=True)
 class TargetColumn:
+    """`need`: required, submerchant (required for sub-merchants only) or optional."""
+
     name: str
     type: str
     need: str
 
 
-TARGET_COLUMNS = [TargetColumn(*line.split()) for line in _COLUMNS.split("\n") if line]
+# The target columns in output order.
+TARGET_COLUMNS = [
+    TargetColumn("ProcessorBINCIB", "integer", "required"),
+    TargetColumn("ProcessorName", "string", "required"),
+    TargetColumn("LocationCountry", "integer", "required"),
+    TargetColumn("AcquirerBID", "integer", "required"),
+    TargetColumn("AcquirerName", "string", "required"),
+    TargetColumn("AcquirerMerchantID", "string", "required"),
+    TargetColumn("AcquirerBIN", "integer", "required"),
+    TargetColumn("AggregatorID", "string", "submerchant"),
+    TargetColumn("AggregatorName", "string", "submerchant"),
+    TargetColumn("AggregatorType", "string", "submerchant"),
+    TargetColumn("CAID", "string", "required"),
+    TargetColumn("DBAName", "string", "required"),
+    TargetColumn("LegalName", "string", "required"),
+    TargetColumn("CorporateStatus", "integer", "required"),
+    TargetColumn("CorporateName", "string", "optional"),
+    TargetColumn("DateSigned", "date", "required"),
+    TargetColumn("BASEIIName", "string", "submerchant"),
+    TargetColumn("Street", "string", "required"),
+    TargetColumn("City", "string", "required"),
+    TargetColumn("StateProvinceCode", "string", "optional"),
+    TargetColumn("PostalCode", "string", "required"),
+    TargetColumn("MCC1", "integer", "required"),
+    TargetColumn("MCC2", "integer", "optional"),
+    TargetColumn("MCC3", "integer", "optional"),
+    TargetColumn("MCC4", "integer", "optional"),
+    TargetColumn("MCC5", "integer", "optional"),
+    TargetColumn("MCC6", "integer", "optional"),
+    TargetColumn("MCC7", "integer", "optional"),
+    TargetColumn("MCC8", "integer", "optional"),
+    TargetColumn("MCC9", "integer", "optional"),
+    TargetColumn("BusinessRegistrationID", "string", "optional"),
+]
 TARGET_NAMES = [c.name for c in TARGET_COLUMNS]
 SPARK_TYPES = {"integer": T.IntegerType(), "string": T.StringType(), "date": T.DateType()}
 TARGET_SCHEMA = T.StructType([T.StructField(c.name, SPARK_TYPES[c.type]) for c in TARGET_COLUMNS])
 
-ROW_ID = "row_id"
-
-
-def spec_frame(spark: SparkSession) -> DataFrame:
-    """The schema as 31 rows (position, target, type, need); safe to broadcast."""
-    rows = [(i, c.name, c.type, c.need) for i, c in enumerate(TARGET_COLUMNS)]
-    return spark.createDataFrame(rows, "position int, target string, type string, need string")
-
 
 @dataclass(frozen=True)
 class RuleInfo:
+    """`columns` are those a violation concerns, `strategy` how it is remedied, `group_by` the raw
+    columns whose distinct values count as one violation group (empty: every row counts)."""
+
     id: str
     name: str
     description: str
@@ -75,35 +70,106 @@ class RuleInfo:
     group_by: tuple[str, ...] = ()
 
 
-# Rule id | name | description | affected columns | remediation strategy |
-# raw columns whose distinct values count as one violation group (empty: every row counts).
-_RULES = """
-V1|Acquirer Name in Merchant Fields|Acquirer name is populated under the DBA name, legal name or BASEIIName field|DBAName,LegalName,BASEIIName|auto_fix|
-V2|Street and City Same|Street and city details are the same string or variation|Street,City|web_research|
-V3|Same MID/CAID/DBA Multiple Addresses|Same MID, CAID, DBA name but multiple addresses reported|AcquirerMerchantID,CAID,DBAName,Street,City|manual_review|CAID,AcquirerMerchantID,DBAName
-V4|Invalid Address|Invalid address details (fake addresses, PO boxes, junk strings)|Street,City|web_research|
-V5|Invalid BASEIIName|Invalid BASEIIName for PF records or null for acquirer-sent PF records|BASEIIName,AggregatorName|auto_fix|
-V6|CIB/BID/BIN Copied|CIB, BID, BIN numeric values are identical (should be distinct identifiers)|ProcessorBINCIB,AcquirerBID,AcquirerBIN|manual_review|
-V7|Invalid CAID|Invalid CAIDs (null, blank, special characters, too short/long)|CAID|manual_review|
-V8|Same Address Different MIDs|Same normalized address but different MIDs assigned|Street,City,PostalCode,AcquirerMerchantID|manual_review|Street,City,PostalCode
-V9|Invalid Business Registration ID|Invalid values in BusinessRegistrationID/Tax ID field|BusinessRegistrationID|web_research|
-V10|Same MID/CAID Different Names|Same MID and CAID but different DBA names or legal names|AcquirerMerchantID,CAID,DBAName,LegalName|web_research|CAID,AcquirerMerchantID
-V11|Different MIDs Same CAID|Different MIDs but same CAID (case-insensitive, space-compressed)|AcquirerMerchantID,CAID|manual_review|CAID
-V12|BASEIIName Copied to DBA/Legal|BASEIIName is simply copied across DBA name and legal name fields|BASEIIName,DBAName,LegalName|auto_fix|
-V13|Sub-merchants Same Tax ID|All sub-merchants under an aggregator assigned the same Tax ID|AggregatorID,BusinessRegistrationID|manual_review|AggregatorID
-"""
-
-
-def _names(text: str) -> tuple[str, ...]:
-    return tuple(n for n in text.split(",") if n)
-
-
-def _rule(line: str) -> RuleInfo:
-    rule_id, name, description, columns, strategy, group_by = line.split("|")
-    return RuleInfo(rule_id, name, description, _names(columns), strategy, _names(group_by))
-
-
-RULES = {rule.id: rule for rule in map(_rule, filter(None, _RULES.split("\n")))}
+# Ids, names, columns, strategies and group columns.
+_REGISTRY = (
+    RuleInfo(
+        "V1",
+        "Acquirer Name in Merchant Fields",
+        "A merchant name field shows the acquirer's own name",
+        ("DBAName", "LegalName", "BASEIIName"),
+        "auto_fix",
+    ),
+    RuleInfo(
+        "V2",
+        "Street and City Same",
+        "The street repeats the city, wholly or once digits and signs are left out",
+        ("Street", "City"),
+        "web_research",
+    ),
+    RuleInfo(
+        "V3",
+        "Same MID/CAID/DBA Multiple Addresses",
+        "One merchant (same MID, CAID and DBA name) stands at several addresses",
+        ("AcquirerMerchantID", "CAID", "DBAName", "Street", "City"),
+        "manual_review",
+        ("CAID", "AcquirerMerchantID", "DBAName"),
+    ),
+    RuleInfo(
+        "V4",
+        "Invalid Address",
+        "The address is a post box, a placeholder or too short to be one",
+        ("Street", "City"),
+        "web_research",
+    ),
+    RuleInfo(
+        "V5",
+        "Invalid BASEIIName",
+        "A sub-merchant's BASEIIName is missing or only repeats another name",
+        ("BASEIIName", "AggregatorName"),
+        "auto_fix",
+    ),
+    RuleInfo(
+        "V6",
+        "CIB/BID/BIN Copied",
+        "Two of the numbers that identify processor and acquirer are equal",
+        ("ProcessorBINCIB", "AcquirerBID", "AcquirerBIN"),
+        "manual_review",
+    ),
+    RuleInfo(
+        "V7",
+        "Invalid CAID",
+        "The CAID is missing, too short, too long or without a letter or digit",
+        ("CAID",),
+        "manual_review",
+    ),
+    RuleInfo(
+        "V8",
+        "Same Address Different MIDs",
+        "Several MIDs share one address",
+        ("Street", "City", "PostalCode", "AcquirerMerchantID"),
+        "manual_review",
+        ("Street", "City", "PostalCode"),
+    ),
+    RuleInfo(
+        "V9",
+        "Invalid Business Registration ID",
+        "The tax id is a placeholder or too short",
+        ("BusinessRegistrationID",),
+        "web_research",
+    ),
+    RuleInfo(
+        "V10",
+        "Same MID/CAID Different Names",
+        "One MID and CAID carry several DBA or legal names",
+        ("AcquirerMerchantID", "CAID", "DBAName", "LegalName"),
+        "web_research",
+        ("CAID", "AcquirerMerchantID"),
+    ),
+    RuleInfo(
+        "V11",
+        "Different MIDs Same CAID",
+        "One CAID is used with several MIDs",
+        ("AcquirerMerchantID", "CAID"),
+        "manual_review",
+        ("CAID",),
+    ),
+    RuleInfo(
+        "V12",
+        "BASEIIName Copied to DBA/Legal",
+        "BASEIIName is a copy of the DBA or legal name",
+        ("BASEIIName", "DBAName", "LegalName"),
+        "auto_fix",
+    ),
+    RuleInfo(
+        "V13",
+        "Sub-merchants Same Tax ID",
+        "All rows of an aggregator share a single tax id",
+        ("AggregatorID", "BusinessRegistrationID"),
+        "manual_review",
+        ("AggregatorID",),
+    ),
+)
+RULES = {rule.id: rule for rule in _REGISTRY}
 
 # Rules a reviewer has to switch on explicitly.
 OFF_BY_DEFAULT = ("V5", "V11", "V12")

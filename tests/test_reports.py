@@ -159,6 +159,32 @@ def test_fixing_v5(make):
 def test_fix_limits(make):
     rows = make({i: {"CAID": "-" * (i % 2 + 1), "AcquirerMerchantID": f"m{i}", "AggregatorName": "a"} for i in range(700)})
     rules = {r.id: r for r in effective_rules()}
-    assert fix.propose_fixes(rows, rules["V7"]).count() == 200
-    assert fix.propose_fixes(rows, rules["V5"]).count() == 500
-    assert fix.propose_fixes(rows, rules["V5"], max_fixes=None).count() == 700
+    assert fix.propose_fixes(rows, rules["V7"]).count() == 700
+    assert fix.propose_fixes(rows, rules["V5"]).count() == 700
+    for rule_id in ("V5", "V7"):
+        first = fix.propose_fixes(rows, rules[rule_id], max_fixes=300)
+        assert sorted(r.source_row_id for r in first.collect()) == list(range(300))
+
+
+def test_values_of_the_wrong_type_leave_the_cell_alone(spark, make):
+    rows = make({1: {"MCC1": 5034, "City": "Rome"}, 2: {"MCC1": 1}})
+    fixes = spark.createDataFrame(
+        [(1, 0, 1, "MCC1", "abc"), (1, 1, 1, "DateSigned", "20240131"), (2, 0, 2, "MCC1", "5411.0"), (2, 1, 2, "City", "x")],
+        "source_row_id bigint, column_no int, row_id bigint, `column` string, new_value string",
+    )
+    after = {r.row_id: r for r in fix.apply_fixes(rows, fixes).collect()}
+    assert after[1].MCC1 == 5034 and str(after[1].DateSigned) == "2024-01-31"
+    assert (after[2].MCC1, after[2].City) == (5411, "x")
+    assert [(r.row_id, r.column) for r in fix.rejected_fixes(rows, fixes).collect()] == [(1, "MCC1")]
+    assert fix.rows_modified(rows, fixes).first().rows_modified == 3
+
+
+def test_findings_are_ranked_not_filtered(spark):
+    schema = "merchant_name string, query_no int, result_no int, source string"
+    gaps = [("a", q, r, f"{q}{r}") for q in (2, 4, 6, 8) for r in (7, 8, 9)]
+    same = [("b", 1, 1, f"s{i:02}") for i in range(30)]
+    got = fix.top_findings(spark.createDataFrame(gaps + same, schema)).collect()
+    assert [(r.query_no, r.result_no) for r in sorted(got, key=lambda r: r.finding_no) if r.merchant_name == "a"] == [
+        (q, r) for q in (2, 4, 6) for r in (7, 8, 9)
+    ]
+    assert sorted(r.source for r in got if r.merchant_name == "b") == [f"s{i:02}" for i in range(5)]

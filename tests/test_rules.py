@@ -3,7 +3,6 @@
 import pytest
 from conftest import ids
 
-from mercalith.operators import groups
 from mercalith.operators.rules import GROUP_RULES, ROW_RULES, row_rule_hits, rule_rows
 from mercalith.plans.checker import check
 
@@ -179,17 +178,42 @@ def test_hot_groups_are_spread_without_changing_the_result(spark, tmp_path, rule
     target.write.parquet(str(tmp_path / "t"))
     target = spark.read.parquet(str(tmp_path / "t"))
     usual = ids(rule_rows(target, rule_id))
-    spread = [r.row_id for r in rule_rows(target, rule_id, hot_rows=50).collect()]
+    # every partition counts as skewed, so adaptive execution splits the join
+    split = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1024",
+    }
+    before = {k: spark.conf.get(k, None) for k in split}
+    for k, v in split.items():
+        spark.conf.set(k, v)
+    try:
+        found = [r.row_id for r in rule_rows(target, rule_id).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert len(usual) >= 1000
-    assert sorted(spread) == sorted(usual)
+    assert sorted(found) == sorted(usual)
+
+
+@pytest.mark.parametrize("rule_id", list(GROUP_RULES))
+def test_a_group_rule_is_one_hash_aggregate(spark, rule_id):
+    from workload.target_view import target
+
+    rows = rule_rows(target(spark, "/root/testdata/sf0.001"), rule_id)
+    text = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "SortAggregate" not in text
+    assert text.count("HashAggregate") == 2 and text.count("FileScan") == 2
 
 
-def test_hot_key_list_may_be_cut_short(spark, monkeypatch):
-    """Keys that do not make the broadcast list still find their rows."""
-    rows = spark.range(1000).selectExpr("id AS row_id", "CAST(id % 10 AS STRING) AS k")
-    keys = rows.groupBy("k").count().withColumnRenamed("count", "n").where("k < '7'")
-    monkeypatch.setattr(groups, "HOT_KEYS", 2)
-    assert groups.join_groups(rows, keys, ("k",), hot_rows=10).count() == 700
+def test_all_rules_read_the_target_a_bounded_number_of_times(spark):
+    from workload.target_view import target
+
+    plan = check(target(spark, "/root/testdata/sf0.001")).long._jdf.queryExecution().executedPlan().toString()
+    text = plan.split("== Initial Plan ==")[-1]
+    assert text.count("FileScan") <= 12 and "SortAggregate" not in text
 
 
 def test_all_row_rules_share_one_scan(make):

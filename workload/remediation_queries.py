@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercalith.plans import remediation as fix
@@ -82,16 +85,28 @@ for _rule_id in _SQL:
     _register(_rule_id)
 
 
-@query(
-    "fix_generic",
-    over_forms(
-        f"SELECT * FROM ({_stub_sql('V11', 'AcquirerMerchantID', strat='manual_review')}) "
-        "ORDER BY source_row_id LIMIT 200",
-        _pairs_sql("V11"),
-    ),
-)
+# Every rule without a plan of its own, and one rule of a user.
+_GENERIC = {"V3": "AcquirerMerchantID", "V6": "ProcessorBINCIB", "V7": "CAID", "V8": "Street", "V10": "AcquirerMerchantID",
+            "V11": "AcquirerMerchantID", "V13": "AggregatorID"}
+_USER = {"id": "U1", "name": "Odd MCC", "columns": ["MCC1"], "sql": "SELECT * FROM merchant_target WHERE MCC1 % 2 = 1"}
+
+
+def _generic_sql() -> str:
+    parts = []
+    for rule_id, column in _GENERIC.items():
+        strategy = "web_research" if rule_id == "V10" else "manual_review"
+        select = _stub_sql(rule_id, column, strat=strategy)
+        parts.append(f"SELECT * FROM (WITH {_pairs_sql(rule_id)} {select})")
+    hits = _pairs_sql("V7").replace(RULE_SQL["V7"], "MCC1 % 2 = 1")
+    parts.append(f"SELECT * FROM (WITH {hits} {_stub_sql('U1', 'MCC1', strat='manual_review')})")
+    return over_forms(" UNION ALL ".join(parts))
+
+
+@query("fix_generic", _generic_sql())
 def fix_generic(spark, sf_dir):
-    return _shown(fix.propose_fixes(target(spark, sf_dir), _RULES["V11"]))
+    rows = target(spark, sf_dir)
+    rules = [*[_RULES[r] for r in _GENERIC], *[r for r in effective_rules([_USER]) if r.id == "U1"]]
+    return _shown(reduce(DataFrame.unionByName, [fix.propose_fixes(rows, r) for r in rules]))
 
 
 @query(
@@ -101,7 +116,7 @@ def fix_generic(spark, sf_dir):
     ),
 )
 def cap_fixes(spark, sf_dir):
-    return _shown(fix.propose_fixes(target(spark, sf_dir), _RULES["V5"]))
+    return _shown(fix.propose_fixes(target(spark, sf_dir), _RULES["V5"], max_fixes=500))
 
 
 # Identifiers shared by several rows, some of them missing.
@@ -173,6 +188,36 @@ def apply_fixes(spark, sf_dir):
     return fix.apply_fixes(rows, fixes).select("row_id", "DBAName", "BASEIIName")
 
 
+# Corrections of the wrong type beside good ones.
+_TYPED = """
+SELECT o_orderkey AS row_id, o_orderkey AS source_row_id, 0 AS column_no,
+       CASE o_orderkey % 3 WHEN 0 THEN 'MCC1' WHEN 1 THEN 'DateSigned' ELSE 'City' END AS {column},
+       CASE o_orderkey % 12 WHEN 0 THEN 'abc' WHEN 1 THEN '20240131' WHEN 3 THEN '5411.0' WHEN 4 THEN '2024-02-30'
+            WHEN 6 THEN '' WHEN 7 THEN '2023-12-05' ELSE 'found' END AS new_value
+FROM orders"""
+
+
+@query(
+    "apply_fixes_rejected",
+    over_target(
+        "SELECT t.row_id, CASE t.row_id % 12 WHEN 3 THEN 5411 WHEN 6 THEN NULL ELSE MCC1 END AS MCC1, "
+        "CAST(CASE t.row_id % 12 WHEN 1 THEN DATE '2024-01-31' WHEN 7 THEN DATE '2023-12-05' ELSE DateSigned END AS VARCHAR) AS DateSigned, "
+        "CASE WHEN t.row_id % 3 = 2 THEN 'found' ELSE City END AS City, "
+        "t.row_id % 12 IN (0, 9, 4, 10) AS rejected FROM target t"
+    ),
+)
+def apply_fixes_rejected(spark, sf_dir):
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    fixes = spark.sql(_TYPED.format(column="`column`"))
+    rows = target(spark, sf_dir)
+    refused = fix.rejected_fixes(rows, fixes).select("row_id", F.lit(True).alias("rejected"))
+    return (
+        fix.apply_fixes(rows, fixes)
+        .join(refused, "row_id", "left")
+        .selectExpr("row_id", "MCC1", "CAST(DateSigned AS STRING) AS DateSigned", "City", "coalesce(rejected, false) AS rejected")
+    )
+
+
 @query(
     "reverify",
     over_forms(
@@ -220,18 +265,26 @@ def apply_external_fixes(spark, sf_dir):
     )
 
 
+# Numbers with gaps and repeats: some merchants start at query 4 and result 9.
 _FINDINGS = """
 SELECT 'merchant ' || CAST(user_id % 50 AS STRING) AS merchant_name,
-       event_id % 5 + 1 AS query_no, (event_id % 77) % 7 + 1 AS result_no,
+       (event_id % 5 + 1) * (user_id % 3 + 1) + user_id % 4 AS query_no,
+       (event_id % 77) % 7 + user_id % 9 AS result_no,
        CAST(event_id AS STRING) AS source, event_type AS title
 FROM events"""
 
 
 @query(
     "findings_topk",
-    f"""SELECT merchant_name, query_no, result_no, source, title,
+    f"""WITH f AS ({_FINDINGS}),
+        first AS (SELECT merchant_name, list_sort(list_distinct(list(query_no)))[1:3] AS qs FROM f GROUP BY 1),
+        early AS (SELECT f.*, (SELECT count(*) FROM f b WHERE b.merchant_name = f.merchant_name
+                              AND b.query_no = f.query_no
+                              AND (b.result_no, b.source) < (f.result_no, f.source)) AS before
+                 FROM f JOIN first USING (merchant_name) WHERE list_contains(qs, query_no))
+        SELECT merchant_name, query_no, result_no, source, title,
                CAST(row_number() OVER w AS BIGINT) AS finding_no
-        FROM ({_FINDINGS}) WHERE query_no < 4 AND result_no < 6
+        FROM early WHERE before < 5
         WINDOW w AS (PARTITION BY merchant_name ORDER BY query_no, result_no, source)
         QUALIFY row_number() OVER w < 11""",
 )

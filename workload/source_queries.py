@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mercalith.operators import discovery, mapping, profile, reference_values
 from mercalith.plans import master
-from mercalith.session import scratch_path, spread
+from mercalith.session import scratch_path
 from mercalith.sources.files import ingest, pick_largest, read_csv, table_stats
 from mercalith.spec import TARGET_COLUMNS
 from workload.oracle import over_target
@@ -41,13 +41,8 @@ def _columns(name: str) -> list[tuple[str, str]]:
     return [tuple(c.split(":")) for c in SCHEMAS[name].split()]
 
 
-# Tables with much work per file, and a key to spread them by where one file holds them whole.
-_HEAVY = {"orders": "o_orderkey", "lineitem": "l_orderkey", "documents": "doc_id", "pages": "page_id"}
-
-
 def _tables(spark, sf_dir, names) -> dict:
-    tables = {n: table(spark, sf_dir, n) for n in names}
-    return {n: spread(df, _HEAVY[n]) if n in _HEAVY else df for n, df in tables.items()}
+    return {n: table(spark, sf_dir, n) for n in names}
 
 
 def _register_views(spark, sf_dir, *names) -> None:
