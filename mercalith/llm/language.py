@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercalith.llm.common import tokenizer_file
+from mercalith.llm.perfect_hash import mix
 from mercalith.llm.word_hashes import slices
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -53,11 +54,76 @@ def pieces(name: str = VOCABULARY) -> dict[str, int]:
     return found
 
 
+class PieceTable:
+    """Finds pieces among all substrings of many words at once, by a rolling hash of characters."""
+
+    def __init__(self, numbers: dict[str, int]):
+        slots = 1 << max(4, (len(numbers) * 16).bit_length())
+        self.mask = slots - 1
+        self.keys = np.zeros(slots, dtype=np.uint64)
+        self.values = np.full(slots, -1, dtype=np.int64)
+        self.probes = 1
+        words = list(numbers)
+        keys = np.zeros(len(words), dtype=np.uint64)
+        for n, rows in _by_length(words):
+            keys[rows] = self.hashes(_characters([words[r] for r in rows]))[:, n]
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("two pieces have one hash")
+        places = (mix(keys, 1) & np.uint64(self.mask)).tolist()
+        for key, at, word in zip(keys, places, words):
+            probe = 1
+            while self.values[at] >= 0:
+                at, probe = (at + 1) & self.mask, probe + 1
+            self.keys[at], self.values[at] = key, numbers[word]
+            self.probes = max(self.probes, probe)
+
+    @staticmethod
+    def hashes(characters: np.ndarray) -> np.ndarray:
+        """h[:, j]: hash of each word's first j characters."""
+        code = mix(characters.astype(np.uint64), 2)
+        out = np.zeros((len(code), code.shape[1] + 1), dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(code.shape[1]):
+                out[:, j + 1] = out[:, j] * _STEP + code[:, j]
+        return out
+
+    def find(self, h: np.ndarray, i: int, j: int, power: np.uint64) -> np.ndarray:
+        """The piece that each word's characters i to j are, -1 if none."""
+        with np.errstate(over="ignore"):
+            key = h[:, j] - h[:, i] * power
+        at = (mix(key, 1) & np.uint64(self.mask)).astype(np.int64)
+        out = np.where(self.keys[at] == key, self.values[at], -1)
+        open_ = np.flatnonzero((out < 0) & (self.values[at] >= 0))
+        for _ in range(self.probes - 1):
+            if not len(open_):
+                break
+            at[open_] = (at[open_] + 1) & self.mask
+            here = at[open_]
+            hit = (self.keys[here] == key[open_]) & (self.values[here] >= 0)
+            out[open_[hit]] = self.values[here[hit]]
+            open_ = open_[~hit & (self.values[here] >= 0)]
+        return out
+
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _characters(words: list[str]) -> np.ndarray:
+    """Code points of words of one length, a row for each."""
+    return np.array(words).view(np.uint32).reshape(len(words), -1)
+
+
+@lru_cache(maxsize=2)
+def piece_table(name: str = VOCABULARY) -> PieceTable:
+    return PieceTable(pieces(name))
+
+
 class Model:
     """Piece probabilities: row 0 is for letters that are no piece, one column for each language."""
 
     def __init__(self, probabilities: np.ndarray, name: str = VOCABULARY):
         self.pieces = pieces(name)
+        self.table = piece_table(name)
         self.longest = max(map(len, self.pieces), default=1)
         self.p = probabilities
 
@@ -77,12 +143,15 @@ class Model:
 
     def _lattice(self, words: list[str], n: int) -> dict[tuple[int, int], np.ndarray]:
         """The piece from i to j of every word of `n` characters, -1 if there is none."""
-        get, out = self.pieces.get, {}
+        out: dict[tuple[int, int], np.ndarray] = {}
+        h = self.table.hashes(_characters(words))
+        powers = np.cumprod(np.full(n + 1, _STEP, dtype=np.uint64), dtype=np.uint64)
         for i in range(n):
             for j in range(i + 1, min(n, i + self.longest) + 1):
-                none = 0 if j == i + 1 else -1
-                ids = np.fromiter((get(w[i:j], none) for w in words), np.int64, len(words))
-                if none == 0 or (ids >= 0).any():
+                ids = self.table.find(h, i, j, powers[j - i - 1])
+                if j == i + 1:
+                    ids = np.maximum(ids, 0)  # a letter that is no piece
+                if j == i + 1 or (ids >= 0).any():
                     out[i, j] = ids
         return out
 
