@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mercalith.functions.normalize import is_whitespace, quoted
+from mercalith.functions.normalize import is_whitespace, literal, quoted
 
 # Longer values are counted by their digest, so texts of any size make small shuffle keys.
 _RAW_LENGTH = 64
@@ -44,12 +44,19 @@ def canonical(name: str, data_type: T.DataType) -> tuple[str, str]:
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
         return "double", f"CAST(CASE WHEN NOT isnan({c}) THEN {c} END AS DOUBLE)"
     if isinstance(data_type, (T.ArrayType, T.MapType, T.StructType)):
-        return "string", f"to_json({c})"
+        return "string", f"to_json({_ordered(c, data_type)})"
     if isinstance(data_type, T.BinaryType):
         return "string", f"hex({c})"
     return "string", f"CAST({c} AS STRING)"
 
 
+def _ordered(expression: str, data_type: T.DataType) -> str:
+    """A map as its entries in order of their keys, so that equal maps are written alike."""
+    if isinstance(data_type, T.MapType):
+        return f"array_sort(map_entries({expression}), (a, b) -> CASE WHEN a.key < b.key THEN -1 WHEN a.key > b.key THEN 1 ELSE 0 END)"
+    return expression
+
+
 def _cells(tables: dict[str, DataFrame], kind: str) -> DataFrame | None:
     """table_no, column_no, value, blank: the unpivoted columns of one kind of key."""
     parts = []
@@ -128,33 +135,68 @@ def column_stats(tables: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+# The issues' texts, each with the figure it rests on.
+_ISSUES = (
+    ("null_pct", f"CASE WHEN null_pct > {HIGH_NULL_PCT} THEN concat('High null rate: ', null_pct, '%') END"),
+    ("null_pct", "CASE WHEN null_pct = 100 THEN 'Column is entirely null' END"),
+    (
+        "distinct_count",
+        f"CASE WHEN distinct_count = 1 AND row_count > {CONSTANT_MIN_ROWS} THEN 'Only 1 distinct value (constant column)' END",
+    ),
+    (
+        "distinct_count",
+        f"CASE WHEN distinct_count = row_count AND row_count > {UNIQUE_MIN_ROWS} THEN 'All values unique (potential PK)' END",
+    ),
+    ("blank_count", "CASE WHEN blank_count > 0 THEN concat(blank_count, ' values are blank/whitespace-only') END"),
+)
+
+
 def _issues() -> str:
-    found = [
-        f"CASE WHEN null_pct > {HIGH_NULL_PCT} THEN concat('High null rate: ', null_pct, '%') END",
-        "CASE WHEN null_pct = 100 THEN 'Column is entirely null' END",
-        f"CASE WHEN distinct_count = 1 AND row_count > {CONSTANT_MIN_ROWS} "
-        "THEN 'Only 1 distinct value (constant column)' END",
-        f"CASE WHEN distinct_count = row_count AND row_count > {UNIQUE_MIN_ROWS} "
-        "THEN 'All values unique (potential PK)' END",
-        "CASE WHEN blank_count > 0 "
-        "THEN concat(blank_count, ' values are blank/whitespace-only') END",
-    ]
-    return f"array_compact(array({', '.join(found)}))"
+    return f"array_compact(array({', '.join(text for _, text in _ISSUES)}))"
 
 
 def approximate_stats(df: DataFrame) -> DataFrame:
     """column_name, row_count, null_count, distinct_count in one pass with no value shuffle;
     distinct counts are estimates.  For tables too wide to count exactly."""
-    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    fields = df.schema.fields
+    keys = [
+        canonical(f.name, f.dataType)[1] if isinstance(f.dataType, T.MapType) else quoted(f.name) for f in fields
+    ]
     one = df.agg(
         F.count(F.lit(1)).alias("_rows"),
-        *[F.count(quoted(c)).alias(f"_n{i}") for i, c in enumerate(plain)],
-        *[F.approx_count_distinct(quoted(c)).alias(f"_d{i}") for i, c in enumerate(plain)],
+        *[F.count(quoted(f.name)).alias(f"_n{i}") for i, f in enumerate(fields)],
+        *[F.approx_count_distinct(F.expr(k)).alias(f"_d{i}") for i, k in enumerate(keys)],
     )
-    rows = ", ".join(f"'{c}', _rows - _n{i}, _d{i}" for i, c in enumerate(plain))
+    rows = ", ".join(f"{literal(f.name)}, _rows - _n{i}, _d{i}" for i, f in enumerate(fields))
     return one.selectExpr(
         "_rows AS row_count",
-        f"stack({len(plain)}, {rows}) AS (column_name, null_count, distinct_count)",
+        f"stack({len(fields)}, {rows}) AS (column_name, null_count, distinct_count)",
+    )
+
+
+def fill_stats(tables: dict[str, DataFrame]) -> DataFrame:
+    """table_name, column_name, data_type, row_count, null_count, null_pct, blank_count and the issues
+    that follow from them.  One scan and one row per task for each table: no value is shuffled."""
+    parts = []
+    for table_no, (name, df) in enumerate(tables.items()):
+        fields, counts, rows = df.schema.fields, [], []
+        for i, f in enumerate(fields):
+            value = canonical(f.name, f.dataType)[1] if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else quoted(f.name)
+            blank = is_whitespace(quoted(f.name)) if isinstance(f.dataType, T.StringType) else "false"
+            counts += [f"count_if({value} IS NULL) AS _n{i}", f"count_if({blank}) AS _b{i}"]
+            rows.append(f"{i}, {literal(f.name)}, {literal(f.dataType.simpleString())}, _n{i}, _b{i}")
+        parts.append(
+            df.selectExpr("count(*) AS row_count", *counts).selectExpr(
+                f"{table_no} AS table_no", f"{literal(name)} AS table_name", "row_count",
+                f"stack({len(fields)}, {', '.join(rows)}) AS (column_no, column_name, data_type, null_count, blank_count)",
+            )
+        )
+    share = "CASE WHEN row_count = 0 THEN 0D ELSE round(null_count * 100D / row_count, 2) END AS null_pct"
+    known = [text for stat, text in _ISSUES if stat != "distinct_count"]
+    return (
+        reduce(DataFrame.unionByName, parts)
+        .selectExpr("*", share)
+        .selectExpr("*", f"array_compact(array({', '.join(known)})) AS issues")
     )
 
 
@@ -173,25 +215,25 @@ def sample_values(
 ) -> DataFrame:
     """table_name, column_name, sample_values: the first `k` non-null values as text.
 
-    Each column is a top-k over its own narrow scan: a task keeps `k` rows, nothing is sorted.
+    One scan per table: a task keeps `k` values per column before anything is shuffled.
     """
     parts = []
     for name, df in tables.items():
         keys = [f"{quoted(c)} AS _o{i}" for i, c in enumerate(order_by[name])]
-        order = [f"_o{i}" for i in range(len(keys))]
-        for field in df.schema.fields:
-            top = (
-                df.where(f"{quoted(field.name)} IS NOT NULL")
-                .selectExpr(*keys, f"CAST({quoted(field.name)} AS STRING) AS value")
-                .orderBy(*order, "value")
-                .limit(k)
-            )
-            ordered = f"array_sort(collect_list(struct({', '.join(order)}, value)))"
-            parts.append(
-                top.selectExpr(f"transform({ordered}, x -> x.value) AS sample_values").selectExpr(
-                    f"'{name}' AS table_name", f"'{field.name}' AS column_name", "sample_values"
-                )
+        order = ", ".join(f"_o{i}" for i in range(len(keys)))
+        rows = ", ".join(f"{literal(f.name)}, CAST({quoted(f.name)} AS STRING)" for f in df.schema.fields)
+        cells = df.selectExpr(*keys, f"stack({len(df.columns)}, {rows}) AS (column_name, value)").where("value IS NOT NULL")
+        rank = f"row_number() OVER (PARTITION BY column_name ORDER BY {order}, value) AS _rank"
+        first = cells.selectExpr("*", rank).where(f"_rank <= {k}")
+        listed = "transform(array_sort(collect_list(struct(_rank, value))), x -> x.value) AS sample_values"
+        found = first.groupBy("column_name").agg(F.expr(listed))
+        # columns without a value have an empty list
+        every = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column_name string")
+        parts.append(
+            every.join(found, "column_name", "left").selectExpr(
+                f"{literal(name)} AS table_name", "column_name", "coalesce(sample_values, array()) AS sample_values"
             )
+        )
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -7,6 +7,9 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from mercalith.functions.normalize import quoted
 
 # What a pandas reader takes for a missing value in text files.
 PANDAS_NULLS = (
@@ -32,24 +35,50 @@ PANDAS_NULLS = (
 )
 
 
-def read_csv(spark: SparkSession, path: str, pandas_nulls: bool = False) -> DataFrame:
+REJECT_COLUMN = "_rejected"
+
+
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    pandas_nulls: bool = False,
+    *,
+    delimiter: str = ",",
+    encoding: str = "UTF-8",
+    multi_line: bool = False,
+    on_bad_row: str = "fail",
+) -> DataFrame:
     """A CSV file (or folder of them) with a header, every column text.
 
     Leading zeros and words such as 'N/A' are kept, because rules look for exactly those;
-    empty fields are NULL.  `pandas_nulls` turns the usual missing-value words into NULL too.
+    empty fields are NULL, quoted or not.  `pandas_nulls` turns the usual missing-value words into
+    NULL too.  Quoted line ends need `multi_line`, which reads each file in one task.  A row with
+    more or fewer fields than the header raises; `on_bad_row="keep"` keeps it with its whole text in
+    the column `_rejected`, NULL for good rows.
     """
-    df = (
+    reader = (
         spark.read.option("header", True)
-        .option("inferSchema", False)
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", False)
-        .csv(path)
+        .option("sep", delimiter)
+        .option("encoding", encoding)
+        .option("multiLine", multi_line)
+        .option("emptyValue", "")
+        .option("columnPruning", False)  # else a query of few columns never sees a bad row
     )
-    if not pandas_nulls:
-        return df
-    return df.select(
-        *[F.when(~F.col(f"`{c}`").isin(*PANDAS_NULLS), F.col(f"`{c}`")).alias(c) for c in df.columns]
+    names = reader.option("inferSchema", False).csv(path).columns
+    # a field too many or too few only shows where all columns and the reject column are read
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, REJECT_COLUMN]])
+    if on_bad_row == "keep":
+        read = reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", REJECT_COLUMN).csv(path)
+    elif on_bad_row == "fail":
+        read = reader.schema(T.StructType(schema.fields[:-1])).option("mode", "FAILFAST").csv(path)
+    else:
+        raise ValueError(f"on_bad_row is 'fail' or 'keep', not {on_bad_row!r}")
+    words = PANDAS_NULLS if pandas_nulls else ("",)
+    return read.select(
+        *[F.when(~F.col(quoted(c)).isin(*words), F.col(quoted(c))).alias(c) for c in names],
+        *([REJECT_COLUMN] if on_bad_row == "keep" else []),
     )
 
 
@@ -60,8 +89,8 @@ _READERS = {
 }
 
 
-def ingest(spark: SparkSession, paths: list[str]) -> dict[str, DataFrame]:
-    """Read every path by its suffix; tables are named by file stem.
+def ingest(spark: SparkSession, paths: list[str], **csv_options) -> dict[str, DataFrame]:
+    """Read every path by its suffix; tables are named by file stem; `csv_options` go to `read_csv`.
 
     Unknown suffixes are refused, and so are two files with the same stem, since one would
     hide the other.
@@ -74,7 +103,7 @@ def ingest(spark: SparkSession, paths: list[str]) -> dict[str, DataFrame]:
             raise ValueError(f"Unsupported file type: {name.suffix}")
         if name.stem in tables:
             raise ValueError(f"Two files provide a table named {name.stem}")
-        tables[name.stem] = reader(spark, path)
+        tables[name.stem] = reader(spark, path, **(csv_options if reader is read_csv else {}))
     return tables
 
 

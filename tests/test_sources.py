@@ -183,3 +183,40 @@ def test_options_take_the_first_seen_and_list_numbers_first(spark):
     df = spark.sql("SELECT * FROM VALUES (1,'b'),(2,'10'),(3,'9'),(4,'b'),(5,'a'),(6,'zz') AS v(i, bid)")
     found = reference_values.options({"t": df}, {"t": ["i"]}, limit=4).orderBy("position").collect()
     assert [r.value for r in found] == ["9", "10", "a", "b"]
+
+
+def test_csv_line_ends_and_field_counts(spark, tmp_path):
+    good = tmp_path / "good.csv"
+    good.write_text('a;b\n1;"x\ny"\n2;""\n')
+    options = {"multi_line": True, "delimiter": ";"}
+    assert sorted(map(tuple, read_csv(spark, str(good), **options).collect()), key=str) == [("1", "x\ny"), ("2", None)]
+    bad = tmp_path / "bad.csv"
+    bad.write_text("a,b\n1,x\n2,z,extra\n3\n")
+    with pytest.raises(Exception):
+        read_csv(spark, str(bad)).collect()
+    kept = {r.a: r._rejected for r in read_csv(spark, str(bad), on_bad_row="keep").collect()}
+    assert kept == {"1": None, "2": "2,z,extra", "3": "3"}
+
+
+def test_maps_that_are_equal_count_once(spark):
+    df = spark.sql("SELECT map('a', 1, 'b', 2) AS m UNION ALL SELECT map('b', 2, 'a', 1)")
+    assert profile.column_stats({"t": df}).first().distinct_count == 1
+    assert [(r.column_name, r.distinct_count) for r in profile.approximate_stats(df).collect()] == [("m", 1)]
+
+
+def test_fill_figures_need_no_value_shuffle(spark):
+    df = spark.createDataFrame([("x", 1.0), (" \t", float("nan")), (None, None)], "a string, b double")
+    got = {r.column_name: (r.row_count, r.null_count, r.blank_count) for r in profile.fill_stats({"t": df}).collect()}
+    full = {r.column_name: (r.row_count, r.null_count, r.blank_count) for r in profile.column_stats({"t": df}).collect()}
+    assert got == full == {"a": (3, 1, 1), "b": (3, 2, 0)}
+    text = profile.fill_stats({"t": df})._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in text
+
+
+def test_reference_values_without_numbers_or_columns(spark):
+    from mercalith.operators.reference_values import detect, options
+
+    odd = {"bins": spark.createDataFrame([("NaN",), ("1e30",), ("NaN",)], "acquirer_bin string")}
+    assert [r.value for r in detect(odd).collect()] == ["NaN"]
+    none = {"t": spark.createDataFrame([(1,)], "x int")}
+    assert options(none, {"t": ["x"]}).count() == 0

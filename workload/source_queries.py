@@ -57,7 +57,8 @@ def _union(parts) -> str:
 # ---- sources ---------------------------------------------------------------------------------
 
 _CSV_ROWS = """
-SELECT lpad(CAST(c_custkey AS STRING), 8, '0') AS code, c_name || ', "' || c_mktsegment || '"' AS label,
+SELECT lpad(CAST(c_custkey AS STRING), 8, '0') AS code,
+       c_name || CASE WHEN c_custkey % 5 = 0 THEN chr(10) ELSE ', "' END || c_mktsegment || '"' AS label,
        CASE WHEN c_custkey % 7 = 0 THEN 'NA' WHEN c_custkey % 11 = 0 THEN NULL
             ELSE c_mktsegment END AS segment
 FROM customer"""
@@ -72,8 +73,8 @@ def scan_csv(spark, sf_dir):
     _register_views(spark, sf_dir, "customer")
     path = scratch_path(spark, "csv")
     spark.sql(_CSV_ROWS).write.option("header", True).option("escape", '"').csv(path)
-    literal_words = read_csv(spark, path)
-    as_null = read_csv(spark, path, pandas_nulls=True).selectExpr("code", "segment AS segment_or_null")
+    literal_words = read_csv(spark, path, multi_line=True)
+    as_null = read_csv(spark, path, pandas_nulls=True, multi_line=True).selectExpr("code", "segment AS segment_or_null")
     return literal_words.join(as_null, "code").select("code", "label", "segment", "segment_or_null")
 
 
@@ -89,7 +90,7 @@ def ingest_files(spark, sf_dir):
     spark.sql(_CSV_ROWS).write.option("header", True).option("escape", '"').csv(f"{root}/customers.csv")
     table(spark, sf_dir, "region").write.json(f"{root}/regions.json")
     loaded = ingest(
-        spark, [f"{root}/customers.csv", f"{sf_dir}/orders.parquet", f"{root}/regions.json"]
+        spark, [f"{root}/customers.csv", f"{sf_dir}/orders.parquet", f"{root}/regions.json"], multi_line=True
     )
     return table_stats(loaded).drop("load_order")
 
@@ -145,14 +146,11 @@ def _target_stats_sql() -> str:
     return over_target(f"SELECT *, {_PCT}::DOUBLE AS null_pct FROM ({_union(parts)})")
 
 
-def _target_stats(spark, sf_dir):
-    return profile.column_stats({"target": target(spark, sf_dir).drop("row_id")})
-
-
-def _register_stat(name: str, columns: str, where: str = "true", spark_where: str | None = None):
+def _register_stat(name: str, columns: str, where: str = "true", spark_where: str | None = None, values: bool = False):
     @query(name, f"SELECT table_name, column_name, {columns} FROM ({_target_stats_sql()}) WHERE {where}")
     def run(spark, sf_dir):
-        stats = _target_stats(spark, sf_dir).where(spark_where or where)
+        rows = {"target": target(spark, sf_dir).drop("row_id")}
+        stats = (profile.column_stats(rows) if values else profile.fill_stats(rows)).where(spark_where or where)
         return stats.selectExpr("table_name", "column_name", *columns.split(", "))
 
 
@@ -168,7 +166,7 @@ _register_stat(
 )
 _register_stat(
     "issue_constant", "distinct_count", "distinct_count = 1 AND row_count > 10",
-    "array_contains(issues, 'Only 1 distinct value (constant column)')",
+    "array_contains(issues, 'Only 1 distinct value (constant column)')", values=True,
 )
 
 
@@ -183,20 +181,20 @@ def distinct_count(spark, sf_dir):
 
 @query(
     "data_type",
-    f"SELECT table_name, column_name, data_type, row_count - null_count AS filled FROM ({_stats_sql(TPCH)})",
+    f"SELECT table_name, column_name, data_type, row_count - null_count AS filled FROM ({_stats_sql(ALL)})",
 )
 def data_type(spark, sf_dir):
-    stats = profile.column_stats(_tables(spark, sf_dir, TPCH))
+    stats = profile.fill_stats(_tables(spark, sf_dir, ALL))
     return stats.selectExpr("table_name", "column_name", "data_type", "row_count - null_count AS filled")
 
 
 @query(
     "issue_unique",
-    f"SELECT table_name, column_name FROM ({_stats_sql(TPCH)}) "
+    f"SELECT table_name, column_name FROM ({_stats_sql(ALL)}) "
     "WHERE distinct_count = row_count AND row_count > 100",
 )
 def issue_unique(spark, sf_dir):
-    stats = profile.column_stats(_tables(spark, sf_dir, TPCH))
+    stats = profile.column_stats(_tables(spark, sf_dir, ALL))
     return stats.where("array_contains(issues, 'All values unique (potential PK)')").select(
         "table_name", "column_name"
     )
@@ -214,7 +212,7 @@ def issue_blank(spark, sf_dir):
         "CASE o_orderkey % 50 WHEN 0 THEN '' WHEN 1 THEN ' \\t\\u00a0\\n' ELSE o_orderpriority END AS note",
     )
     return (
-        profile.column_stats({"notes": notes})
+        profile.fill_stats({"notes": notes})
         .selectExpr("table_name", "column_name", "explode(issues) AS issue")
         .where("issue LIKE '%blank%'")
     )
