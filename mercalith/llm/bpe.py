@@ -30,7 +30,11 @@ VOCABULARY = "byte_bpe_50k.json"
 LONG_BYTES = 64
 NONE = np.int64(2**62)
 _POSITION = np.int64(2**32 - 1)
-BATCH_PIECES = 1 << 15
+BATCH_PIECES = 1 << 14
+# this operator runs beside others in one worker, so it remembers less than it could
+CACHE_ENTRIES = 250_000
+GROUP_BYTES = 4_000_000
+ROWS_AT_ONCE = 512
 
 
 def byte_letters() -> dict[int, str]:
@@ -254,7 +258,7 @@ class Bpe:
             r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
             r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
         )
-        self.pieces = PieceEncoder(self._encode_many, self.vocabulary.specials)
+        self.pieces = PieceEncoder(self._encode_many, self.vocabulary.specials, CACHE_ENTRIES, GROUP_BYTES)
         size = max(self.vocabulary.token_bytes) + 1
         self.token = [self.vocabulary.token_bytes.get(i, b"") for i in range(size)]
 
@@ -293,21 +297,26 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, with_ids: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe(vocabulary)
         for batch in batches:
-            rows, lists = [], []
-            for ids in coder.encode_texts(batch.column("text")):
-                decoded = coder.decode(ids).encode("utf-8")
-                packed = ids_bytes(ids)
-                if with_ids:
-                    lists.append(ids.astype(np.int32))
-                rows.append((len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-            n, a, b = zip(*rows) if rows else ((), (), ())
-            columns = {
-                "doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()),
-                "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string()),
-            }
+            for at in range(0, len(batch), ROWS_AT_ONCE):
+                yield encode(coder, batch.slice(at, ROWS_AT_ONCE))
+            pa.default_memory_pool().release_unused()
+
+    def encode(coder: Bpe, batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, lists = [], []
+        for ids in coder.encode_texts(batch.column("text")):
+            decoded = coder.decode(ids).encode("utf-8")
+            packed = ids_bytes(ids)
             if with_ids:
-                columns["token_ids"] = pa.array(lists, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_pydict(columns)
+                lists.append(ids.astype(np.int32))
+            rows.append((len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+        n, a, b = zip(*rows)
+        columns = {
+            "doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()),
+            "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string()),
+        }
+        if with_ids:
+            columns["token_ids"] = pa.array(lists, pa.list_(pa.int32()))
+        return pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     schema += ", token_ids array<int>" if with_ids else ""

@@ -48,8 +48,13 @@ class PieceEncoder:
     looked up once; the memory used does not depend on the size of the input.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], specials: dict[str, int]):
+    def __init__(
+        self, encode_many: Callable[[list[str]], list[bytes]], specials: dict[str, int],
+        entries: int | None = None, group_bytes: int | None = None,
+    ):
         self.encode_many = encode_many
+        self.entries = entries or CACHE_ENTRIES
+        self.group_bytes = group_bytes or GROUP_BYTES
         self.specials = specials
         longest_first = sorted(specials, key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, longest_first))) if specials else None
@@ -66,7 +71,7 @@ class PieceEncoder:
         out = list(map(self.known.get, keys))
         new = [i for i, x in enumerate(out) if x is None]
         if new:
-            if len(self.known) + len(new) > CACHE_ENTRIES:
+            if len(self.known) + len(new) > self.entries:
                 self.known.clear()
             found = self.encode_many([prefix + pieces[i] for i in new])
             for i, ids in zip(new, found):
@@ -114,7 +119,7 @@ class PieceEncoder:
         at = 0
         while at < len(texts):
             done = size[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(size, done + GROUP_BYTES, side="right")))
+            end = max(at + 1, int(np.searchsorted(size, done + self.group_bytes, side="right")))
             group = texts.slice(at, end - at)
             odd = pc.match_substring_regex(group, self.odd)
             plain = iter(self._group(group.filter(pc.invert(odd)))) if not pc.all(odd).as_py() else iter(())

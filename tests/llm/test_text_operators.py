@@ -89,9 +89,7 @@ def test_bpe_equals_the_library(docs, library):
 
 
 def test_piece_cache_may_overflow(monkeypatch, library):
-    from mercalith.llm import pieces as p
-
-    monkeypatch.setattr(p, "CACHE_ENTRIES", 3)
+    monkeypatch.setattr(bpe_module, "CACHE_ENTRIES", 3)
     coder = bpe_module.Bpe()
     texts = ["a b c d e f g", "g f e d c b a zz", LONG[:5000]]
     got = [x.tolist() for x in coder.encode_texts(pa.array(texts))]
