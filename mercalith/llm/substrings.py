@@ -39,7 +39,7 @@ from mercalith.llm.word_hashes import SLICE_BYTES, gram_hashes, slices, word_has
 WINDOW = 13
 PREFIX = 7
 GROUP_ROWS = 200_000
-TASK_ROWS = 400_000
+TASK_ROWS = 250_000
 
 
 def _anchors(hashes: np.ndarray, bounds: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, ...]:
