@@ -20,7 +20,7 @@ from mercalith.llm.common import SPACES
 
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
-ROWS_PER_SLICE = 20_000
+ROWS_PER_SLICE = 2_000
 SEED = "mix"
 
 
