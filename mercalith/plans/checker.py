@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mercalith.functions.normalize import literal, quoted
 from mercalith.functions.similarity import register_sql_functions
@@ -112,6 +113,8 @@ class Violations:
     parts: list[DataFrame]
     available: int
     errors: dict[str, str] = field(default_factory=dict)
+    # the written rows of each user rule, as its SQL returned them
+    own: dict[str, DataFrame] = field(default_factory=dict)
 
     @property
     def long(self) -> DataFrame:
@@ -165,17 +168,26 @@ class Violations:
         """The first `n` target rows per rule, as text with NULL shown as ''.
 
         At most `n` rows per rule survive the ranking, so the picked list is safe to broadcast.
+        A user rule that returns no row_id shows its own first rows, in the order of all their
+        columns as text; target columns it does not return are ''.
         """
         first = Window.partitionBy("rule_id").orderBy(ROW_ID)
         picked = (
-            self.long.select("rule_id", ROW_ID)
+            self.long.where(F.col(ROW_ID).isNotNull())
+            .select("rule_id", ROW_ID)
             .withColumn("rank", F.row_number().over(first))
             .where(F.col("rank") <= n)
         )
         columns = [c for c in self.target.columns if c != ROW_ID and c not in RESULT_COLUMNS]
-        return self.target.join(F.broadcast(picked), ROW_ID).select(
+        shown = self.target.join(F.broadcast(picked), ROW_ID).select(
             "rule_id", "rank", ROW_ID, *[blank_null(c) for c in columns]
         )
+        apart = [
+            _own_sample(rule_id, rows, columns, n)
+            for rule_id, rows in self.own.items()
+            if ROW_ID not in rows.columns
+        ]
+        return reduce(DataFrame.unionByName, [shown, *apart])
 
     def rows_affected(self) -> DataFrame:
         """Distinct identifier pairs over all rules, one row."""
@@ -232,7 +244,39 @@ class Violations:
         with ThreadPoolExecutor(max_workers=min(len(paths), PARALLEL_JOBS)) as pool:
             list(pool.map(write, self.parts, paths))
         written = self.spark.read.schema(self.parts[0].schema).parquet(*paths)
-        return Violations(self.target, self.rules, [written], self.available, self.errors)
+        return Violations(self.target, self.rules, [written], self.available, self.errors, self.own)
+
+
+def _storable(rows: DataFrame) -> DataFrame:
+    """What a user rule returned, as a dataset can hold it: repeated names are numbered, columns
+    without a type (only NULL) are text."""
+    names: list[str] = []
+    taken = {c.lower() for c in rows.columns}
+    for c in rows.columns:
+        name, i = c, 0
+        if c.lower() in {x.lower() for x in names}:
+            while name.lower() in taken:
+                i += 1
+                name = f"{c}_{i}"
+        taken.add(name.lower())
+        names.append(name)
+    renamed = rows.toDF(*names)
+    untyped = {f.name for f in renamed.schema if isinstance(f.dataType, T.NullType)}
+    return renamed.select(
+        *[F.col(quoted(c)).cast("string").alias(c) if c in untyped else F.col(quoted(c)) for c in names]
+    )
+
+
+def _own_sample(rule_id: str, rows: DataFrame, columns: list[str], n: int) -> DataFrame:
+    order = [F.col(quoted(c)).cast("string") for c in rows.columns]
+    # a top-k: only its n rows are ranked
+    top = rows.orderBy(*order).limit(n).withColumn("_rank", F.row_number().over(Window.orderBy(*order)))
+    return top.select(
+        F.lit(rule_id).alias("rule_id"),
+        F.col("_rank").alias("rank"),
+        F.lit(None).cast("bigint").alias(ROW_ID),
+        *[blank_null(c) if c in rows.columns else F.lit("").alias(c) for c in columns],
+    )
 
 
 def _rule_bits(numbers: dict[str, int], word: int) -> str:
@@ -255,7 +299,7 @@ def clean_summary(stamped: DataFrame) -> DataFrame:
 
 
 def blank_null(name: str) -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
+    return F.coalesce(F.col(quoted(name)).cast("string"), F.lit("")).alias(name)
 
 
 def check(
@@ -273,7 +317,7 @@ def check(
     everything = effective_rules(overrides)
     wanted = None if rules is None else set(rules)
     chosen = [r for r in everything if wanted is None or r.id in wanted]
-    parts, errors = [], {}
+    parts, errors, own = [], {}, {}
 
     built_in = [r.id for r in chosen if r.sql is None]
     row_rules = [r for r in built_in if r in ROW_RULES]
@@ -293,21 +337,19 @@ def check(
             continue
         group_by = RULES[rule.id].group_by if rule.id in RULES else ()
         try:
-            hits = run_rule_sql(target, rule.sql, view)
-            # written at once with a digest of all it returned, so any error shows here
-            found = _long(hits, literal(rule.id), group_by, "xxhash64(*) AS _digest")
-            parts.append(stored(found, f"rule-{rule.id}").drop("_digest"))
+            # written at once and whole, so any error shows here
+            rows = stored(_storable(run_rule_sql(target, rule.sql, view)), "rule")
+            parts.append(_long(rows, literal(rule.id), group_by))
+            own[rule.id] = rows
         except Exception as error:  # a user rule may fail in any way; record and go on
             errors[rule.id] = str(error).strip().split("\n")[0]
 
     if not parts:
         parts.append(_long(target.limit(0), "''"))
-    return Violations(target, chosen, parts, len(everything), errors)
+    return Violations(target, chosen, parts, len(everything), errors, own)
 
 
-def _long(
-    hits: DataFrame, rule_id: str, group_by: Iterable[str] = (), *more: str
-) -> DataFrame:
+def _long(hits: DataFrame, rule_id: str, group_by: Iterable[str] = ()) -> DataFrame:
     """Bring what a rule returned into the long layout; `rule_id` is SQL text."""
     has = set(hits.columns)
     keys = [f"CAST({quoted(c)} AS STRING)" for c in group_by if c in has]
@@ -321,7 +363,6 @@ def _long(
         " AS group_key",
         f"CAST({pair if {CAID, MID} <= has else 'NULL'} AS STRUCT<caid: STRING, mid: STRING>)"
         " AS pair",
-        *more,
     )
 
 

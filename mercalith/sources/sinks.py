@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mercalith.functions.normalize import quoted
 from mercalith.operators.rules import rule_rows
 from mercalith.plans.checker import RESULT_COLUMNS, Violations, blank_null, run_rule_sql
 from mercalith.spec import ROW_ID, TARGET_NAMES
@@ -28,8 +29,9 @@ def export_report(
 ) -> dict[str, str]:
     """Write the report sections below `path`; returns section name -> location.
 
-    The violating rows of all rules are one dataset partitioned by rule, so a reader of one
-    rule opens that rule's files only.
+    The violating rows of the built-in rules are one dataset partitioned by rule, so a reader of
+    one rule opens that rule's files only.  The rows of a user rule are a dataset of their own,
+    section `violations <rule id>`, with the columns its SQL returned.
     """
     violations = violations.store()
     sections = {
@@ -45,10 +47,14 @@ def export_report(
         places[name] = f"{path}/{name}"
         public(frame).write.mode("overwrite").parquet(places[name])
     places["violations"] = f"{path}/violations"
+    built_in = violations.long.where(~F.col("rule_id").isin(*violations.own))
     full_rows = public(violations.target).join(
-        violations.long.select(ROW_ID, "rule_id", "violated_column"), ROW_ID
+        built_in.select(ROW_ID, "rule_id", "violated_column"), ROW_ID
     )
     full_rows.write.mode("overwrite").partitionBy("rule_id").parquet(places["violations"])
+    for i, (rule_id, rows) in enumerate(violations.own.items()):
+        places[f"violations {rule_id}"] = f"{path}/user_rule_{i}"
+        rows.write.mode("overwrite").parquet(places[f"violations {rule_id}"])
     return places
 
 
@@ -58,13 +64,17 @@ def public(df: DataFrame) -> DataFrame:
 
 
 def page(
-    df: DataFrame, number: int = 1, size: int = PAGE_SIZE, order_by: str = ROW_ID, after=None
+    df: DataFrame, number: int = 1, size: int = PAGE_SIZE, order_by: str | None = ROW_ID, after=None
 ) -> DataFrame:
     """Page `number` (from 1) in `order_by` order, as text with NULL shown as ''.
 
     With `after`, the last key of the page before, the page starts behind that key: the way to
-    walk far into a large table, as only `size` rows are ever ranked.
+    walk far into a large table, as only `size` rows are ever ranked.  Without `order_by` the
+    order is that of all columns as text.
     """
+    if order_by is None:
+        shown = df.select(*[blank_null(c) for c in df.columns])
+        return shown.orderBy(*[quoted(c) for c in df.columns]).offset((number - 1) * size).limit(size)
     if after is not None:
         part = df.where(F.col(order_by) > after).orderBy(order_by).limit(size)
     else:
@@ -73,7 +83,10 @@ def page(
 
 
 def violation_page(violations: Violations, rule_id: str, number: int = 1, size: int = PAGE_SIZE):
-    """A page of the full rows of one rule."""
+    """A page of the full rows of one rule; a user rule's are those its SQL returned."""
+    if rule_id in violations.own:
+        rows = violations.own[rule_id]
+        return page(rows, number, size, ROW_ID if ROW_ID in rows.columns else None)
     rule = next(r for r in violations.rules if r.id == rule_id)
     target = violations.target.drop(*RESULT_COLUMNS)
     hits = rule_rows(target, rule_id) if rule.sql is None else run_rule_sql(target, rule.sql)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from mercalith.functions.normalize import norm_id, norm_text
 from mercalith.operators.rules import rule_rows
 from mercalith.plans.checker import (
+    Violations,
     check,
     default_selection,
     effective_rules,
@@ -80,16 +81,65 @@ def norm_text_query(spark, sf_dir):
     )
 
 
+_runs: dict[tuple[str, str], Violations] = {}
+
+
 def found(spark, sf_dir, *more):
-    """Rules run once and written; every report is an aggregate of that frame."""
-    return check(target(spark, sf_dir), *more).store()
+    """Rules run once and written; every report is an aggregate of that frame.
+
+    The run of all rules is kept for the application, as the target is."""
+    if more:
+        return check(target(spark, sf_dir), *more).store()
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _runs:
+        _runs[key] = check(target(spark, sf_dir)).store()
+    return _runs[key]
 
 
 @query("run_rules", over_hits("SELECT row_id, rule_id, violated_column FROM hits"))
 def run_rules(spark, sf_dir):
+    # always a run of its own, which later reports read
+    _runs.pop((spark.sparkContext.applicationId, sf_dir), None)
     return found(spark, sf_dir).long.select("row_id", "rule_id", "violated_column")
 
 
+_PER_AGGREGATOR = (
+    "SELECT AggregatorID, count(*) AS merchants FROM {view} "
+    "WHERE AggregatorID IS NOT NULL GROUP BY AggregatorID"
+)
+_GROUPED = [{"id": "V14", "name": "Merchants", "sql": _PER_AGGREGATOR.format(view="merchant_target")}]
+_GROUPED_SQL = _PER_AGGREGATOR.format(view="target")
+
+
+@query("user_rule_export", over_target(_GROUPED_SQL))
+def user_rule_export(spark, sf_dir):
+    places = export_report(check(target(spark, sf_dir), ["V14"], _GROUPED), scratch_path(spark, "report"))
+    return spark.read.parquet(places["violations V14"])
+
+
+@query(
+    "user_rule_samples",
+    over_target(
+        "SELECT 'V14' AS rule_id, row_number() OVER (ORDER BY AggregatorID) AS rank, AggregatorID "
+        f"FROM ({_GROUPED_SQL}) ORDER BY AggregatorID LIMIT 10"
+    ),
+)
+def user_rule_samples(spark, sf_dir):
+    samples = found(spark, sf_dir, ["V14"], _GROUPED).samples()
+    return samples.selectExpr("rule_id", "CAST(rank AS BIGINT) AS rank", "AggregatorID")
+
+
+@query(
+    "user_rule_page",
+    over_target(
+        f"SELECT AggregatorID, CAST(merchants AS VARCHAR) AS merchants FROM ({_GROUPED_SQL}) "
+        "ORDER BY AggregatorID LIMIT 3 OFFSET 3"
+    ),
+)
+def user_rule_page(spark, sf_dir):
+    return violation_page(found(spark, sf_dir, ["V14"], _GROUPED), "V14", number=2, size=3)
+
+
 _CUSTOM = (
     "SELECT * FROM {view} WHERE jaro_winkler_similarity(lower(City), 'nation_1') > 0.9 "
     "AND regexp_matches(Street, '^[0-9]+ M')"
