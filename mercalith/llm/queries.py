@@ -170,3 +170,40 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mercalith.llm.language import identify
 
     return identify(sf_table(spark, sf_dir, "documents"))
+
+
+# Windows of items and of documents as arrays of words, joined by their text for each length.
+LEAK_SQL = r"""
+WITH b AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+item_windows AS (
+  SELECT DISTINCT item, least(10, len(ws)) AS k, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') AS s
+  FROM b, LATERAL (SELECT unnest(generate_series(1, greatest(len(ws) - 9, 1))) AS i) WHERE len(ws) > 0),
+ks AS (SELECT DISTINCT k FROM item_windows),
+doc_windows AS (
+  SELECT r, k, i, array_to_string(ws[i:i + k - 1], ' ') AS s
+  FROM d, ks, LATERAL (SELECT unnest(generate_series(1, len(ws) - k + 1)) AS i)),
+hits AS (SELECT r, i, w.k, item FROM doc_windows w JOIN item_windows v ON w.k = v.k AND w.s = v.s),
+found AS (SELECT r, count(DISTINCT j) AS n_hit
+          FROM (SELECT r, unnest(generate_series(i, i + k - 1)) AS j FROM hits) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+          FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN found USING (r) LEFT JOIN named USING (r)
+"""
+
+
+@query("op11_decontamination", LEAK_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mercalith.llm.decontaminate import report
+
+    found = report(sf_table(spark, sf_dir, "documents"), sf_table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
