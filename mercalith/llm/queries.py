@@ -207,3 +207,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = report(sf_table(spark, sf_dir, "documents"), sf_table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256")
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
+@query("op12_conversations")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mercalith.llm.repair import damaged, report
+
+    rows = sf_table(spark, sf_dir, "conversations")
+    return report(damaged(rows), rows)
