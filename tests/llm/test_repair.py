@@ -149,10 +149,13 @@ def test_all_short_sequences():
 
 def test_repaired_rows(spark):
     rows = [(1, 0, "assistant", "Hello."), (1, 1, "user", "Hi"), (1, 2, "user", "Hi"), (2, 0, "system", "Be kind."), (None, 0, "tool", "x.")]
+    rows += [(3, 0, "user", "A."), (3, 1, "assistant", "B."), (3, 2, "tool", "C."), (3, 3, "assistant", "D.")]
+    rows += [(4, 0, "system", "S."), (4, 1, "user", "Q.")]
     got = repaired(spark.createDataFrame(rows, SCHEMA)).orderBy("conv_id", "place", "part").collect()
     assert [(r.conv_id, r.edit, r.role, r.text) for r in got] == [
-        (None, "R", "user", "x."), (None, "I", "assistant", ""),
-        (1, "I", "user", ""), (1, "K", "assistant", "Hello."), (1, "K", "user", "Hi"), (1, "I", "assistant", ""),
+        (1, "I", "user", ""), (1, "K", "assistant", "Hello."),
+        (3, "K", "user", "A."), (3, "K", "assistant", "B."), (3, "R", "user", "C."), (3, "K", "assistant", "D."),
+        (4, "K", "system", "S."), (4, "K", "user", "Q."), (4, "I", "assistant", ""),
     ]
 
 
