@@ -215,3 +215,54 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = sf_table(spark, sf_dir, "conversations")
     return report(damaged(rows), rows)
+
+
+# CRC-32 by its table over the bytes of `doc_id:run`; words that share all letters but one, or all but
+# an added one; forms followed to the last.
+SPELLING_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+           lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i)) AS t),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, run, count(*) AS uses
+  FROM (SELECT doc_id, unnest(regexp_extract_all(
+          translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run
+        FROM documents)
+  WHERE length(run) >= 6 GROUP BY ALL),
+hashed AS (
+  SELECT run, uses, xor(list_reduce(flatten(list_transform(string_split(doc || ':' || run, ''),
+           lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, CAST(unicode(c) - 64 AS BIGINT)] END)),
+           lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS h
+  FROM runs, crc),
+v AS (
+  SELECT word, CAST(sum(uses) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2)
+                    ELSE run END AS word, uses FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(uses) >= 5),
+holes AS (
+  SELECT word, left(word, i - 1) || '_' || substr(word, i + 1) AS pattern, left(word, i - 1) || substr(word, i + 1) AS rest
+  FROM v, LATERAL (SELECT unnest(generate_series(1, length(word))) AS i)),
+inserted AS (SELECT DISTINCT h.word AS l, v.word AS s FROM holes h JOIN v ON v.word = h.rest),
+near AS (
+  SELECT a.word, b.word AS other FROM holes a JOIN holes b USING (pattern) WHERE a.word <> b.word
+  UNION ALL SELECT l, s FROM inserted UNION ALL SELECT s, l FROM inserted),
+best AS (
+  SELECT near.word, count(*) AS n_near, first(other ORDER BY v.n DESC, other) AS top, max(v.n) AS top_n
+  FROM near JOIN v ON v.word = near.other GROUP BY near.word),
+formed AS (
+  SELECT word, n, CASE WHEN top_n >= 5 * n THEN top END AS form, coalesce(n_near, 0) AS n_near,
+         CASE WHEN top_n >= 5 * n THEN top_n END AS form_n
+  FROM v LEFT JOIN best USING (word)),
+walk(word, step) AS (
+  SELECT word, word FROM formed
+  UNION ALL SELECT walk.word, formed.form FROM walk JOIN formed ON formed.word = walk.step WHERE formed.form IS NOT NULL),
+ends AS (SELECT walk.word, step AS root FROM walk JOIN formed ON formed.word = step WHERE formed.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+"""
+
+
+@query("op13_spelling", SPELLING_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mercalith.llm.spelling import variants
+
+    return variants(sf_table(spark, sf_dir, "documents"))
