@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercalith.functions.normalize import quoted
-
-_INTEGRAL = {"tinyint", "smallint", "int", "bigint"}
-MIN_OVERLAP_PCT = 50.0
-
-
-@dataclass(frozen=True)
-class JoinCandidate:
-    fk_table: str
-    fk_column: str
-    pk_table: str
-    pk_column: str
+from mercalith.operators.inclusion import MIN_OVERLAP_PCT, inclusions
 
 
 def key_columns(stats: DataFrame) -> DataFrame:
@@ -30,120 +16,14 @@ def key_columns(stats: DataFrame) -> DataFrame:
     )
 
 
-def _family(data_type: str) -> str | None:
-    if data_type in _INTEGRAL:
-        return "integral"
-    return "string" if data_type == "string" else None
-
-
-def stem(column: str) -> str:
-    """A column name without its one- or two-letter table prefix."""
-    return re.sub(r"^[a-z]{1,2}_", "", column.lower())
+def discover_joins(tables: dict[str, DataFrame], min_overlap_pct: float = MIN_OVERLAP_PCT) -> DataFrame:
+    """Foreign keys between columns of the same name but for a prefix: how many distinct values of the
+    one column are values of the other, and the join type that keeps every referencing row.
 
-
-def join_candidates(columns: list) -> list[JoinCandidate]:
-    """Column pairs worth testing, from one statistics row per column.
-
-    The referenced column is a key, both sides have the same kind of type and the same name
-    stem, and the referencing side has no more values than the key.
-    """
-    keys = [c for c in columns if c.row_count and not c.null_count and c.distinct_count == c.row_count]
-    found = []
-    for key in keys:
-        for c in columns:
-            if (
-                c.table_name != key.table_name
-                and _family(key.data_type)
-                and _family(c.data_type) == _family(key.data_type)
-                and stem(c.column_name) == stem(key.column_name)
-                and 0 < c.distinct_count <= key.distinct_count
-            ):
-                found.append(
-                    JoinCandidate(c.table_name, c.column_name, key.table_name, key.column_name)
-                )
-    return found
-
-
-def discover_joins(
-    tables: dict[str, DataFrame], stats: DataFrame, min_overlap_pct: float = MIN_OVERLAP_PCT
-) -> DataFrame:
-    """Foreign keys by value inclusion: how many distinct values of the one column are values
-    of the other, and the join type that keeps every referencing row.
-
-    All candidate columns are read in one pass and each value is met once with the set of
-    columns holding it, a set no larger than the number of columns.
+    `inclusion.inclusions` finds those of unrelated names too.
     """
-    spark = stats.sparkSession
-    columns = stats.select(
-        "table_name", "column_name", "data_type", "row_count", "null_count", "distinct_count"
-    ).collect()  # one row per column of the schemas
-    candidates = join_candidates(columns)
-    schema = (
-        "left_table string, left_key string, right_table string, right_key string, "
-        "join_type string, distinct_values bigint, matched_values bigint, overlap_pct double"
-    )
-    if not candidates:
-        return spark.createDataFrame([], schema)
-    involved = sorted(
-        {(c.fk_table, c.fk_column) for c in candidates}
-        | {(c.pk_table, c.pk_column) for c in candidates}
-    )
-    number = {column: i for i, column in enumerate(involved)}
-    cells = []
-    for name, df in tables.items():
-        mine = [c for t, c in involved if t == name]
-        if mine:
-            rows = ", ".join(
-                f"{number[name, c]}, CAST({quoted(c)} AS STRING)" for c in mine
-            )
-            cells.append(df.selectExpr(f"stack({len(mine)}, {rows}) AS (column_no, value)"))
-    holders = (
-        reduce(DataFrame.unionByName, cells)
-        .where("value IS NOT NULL")
-        .groupBy("value")
-        .agg(F.collect_set("column_no").alias("held_by"))
-    )
-    nulls = {(c.table_name, c.column_name): c.null_count for c in columns}
-    pairs = ", ".join(
-        f"named_struct('i', {i}, 'fk', {number[c.fk_table, c.fk_column]}, "
-        f"'pk', {number[c.pk_table, c.pk_column]})"
-        for i, c in enumerate(candidates)
-    )
-    tested = (
-        holders.selectExpr(
-            "held_by",
-            f"explode(filter(array({pairs}), p -> array_contains(held_by, p.fk))) AS p",
-        )
-        .groupBy("p.i")
-        .agg(
-            F.count(F.lit(1)).alias("distinct_values"),
-            F.expr("count_if(array_contains(held_by, p.pk))").alias("matched_values"),
-        )
-    )
-    named = spark.createDataFrame(
-        [
-            (i, c.fk_table, c.fk_column, c.pk_table, c.pk_column, nulls[c.fk_table, c.fk_column])
-            for i, c in enumerate(candidates)
-        ],
-        "i int, left_table string, left_key string, right_table string, right_key string, "
-        "left_nulls bigint",
-    )
-    return (
-        named.join(tested, "i")
-        .withColumn("overlap_pct", F.expr("round(matched_values * 100D / distinct_values, 2)"))
-        .where(F.col("overlap_pct") >= min_overlap_pct)
-        .selectExpr(
-            "left_table",
-            "left_key",
-            "right_table",
-            "right_key",
-            "CASE WHEN matched_values = distinct_values AND left_nulls = 0 "
-            "THEN 'INNER' ELSE 'LEFT' END AS join_type",
-            "distinct_values",
-            "matched_values",
-            "overlap_pct",
-        )
-    )
+    found = inclusions(tables, min_overlap_pct, same_name=True, drop_implied=False)
+    return found.drop("family", "same_name")
 
 
 def table_roles(stats: DataFrame, joins: DataFrame) -> DataFrame:

@@ -90,17 +90,15 @@ def test_partial_overlap_needs_a_left_join(spark):
         "shops": spark.range(8).selectExpr("id AS s_shopkey", "'n' || id AS s_name"),
         "zones": spark.range(20).selectExpr("id AS z_shopkey", "id AS z"),
     }
-    stats = profile.column_stats(tables)
     got = {
         (r.left_table, r.right_table): (r.join_type, r.overlap_pct)
-        for r in discovery.discover_joins(tables, stats).collect()
+        for r in discovery.discover_joins(tables).collect()
     }
     assert got == {("orders", "zones"): ("INNER", 100.0), ("shops", "zones"): ("INNER", 100.0)}
     tables["shops"] = tables["shops"].union(spark.range(90, 97).selectExpr("id", "'n'"))
-    stats = profile.column_stats(tables)
     got = {
         (r.left_table, r.right_table): (r.join_type, r.overlap_pct)
-        for r in discovery.discover_joins(tables, stats).collect()
+        for r in discovery.discover_joins(tables).collect()
     }
     assert got[("orders", "shops")] == ("LEFT", 80.0)
 

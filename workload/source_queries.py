@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mercalith.operators import discovery, mapping, profile, reference_values
+from mercalith.operators import discovery, inclusion, mapping, profile, reference_values
 from mercalith.plans import master
 from mercalith.session import scratch_path
 from mercalith.sources.files import ingest, pick_largest, read_csv, table_stats
@@ -404,8 +404,72 @@ def discover_keys(spark, sf_dir):
     + ")",
 )
 def discover_joins(spark, sf_dir):
-    tables = _tables(spark, sf_dir, _KEYED)
-    return discovery.discover_joins(tables, profile.column_stats(tables))
+    return discovery.discover_joins(_tables(spark, sf_dir, _KEYED))
+
+
+_FAMILIES = {"int": "integral", "bigint": "integral", "double": "fraction"} | {
+    k: k for k in ("string", "date", "timestamp_ntz", "timestamp")
+}
+
+
+def _inclusions_sql(overlap: float) -> str:
+    """Every pair of columns of one family, by the distinct values of both; keys by their own counts."""
+    columns = [(t, c, _FAMILIES[kind]) for t in ALL for c, kind in _columns(t) if kind in _FAMILIES]
+    columns += [("target", "row_id", "integral")] + [("target", c.name, _FAMILIES[_TARGET_TYPES[c.type]]) for c in TARGET_COLUMNS]
+    values = ", ".join(f"d{i} AS MATERIALIZED (SELECT DISTINCT {c} AS v FROM {t} WHERE {c} IS NOT NULL)" for i, (t, c, _) in enumerate(columns))
+    facts = _union(
+        f"SELECT {i} AS no, '{t}' AS t, '{c}' AS c, '{f}' AS family, count(*) AS n, count({c}) AS filled, "
+        f"(SELECT count(*) FROM d{i}) AS distinct_values FROM {t}" for i, (t, c, f) in enumerate(columns)
+    )
+    shared = _union(
+        f"SELECT {i} AS a, {j} AS b, (SELECT count(*) FROM d{i} SEMI JOIN d{j} USING (v)) AS matched_values"
+        for i, (t, _, f) in enumerate(columns) for j, (u, _, g) in enumerate(columns) if t != u and f == g
+    )
+    stem = lambda c: f"regexp_replace(lower({c}), '^[a-z]{{1,2}}_', '')"
+    return over_target(
+        f"""SELECT left_table, left_key, right_table, right_key, family, join_type, distinct_values, matched_values, overlap_pct, same_name
+        FROM (
+        WITH {values}, facts AS ({facts}), shared AS ({shared}),
+        held AS (
+          SELECT a, b, x.t AS left_table, x.c AS left_key, y.t AS right_table, y.c AS right_key, x.family,
+                 CASE WHEN matched_values = x.distinct_values AND x.filled = x.n THEN 'INNER' ELSE 'LEFT' END AS join_type,
+                 x.distinct_values, y.distinct_values AS key_values, matched_values,
+                 round(100.0 * matched_values / x.distinct_values, 2)::DOUBLE AS overlap_pct,
+                 {stem("x.c")} = {stem("y.c")} AS same_name
+          FROM shared JOIN facts x ON x.no = a JOIN facts y ON y.no = b
+          WHERE y.n > 0 AND y.distinct_values = y.n AND x.filled > 0 AND x.distinct_values <= y.distinct_values AND matched_values * 100.0 / x.distinct_values >= {overlap}),
+        whole AS (SELECT * FROM held WHERE matched_values = distinct_values)
+        SELECT * FROM held h WHERE NOT EXISTS (
+          SELECT 1 FROM whole p JOIN whole q ON p.b = q.a WHERE p.a = h.a AND q.b = h.b AND q.key_values > q.distinct_values))"""
+    )
+
+
+@query("discover_joins_by_content", _inclusions_sql(90))
+def discover_joins_by_content(spark, sf_dir):
+    tables = _tables(spark, sf_dir, ALL) | {"target": target(spark, sf_dir)}
+    return inclusion.inclusions(tables, 90)
+
+
+def _composite_sql() -> str:
+    """All pairs of columns of all tables, each by its own count of distinct pairs."""
+    parts, singles = [], []
+    for t in ALL:
+        names = [c for c, kind in _columns(t) if kind != "array<float>"]
+        alone = ", ".join(f"count(DISTINCT {c}) AS {c}_d, count({c}) AS {c}_n" for c in names)
+        for i, a in enumerate(names):
+            for b in names[i + 1 :]:
+                parts.append(
+                    f"SELECT '{t}' AS table_name, '{a}, {b}' AS key_columns, 2 AS n_columns FROM s_{t} WHERE n > 0 "
+                    f"AND {a}_n = n AND {b}_n = n AND {a}_d < n AND {b}_d < n "
+                    f"AND (SELECT count(*) FROM (SELECT DISTINCT {a}, {b} FROM {t})) = n"
+                )
+        singles.append(f"s_{t} AS MATERIALIZED (SELECT count(*) AS n, {alone} FROM {t})")
+    return f"WITH {', '.join(singles)} {_union(parts)}"
+
+
+@query("discover_composite_keys", _composite_sql())
+def discover_composite_keys(spark, sf_dir):
+    return inclusion.table_composite_keys(_tables(spark, sf_dir, ALL), max_columns=2)
 
 
 _ROLES = {
@@ -428,7 +492,7 @@ _ROLES = {
 def table_roles(spark, sf_dir):
     tables = _tables(spark, sf_dir, TPCH)
     stats = profile.column_stats(tables)
-    return discovery.table_roles(stats, discovery.discover_joins(tables, stats))
+    return discovery.table_roles(stats, discovery.discover_joins(tables))
 
 
 @query(
