@@ -1,29 +1,30 @@
 """Repeated passages across documents, by suffix subtrees over prefix partitions.
 
 The repeats looked for are windows of WINDOW words whose sequence also starts in a document with a
-smaller id.  The suffixes of the corpus (each cut off where it can no longer matter) are split by
-prefixes into groups whose subtrees fit into memory:
-
-1. Every window is filed under one of the runs of PREFIX words in it, the one of smallest hash
-   (the leftmost of equals); equal windows are filed under the same run at the same place.  Only
-   about a quarter of all runs are chosen.  Runs that occur in one document only are dropped: no
-   window under them can repeat.
-2. A chosen run that is left over becomes a suffix entry: the words around it that its windows
-   need, as hashes of words, with the document and the place.  Entries meet by their prefix.
-3. In each group the suffixes of all windows are sorted, which puts them in the order of the
-   subtree's leaves; neighbours that share all WINDOW words belong to one internal node of at
-   least that depth.  Every leaf of a node that has a leaf of a smaller document is a repeat.
-
-A passage that very many documents share does not make a large group: within a task, entries with
-equal words are answered at once and only those of the smallest document go on, so a group gets at
-most one entry of a kind from each task.  A group that still outgrows GROUP_ROWS takes the longest
-prefix, the whole window: its windows are counted out by an aggregate and a join, which Spark
-combines and splits.
+smaller id.  A window is the front of a suffix of its document, and equal windows are leaves below one
+internal node of depth WINDOW or more in the tree of all suffixes.
+
+1. Suffixes that cannot share such a node are left out.  Every window is filed under one of the runs
+   of PREFIX words in it, the one of smallest hash (the leftmost of equals), so that equal windows are
+   filed under the same run; about a quarter of all runs are chosen.  Runs that occur in one
+   document only are dropped, and with them the suffixes that start in their windows.
+2. The suffixes left are split by their prefix.  A prefix has PREFIX words; where more than GROUP_ROWS
+   suffixes are expected below it, it is lengthened, at last to the whole window.  Which prefixes
+   these are is read from a sample of documents (SAMPLE_DOCS); it decides where suffixes meet, not
+   what is found.  Within a task equal windows are answered at once, and only those of the smallest
+   document go on, so a passage that very many documents share sends one leaf for each task.
+3. The suffixes of each prefix arrive in order, as the leaves of its subtree.  The common prefix with the
+   leaf before tells where nodes begin: leaves that share WINDOW words are below one node of that depth or
+   more, whose first leaf is of the smallest document; the others repeat it.  No group is held in memory.
+4. How deep a node is shows in the suffixes that start one word later: as long as these repeat the next
+   place of the same document, the common prefix goes on (a suffix shares at most one word less than the
+   one before it).  Such chains are the maximal repeats, and their words are what is removed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,10 @@ from mercalith.llm.word_hashes import SLICE_BYTES, gram_hashes, slices, word_has
 WINDOW = 13
 PREFIX = 7
 GROUP_ROWS = 200_000
-TASK_ROWS = 250_000
+TASK_ROWS = 150_000
+SAMPLE_DOCS = 20_000
+# bytes of a word's hash that order the leaves; equality of windows is decided by 128 bits
+_PART = 3
 
 
 def _anchors(hashes: np.ndarray, bounds: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, ...]:
@@ -113,6 +117,7 @@ def _probes(window: int, prefix: int):
                 if held >= TASK_ROWS:
                     yield flush(np.concatenate(anchors), np.concatenate(docs))
                     anchors, docs, held = [], [], 0
+                    pa.default_memory_pool().release_unused()
         if held:
             yield flush(np.concatenate(anchors), np.concatenate(docs))
 
@@ -121,197 +126,220 @@ def _probes(window: int, prefix: int):
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, anchor) of the runs that two documents have, from sorted probes."""
-    key, doc = np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def repeated(key: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
-        first = np.flatnonzero(~_same_as_before(key))
-        if len(first):
-            size = np.diff(np.append(first, len(key)))
-            low, high = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
-            keep = np.repeat(low < high, size)
-            key, doc = key[keep], doc[keep]
-        return _batch({"doc": doc, "anchor": key})
-
+    # of the last run: its smallest and largest document so far, and the one that waits for an answer
+    last, low, high, waits = None, 0, 0, np.empty(0, np.int64)
     for batch in batches:
         known = np.asarray(batch.column("known"))
         docs, anchors = np.asarray(batch.column("doc")), np.asarray(batch.column("anchor"))
         yield _batch({"doc": docs[known], "anchor": anchors[known]})
-        key, doc = np.concatenate([key, anchors[~known]]), np.concatenate([doc, docs[~known]])
-        if len(key):
-            # the last key may go on in the next batch; it has one row from each task at most
-            done = int(np.searchsorted(key == key[-1], True)) if key[0] != key[-1] else 0
-            yield repeated(key[:done], doc[:done])
-            key, doc = key[done:], doc[done:]
-    yield repeated(key, doc)
+        key, doc = anchors[~known], docs[~known]
+        if not len(key):
+            continue
+        head = np.flatnonzero(~_same_as_before(key))
+        size = np.diff(np.append(head, len(key)))
+        lows, highs = np.minimum.reduceat(doc, head), np.maximum.reduceat(doc, head)
+        if key[0] == last:
+            lows[0], highs[0] = min(low, lows[0]), max(high, highs[0])
+            if lows[0] < highs[0]:
+                yield _batch({"doc": waits, "anchor": np.full(len(waits), last, np.int64)})
+                waits = waits[:0]
+        else:
+            waits = waits[:0]
+        repeated = np.repeat(lows < highs, size)
+        yield _batch({"doc": doc[repeated], "anchor": key[repeated]})
+        if not repeated[-1]:
+            waits = doc[-1:].copy()  # all of them are this one
+        elif key[-1] != key[0] or key[0] != last:
+            waits = waits[:0]
+        last, low, high = int(key[-1]), int(lows[-1]), int(highs[-1])
+
+
+def _fold(words: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each row of word hashes."""
+    h = np.zeros(len(words), dtype=np.uint64)
+    for j in range(words.shape[1]):
+        h = mix(h ^ words[:, j], seed)
+    return h
+
+
+@dataclass
+class _Suffixes:
+    """Suffixes by the document and word they start at, with the words of their window."""
+
+    doc: np.ndarray
+    sig: np.ndarray
+    at: np.ndarray
+    words: np.ndarray  # [suffix, word]
+
+    @staticmethod
+    def of(parts: list[_Suffixes]) -> _Suffixes:
+        return _Suffixes(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("doc", "sig", "at", "words")))
+
+
+def _asked_suffixes(batches: Iterator[pa.RecordBatch], window: int, prefix: int) -> Iterator[_Suffixes]:
+    """The suffixes that start in a window filed under a run the document was told to repeat."""
+    for batch in batches:
+        docs, sigs = np.asarray(batch.column("doc_id")), np.asarray(batch.column("sig"))
+        lists = batch.column("anchors")
+        wanted = np.asarray(lists.flatten())
+        owner = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+        for first, part in packed_slices(batch.column("text")):
+            hashes, bounds = word_hashes(part)
+            at, anchor, text, mask = _anchors(hashes, bounds, window, prefix)
+            mine = (owner >= first) & (owner < first + len(part))
+            asked = np.unique(mix(wanted[mine].view(np.uint64), 9) ^ owner[mine].astype(np.uint64))
+            have = mix(anchor.view(np.uint64), 9) ^ (first + text).astype(np.uint64)
+            keep = np.isin(have, asked)
+            row, offset = np.nonzero(mask[keep, None] >> np.arange(window - prefix + 1) & 1)
+            start = np.sort(at[keep][row] - offset)
+            text = np.searchsorted(bounds, start, "right") - 1
+            for i in range(0, len(start), TASK_ROWS):  # a long text has many
+                s, t = start[i : i + TASK_ROWS], text[i : i + TASK_ROWS]
+                yield _Suffixes(docs[first + t], sigs[first + t], s - bounds[t], hashes[s[:, None] + np.arange(window)])
+
+
+def _prefixes(window: int, prefix: int) -> list[int]:
+    """The lengths a prefix may have."""
+    return sorted({prefix, (prefix + window) // 2, window})
+
+
+def _sampled_prefixes(window: int, prefix: int):
+    """(length, key): the prefixes of every suffix, each length but the longest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _asked_suffixes(batches, window, prefix):
+            for n in _prefixes(window, prefix)[:-1]:
+                key = _fold(some.words[:, :n], n).view(np.int64)
+                yield _batch({"length": np.full(len(key), n, np.int32), "key": key})
 
+    return run
 
-def _entries(window: int, prefix: int):
-    """Suffix entries (key, done, doc, at, mask, words) of the repeated runs of documents.
 
-    `done` rows are repeats already; their `words` are empty.
-    """
-    reach = window - prefix  # words on either side of a run that its windows may need
-    width = window + reach
-    kind = np.dtype((np.void, 4 * width))
-
-    def flush(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        anchor, doc, at, mask, words = (np.concatenate(x) for x in zip(*parts))
-        packed = np.ascontiguousarray(words).view(kind).ravel()
-        order = np.lexsort((doc, packed.view(f"S{4 * width}"), mask, anchor))
-        anchor, doc, at, mask, words = (x[order] for x in (anchor, doc, at, mask, words))
-        same = _same_as_before(anchor, mask)
-        same[1:] &= (words[1:] == words[:-1]).all(axis=1)
-        group = np.cumsum(~same) - 1
-        low = doc[~same][group]
-        done = doc > low
-        size = np.where(done, 0, 4 * width)
-        ends = np.concatenate([[0], np.cumsum(size)])
-        data = np.ascontiguousarray(words[~done]).tobytes()
-        offsets = pa.py_buffer(ends.astype(np.int32).tobytes())
-        binary = pa.BinaryArray.from_buffers(pa.binary(), len(doc), [None, offsets, pa.py_buffer(data)])
-        return _batch(
-            {
-                "key": anchor, "done": done, "doc": doc,
-                "at": at.astype(np.int32), "mask": mask.astype(np.int32), "words": binary,
-            }
-        )
+_ENTRY = (
+    "key bigint, done boolean, doc bigint, sig bigint, at int, length int, first_doc bigint, first_sig bigint, first_at int, "
+    "high bigint, low bigint, words binary"
+)
+
+
+def _entries(window: int, prefix: int, frequent):
+    """Suffixes (key, doc, sig, at, high, low, words) and, as `done`, repeats that the task has found."""
+    lengths = _prefixes(window, prefix)
+
+    def flush(some: _Suffixes) -> Iterator[pa.RecordBatch]:
+        high, low = (_fold(some.words, seed).view(np.int64) for seed in (window, 101))
+        order = np.lexsort((some.at, some.doc, low, high))
+        high, low = high[order], low[order]
+        doc, sig, at = some.doc[order], some.sig[order], some.at[order]
+        head = np.flatnonzero(~_same_as_before(high, low))
+        group = np.repeat(head, np.diff(np.append(head, len(doc))))
+        again = doc > doc[group]
+        if again.any():
+            mine, firsts = np.flatnonzero(again), group[again]
+            found = _chains(doc[mine], sig[mine], at[mine], doc[firsts], sig[firsts], at[firsts], np.full(len(mine), window))
+            yield _entry_batch(*found[:3], found[6], first=found[3:6])
+        go = ~again
+        words = some.words[order[go]]
+        key = _fold(words[:, : lengths[0]], lengths[0]).view(np.int64)
+        for n, longer in zip(lengths, lengths[1:]):
+            crowded = np.isin(key, frequent.value.get(n, ())) if n in frequent.value else np.zeros(len(key), dtype=bool)
+            key[crowded] = _fold(words[crowded, :longer], longer).view(np.int64)
+        # the leading bytes of each word's hash, in the order of bytes
+        data = np.ascontiguousarray(words.astype(">u8").view(np.uint8).reshape(len(words), window, 8)[:, :, :_PART])
+        size = window * _PART
+        offsets = pa.py_buffer((np.arange(len(words) + 1) * size).astype(np.int32).tobytes())
+        binary = pa.BinaryArray.from_buffers(pa.binary(), len(words), [None, offsets, pa.py_buffer(data.tobytes())])
+        yield _entry_batch(doc[go], sig[go], at[go], window, key=key, high=high[go], low=low[go], words=binary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
-        for batch in batches:
-            ids = np.asarray(batch.column("doc_id"))
-            lists = batch.column("anchors")
-            wanted = np.asarray(lists.flatten())
-            owner = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
-            for first, part in packed_slices(batch.column("text")):
-                hashes, bounds = word_hashes(part)
-                at, anchor, text, mask = _anchors(hashes, bounds, window, prefix)
-                # keep the runs that the document was told to repeat
-                mine = (owner >= first) & (owner < first + len(part))
-                asked = np.unique(mix(wanted[mine].view(np.uint64), 9) ^ owner[mine].astype(np.uint64))
-                have = mix(anchor.view(np.uint64), 9) ^ (first + text).astype(np.uint64)
-                keep = np.isin(have, asked)
-                at, anchor, text, mask = at[keep], anchor[keep], text[keep], mask[keep]
-                if not len(at):
-                    continue
-                short = (hashes >> np.uint64(32)).astype("<u4")
-                place = at[:, None] + np.arange(-reach, window)
-                # only the words of the windows filed here
-                offsets = np.arange(reach + 1)
-                on = (mask[:, None] >> offsets & 1).astype(bool)
-                farthest = np.where(on, offsets, -1).max(axis=1)
-                nearest = np.where(on, offsets, reach + 1).min(axis=1)
-                relative = np.arange(-reach, window)
-                use = (relative >= -farthest[:, None]) & (relative < (window - nearest)[:, None])
-                words = np.where(use, short[np.where(use, place, 0)], 0).astype("<u4")
-                parts.append((anchor, ids[first + text], at - bounds[text], mask, words))
-                held += len(at)
-                if held >= TASK_ROWS:
-                    yield flush(parts)
-                    parts, held = [], 0
+        for some in _asked_suffixes(batches, window, prefix):
+            parts.append(some)
+            held += len(some.doc)
+            if held >= TASK_ROWS:
+                yield from flush(_Suffixes.of(parts))
+                parts, held = [], 0
+                pa.default_memory_pool().release_unused()
         if held:
-            yield flush(parts)
+            yield from flush(_Suffixes.of(parts))
 
     return run
 
 
-def _leaves(doc, at, mask, words, window: int, prefix: int):
-    """The suffixes (doc, start, sequence) of all windows of some entries."""
-    reach = window - prefix
-    out = []
-    for o in range(reach + 1):
-        rows = np.flatnonzero(mask >> o & 1)
-        out.append((doc[rows], at[rows] - o, words[rows, reach - o : reach - o + window]))
-    return tuple(np.concatenate(x) for x in zip(*out))
+def _entry_batch(doc, sig, at, length, *, key=None, high=None, low=None, words=None, first=None) -> pa.RecordBatch:
+    n = len(doc)
+    column = lambda x, kind: pa.nulls(n, kind) if x is None else pa.array(x).cast(kind)
+    first_doc, first_sig, first_at = first or (None, None, None)
+    return pa.RecordBatch.from_arrays(
+        [column(key, pa.int64()), pa.array(np.full(n, first is not None)), column(doc, pa.int64()), column(sig, pa.int64()),
+         column(at, pa.int32()), column(np.broadcast_to(length, n), pa.int32()), column(first_doc, pa.int64()), column(first_sig, pa.int64()),
+         column(first_at, pa.int32()), column(high, pa.int64()), column(low, pa.int64()), pa.nulls(n, pa.binary()) if words is None else words],
+        names=["key", "done", *_PASSAGE, "high", "low", "words"],
+    )
 
 
-def _subtrees(window: int, prefix: int, group_rows: int):
-    """(doc, start, high, low) from entries sorted by key.
+def _chains(doc, sig, at, first_doc, first_sig, first_at, length) -> tuple[np.ndarray, ...]:
+    """Repeats joined where one goes on as the other: both sides move on by the same number of words."""
+    order = np.lexsort((at, at - first_at, first_sig, first_doc, sig, doc))
+    doc, sig, at, first_doc, first_sig, first_at, length = (x[order] for x in (doc, sig, at, first_doc, first_sig, first_at, length))
+    on = _same_as_before(doc, sig, first_doc, first_sig, at - first_at)
+    on[1:] &= at[1:] <= at[:-1] + length[:-1]
+    head = np.flatnonzero(~on)
+    end = np.maximum.reduceat(at + length, head) if len(head) else head
+    return doc[head], sig[head], at[head], first_doc[head], first_sig[head], first_at[head], end - at[head]
 
-    `high` is NULL for a repeat that is found.  Where a group outgrows `group_rows`, its windows
-    are handed on with their hash in `high` and `low`.
-    """
-    width = 2 * window - prefix
-
-    def found(doc: np.ndarray, start: np.ndarray, hashes: np.ndarray | None = None) -> pa.RecordBatch:
-        none = pa.nulls(len(doc), pa.int64())
-        high, low = (none, none) if hashes is None else (pa.array(hashes[0]), pa.array(hashes[1]))
-        return _batch({"doc": doc.astype(np.int64), "start": start.astype(np.int32), "high": high, "low": low})
-
-    def expand(doc: np.ndarray, at: np.ndarray, mask: np.ndarray) -> pa.RecordBatch:
-        o = np.arange(window - prefix + 1)
-        row, offset = np.nonzero(mask[:, None] >> o & 1)
-        return found(doc[row], at[row] - offset)
-
-    def tree(doc, at, mask, words) -> pa.RecordBatch:
-        doc, start, suffix = _leaves(doc, at, mask, words, window, prefix)
-        # leaves in order: suffixes sorted by their words
-        suffix = np.ascontiguousarray(suffix)
-        order = np.argsort(suffix.astype(">u4").view(f"S{4 * window}").ravel(), kind="stable")
-        doc, start, suffix = doc[order], start[order], suffix[order]
-        # common prefix with the leaf before: nodes of depth `window` join the leaves that share it
-        deep = np.zeros(len(doc), dtype=bool)
-        deep[1:] = (suffix[1:] == suffix[:-1]).all(axis=1)
-        node = np.flatnonzero(~deep)
-        low = np.repeat(np.minimum.reduceat(doc, node), np.diff(np.append(node, len(doc))))
-        again = doc > low
-        return found(doc[again], start[again])
-
-    def hand_on(doc, at, mask, words) -> pa.RecordBatch:
-        doc, start, suffix = _leaves(doc, at, mask, words, window, prefix)
-        pair = []
-        for seed in (21, 22):
-            h = np.zeros(len(doc), dtype=np.uint64)
-            for j in range(window):
-                h = mix(h ^ suffix[:, j].astype(np.uint64), seed)
-            pair.append(h.view(np.int64))
-        return found(doc, start, pair)
+
+_PASSAGE = ["doc", "sig", "at", "length", "first_doc", "first_sig", "first_at"]
+_REPEAT = "doc bigint, sig bigint, at int, length int, first_doc bigint, first_sig bigint, first_at int"
+
+
+def _subtrees(window: int):
+    """Repeats (_PASSAGE) from leaves in order, and those that are done."""
+    size = window * _PART
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        rows, large = 0, None  # `large`: the key of a group that is being handed on
+        before, first = None, None  # the last leaf, and the first leaf of its node
         for batch in batches:
             done = np.asarray(batch.column("done"))
-            key, doc = np.asarray(batch.column("key")), np.asarray(batch.column("doc"))
-            at, mask = np.asarray(batch.column("at")).astype(np.int64), np.asarray(batch.column("mask")).astype(np.int64)
             if done.any():
-                yield expand(doc[done], at[done], mask[done])
-            key, doc, at, mask = key[~done], doc[~done], at[~done], mask[~done]
-            if not len(key):
+                yield batch.select(_PASSAGE).filter(pa.array(done))
+                batch = batch.filter(pa.array(~done))
+            n = len(batch)
+            if not n:
                 continue
+            key, high, low, doc, sig, at = (np.asarray(batch.column(c)) for c in ("key", "high", "low", "doc", "sig", "at"))
             binary = batch.column("words")
-            ends = np.frombuffer(binary.buffers()[1], np.int32)[binary.offset : binary.offset + len(binary) + 1]
-            words = np.frombuffer(binary.buffers()[2], "<u4", count=(ends[-1] - ends[0]) // 4, offset=int(ends[0]))
-            words = words.reshape(-1, width)
-            if large is not None:
-                more = int(np.searchsorted(key != large, True))
-                if more:
-                    yield hand_on(doc[:more], at[:more], mask[:more], words[:more])
-                    key, doc, at, mask, words = (x[more:] for x in (key, doc, at, mask, words))
-                if not len(key):
-                    continue
-                large = None
-            held.append((key, doc, at, mask, words.copy()))
-            rows += len(key)
-            if rows >= group_rows // 4:
-                key, doc, at, mask, words = (np.concatenate(x) for x in zip(*held))
-                last = int(np.searchsorted(key == key[-1], True)) if key[0] != key[-1] else 0
-                if last:
-                    yield tree(doc[:last], at[:last], mask[:last], words[:last])
-                rest = tuple(x[last:] for x in (key, doc, at, mask, words))
-                if len(rest[0]) > group_rows:
-                    large = int(rest[0][-1])
-                    yield hand_on(*rest[1:])
-                    held, rows = [], 0
-                else:
-                    held, rows = [rest], len(rest[0])
-        if rows:
-            _, doc, at, mask, words = (np.concatenate(x) for x in zip(*held))
-            yield tree(doc, at, mask, words)
+            begin = int(np.frombuffer(binary.buffers()[1], np.int32, 1, 4 * binary.offset)[0])
+            words = np.frombuffer(binary.buffers()[2], np.uint8, n * size, begin).reshape(n, window, _PART)
+            # the length of the common prefix with the leaf before
+            unlike = np.ones((n, window + 1), dtype=bool)
+            unlike[1:, :window] = (words[1:] != words[:-1]).any(axis=2)
+            if before is not None:
+                unlike[0, :window] = (words[0] != before[3]).any(axis=1)
+            common = unlike.argmax(axis=1)
+            whole = common == window
+            whole[1:] &= (key[1:] == key[:-1]) & (high[1:] == high[:-1]) & (low[1:] == low[:-1])
+            whole[0] &= before is not None and (key[0], high[0], low[0]) == before[:3]
+            # leaves below one node of depth `window` or more
+            head = np.flatnonzero(~whole)
+            node = np.cumsum(~whole) - 1
+            firsts = [np.where(node < 0, first[i] if first else 0, x[head[node]] if len(head) else 0) for i, x in enumerate((doc, sig, at))]
+            again = doc > firsts[0]
+            if again.any():
+                found = _chains(*(x[again] for x in (doc, sig, at, *firsts)), np.full(int(again.sum()), window))
+                yield _repeat_batch(*found)
+            before = int(key[-1]), int(high[-1]), int(low[-1]), words[-1].copy()
+            first = [int(x[-1]) for x in firsts]
 
     return run
 
 
+def _repeat_batch(doc, sig, at, first_doc, first_sig, first_at, length) -> pa.RecordBatch:
+    wide, narrow = (lambda x: pa.array(x, pa.int64())), (lambda x: pa.array(x.astype(np.int32), pa.int32()))
+    return pa.RecordBatch.from_arrays(
+        [wide(doc), wide(sig), narrow(at), narrow(length), wide(first_doc), wide(first_sig), narrow(first_at)], names=_PASSAGE
+    )
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """`docs` with `text` as compressed bytes, to travel through a shuffle by document."""
 
@@ -344,53 +372,96 @@ def packed_slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
         yield first, pa.array(held, pa.large_binary())
 
 
+def _frequent(sample: DataFrame, window: int, prefix: int, least: int) -> dict[int, np.ndarray]:
+    """By length, the keys of the prefixes that at least `least` suffixes of the sample start with."""
+    keys = sample.mapInArrow(_sampled_prefixes(window, prefix), "length int, key bigint")
+    found: dict[int, list[int]] = {}
+    for r in keys.groupBy("length", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= least).collect():
+        found.setdefault(r["length"], []).append(r["key"])
+    return {n: np.array(sorted(x), dtype=np.int64) for n, x in found.items()}
+
+
 def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(doc, start): the windows of (doc_id, text) whose sequence starts in a smaller doc_id too.
+    """(doc, sig, at, length, first_doc, first_sig, first_at): passages of (doc_id, sig, text) that start in a smaller doc_id too.
 
-    `start` counts words from 0.  doc_id must not be NULL.
+    `at` counts words from 0; the passages found cover every window that repeats.  doc_id must not be
+    NULL; `sig` tells rows of the same doc_id apart.
     """
-    probes = docs.mapInArrow(_probes(window, prefix), "doc bigint, anchor bigint, known boolean")
+    spark = docs.sparkSession
+    probes = docs.select("doc_id", "text").mapInArrow(_probes(window, prefix), "doc bigint, anchor bigint, known boolean")
     # rows that need no answer are dealt by document, so that no run gathers them
     place = F.when(F.col("known"), F.xxhash64("doc")).otherwise(F.col("anchor"))
     answers = probes.repartition(place).sortWithinPartitions("known", "anchor").mapInArrow(_answers, "doc bigint, anchor bigint")
     # no more entries than the document has words
-    asked = answers.groupBy("doc").agg(F.collect_list("anchor").alias("anchors"))
-    carried = packed(docs)
-    told = carried.join(asked, carried["doc_id"] == asked["doc"]).select("doc_id", "text", "anchors")
-    entries = told.mapInArrow(
-        _entries(window, prefix), "key bigint, done boolean, doc bigint, at int, mask int, words binary"
-    )
+    asked = stored(answers.groupBy("doc").agg(F.collect_set("anchor").alias("anchors")), "asked")
+
+    def told(some: DataFrame) -> DataFrame:
+        wanted = asked.select(F.col("doc").alias("asked"), "anchors")
+        carried = packed(some)
+        return carried.join(wanted, carried["doc_id"] == wanted["asked"]).select("doc_id", "sig", "text", "anchors")
+
+    size = asked.agg(F.count("*").alias("docs"), F.sum(F.size("anchors")).alias("runs")).first()
+    frequent: dict[int, np.ndarray] = {}
+    if (size["runs"] or 0) * (window - prefix + 1) > group_rows:
+        share = max(1, size["docs"] // SAMPLE_DOCS)
+        sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0) if share > 1 else docs
+        frequent = _frequent(told(sample), window, prefix, max(group_rows // share, 16 if share > 1 else 1))
+    entries = told(docs).mapInArrow(_entries(window, prefix, spark.sparkContext.broadcast(frequent)), _ENTRY)
     place = F.when(F.col("done"), F.xxhash64("doc")).otherwise(F.col("key"))
-    found = stored(
-        entries.repartition(place).sortWithinPartitions("done", "key").mapInArrow(
-            _subtrees(window, prefix, group_rows), "doc bigint, start int, high bigint, low bigint"
-        ),
-        "repeats",
-    )
-    # the windows of groups that outgrew memory
-    handed = found.filter("high IS NOT NULL")
-    smallest = handed.groupBy("high", "low").agg(F.min("doc").alias("first"))
-    more = handed.join(smallest, ["high", "low"]).filter("doc > first").select("doc", "start")
-    return found.filter("high IS NULL").select("doc", "start").union(more)
+    leaves = entries.repartition(place).sortWithinPartitions("done", "key", "words", "high", "low", "doc", "at")
+    return stored(leaves.mapInArrow(_subtrees(window), _REPEAT), "repeats")
 
 
-def _cut(window: int, others: list[str], as_is: bool):
+def _maximal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        passages = batch.column("passages")
+        owner = np.repeat(np.arange(len(passages)), np.diff(np.asarray(passages.offsets)))
+        flat = passages.flatten()
+        at, first_doc, first_sig, first_at, length = (np.asarray(flat.field(c)) for c in ("at", "first_doc", "first_sig", "first_at", "length"))
+        doc, sig = (np.asarray(batch.column(c))[owner] for c in ("doc", "sig"))
+        yield _repeat_batch(*_chains(doc, sig, at, first_doc, first_sig, first_at, length))
+
+
+def maximal_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, start, length, first_doc, first_start): every passage of `window` words or more that a document
+    shares with one of smaller doc_id, each as long as both go on alike.
+
+    A window is told against the first document that has it; where that changes, a passage ends and the
+    next begins, possibly before its end.  Rows and NULLs are taken as `remove_repeats` says.
+    """
+    found = repeats(_rows(docs).filter("doc_id IS NOT NULL").select("doc_id", "sig", "text"), window)
+    # window by window: what a task found repeats a leaf that the tree may have told to repeat in turn
+    step = found.select("*", F.explode(F.expr(f"sequence(0, length - {window})")).alias("i"))
+    each = step.select("doc", "sig", (F.col("at") + F.col("i")).alias("at"), "first_doc", "first_sig", (F.col("first_at") + F.col("i")).alias("first_at"))
+    on = each.select(*[F.col(a).alias(b) for a, b in (("doc", "d"), ("sig", "s"), ("at", "a"), ("first_doc", "fd"), ("first_sig", "fs"), ("first_at", "fa"))])
+    # of a leaf told several times the smallest
+    on = on.groupBy("d", "s", "a").agg(F.min(F.struct("fd", "fs", "fa")).alias("f"))
+    told = each.join(on, F.expr("first_doc = d AND first_sig = s AND first_at = a"), "left")
+    best = F.min(F.struct(*[F.coalesce(f"f.{a}", b).alias(b) for a, b in (("fd", "first_doc"), ("fs", "first_sig"), ("fa", "first_at"))])).alias("p")
+    firsts = told.groupBy("doc", "sig", "at").agg(best).select("doc", "sig", "at", F.lit(window).alias("length"), "p.*")
+    listed = firsts.groupBy("doc", "sig").agg(F.collect_list(F.struct("at", "length", "first_doc", "first_sig", "first_at")).alias("passages"))
+    return listed.mapInArrow(_maximal, _REPEAT).select(
+        F.col("doc").alias("doc_id"), F.col("at").alias("start"), "length", "first_doc", F.col("first_at").alias("first_start")
+    )
+
+
+def _cut(others: list[str], as_is: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             total, removed, kept = [], [], []
-            unpack = zstandard.ZstdDecompressor()
-            for text, starts in zip(batch.column("text"), batch.column("starts")):
+            for text, passages in zip(batch.column("text"), batch.column("passages")):
                 whole = unpack.decompress(text.as_py())
                 words = whole.split()
                 total.append(len(words))
-                begin = np.asarray(starts.values) if starts.is_valid else np.empty(0, np.int64)
-                if not len(begin):
+                if not (passages.is_valid and len(passages)):
                     removed.append(0)
                     kept.append(whole if as_is else b" ".join(words))
                     continue
+                begin, length = (np.asarray(passages.values.field(c)) for c in ("at", "length"))
                 change = np.zeros(len(words) + 1, dtype=np.int64)
                 np.add.at(change, begin, 1)
-                np.add.at(change, begin + window, -1)
+                np.add.at(change, begin + length, -1)
                 stay = np.flatnonzero(np.cumsum(change[:-1]) == 0)
                 removed.append(len(words) - len(stay))
                 kept.append(b" ".join([words[i] for i in stay.tolist()]))
@@ -403,28 +474,32 @@ def _cut(window: int, others: list[str], as_is: bool):
     return run
 
 
+def _rows(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, *keep, sig); `sig` tells rows of one doc_id apart by their text."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *keep)
+    return rows.withColumn("sig", F.xxhash64("text"))
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = (), as_is: bool = False) -> DataFrame:
     """(doc_id, *keep, n_words, n_removed, kept_text) of every row of `docs`.
 
     Each word that lies in a window of `window` words whose sequence also starts in a document of
     smaller doc_id goes; windows are judged on the input.  kept_text is the words that stay, joined
-    by one space (with `as_is`, the text itself where no word goes).  NULL text has no words.  A row with a NULL doc_id has no place in the order: it
-    loses nothing and nothing is lost to it.  Rows with the same doc_id are judged one by one and
-    never against each other.  An empty table gives an empty result.
+    by one space (with `as_is`, the text itself where no word goes).  NULL text has no words.  A row with a
+    NULL doc_id has no place in the order: it loses nothing and nothing is lost to it.  Rows with the same
+    doc_id are judged one by one and never against each other.  An empty table gives an empty result.
     """
-    rows = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *keep
-    )
+    rows = _rows(docs, keep)
     named = rows.filter("doc_id IS NOT NULL")
-    found = repeats(named.select("doc_id", "text"), window)
-    starts = found.groupBy("doc").agg(F.collect_set("start").alias("starts"))
+    found = repeats(named.select("doc_id", "sig", "text"), window)
+    listed = found.groupBy(F.col("doc").alias("_doc"), F.col("sig").alias("_sig")).agg(F.collect_set(F.struct("at", "length")).alias("passages"))
     carried = packed(named)
-    judged = carried.join(starts, carried["doc_id"] == starts["doc"], "left").drop("doc").select(*rows.columns, "starts")
-    unnamed = packed(rows.filter("doc_id IS NULL")).withColumn("starts", F.lit(None).cast("array<int>"))
+    judged = carried.join(listed, (carried["doc_id"] == listed["_doc"]) & (carried["sig"] == listed["_sig"]), "left").select(*rows.columns, "passages")
+    unnamed = packed(rows.filter("doc_id IS NULL")).withColumn("passages", F.lit(None).cast("array<struct<at:int,length:int>>"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     others = ["doc_id", *keep]
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "n_words bigint", "n_removed bigint", "kept_text string"])
-    return judged.union(unnamed).mapInArrow(_cut(window, others, as_is), schema)
+    return judged.union(unnamed).mapInArrow(_cut(others, as_is), schema)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -270,6 +270,63 @@ def test_substrings(spark, docs, empty, monkeypatch, group_rows):
     assert remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("group_rows", [3, 200_000])
+def test_repeated_ids_of_different_texts(spark, monkeypatch, group_rows):
+    from mercalith.llm import substrings
+
+    monkeypatch.setattr(substrings.repeats, "__defaults__", (13, 7, group_rows))
+    a = " ".join(f"a{i}" for i in range(40))
+    b = " ".join(f"b{i}" for i in range(40))
+    given = [(1, a), (2, a + " x " + b), (2, "y " + b), (2, "short"), (3, b), (3, None), (3, a), (2, a + " x " + b), (None, a), (5, "z " + a[:60])]
+    rng = np.random.default_rng(8)
+    given += [(int(rng.integers(6, 20)), " ".join(rng.choice([f"c{i}" for i in range(3)], 30))) for _ in range(30)]
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in remove_repeats(
+        spark.createDataFrame(given, "doc_id bigint, text string").repartition(3)).collect() if r.doc_id is not None)
+    first = {}
+    for i, t in given:
+        w = WORD.findall(t or "")
+        for k in range(len(w) - 12 if i is not None else 0):
+            key = tuple(w[k : k + 13])
+            first[key] = min(first.get(key, i), i)
+    want = []
+    for i, t in given:
+        if i is None:
+            continue
+        w = WORD.findall(t or "")
+        gone = {j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for j in range(k, k + 13)}
+        want.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    assert got == sorted(want)
+
+
+def test_maximal_repeats(spark):
+    from mercalith.llm.substrings import maximal_repeats
+
+    a = [f"a{i}" for i in range(100)]
+    b = [f"b{i}" for i in range(30)]
+    given = [(1, a), (2, ["x"] + a[10:60] + ["y"] + a[70:83]), (3, b + a[:12]), (4, a[5:60] + ["q"] + b), (5, ["q"] + b)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in given], "doc_id bigint, text string").repartition(3)
+    got = {tuple(r) for r in maximal_repeats(docs).collect()}
+    assert got == {(2, 1, 50, 1, 10), (2, 52, 13, 1, 70), (4, 0, 55, 1, 5), (4, 56, 30, 3, 0), (5, 1, 30, 3, 0), (5, 0, 13, 4, 55)}
+
+
+def test_answers_over_batches():
+    """A run's documents may come in any number of batches."""
+    from mercalith.llm.substrings import _answers
+
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        anchors = np.sort(rng.integers(0, 4, 12))
+        docs = rng.integers(0, 3, 12)
+        cuts = [0, *np.sort(rng.integers(0, 13, 4)).tolist(), 12]
+        batches = [
+            pa.RecordBatch.from_arrays([pa.array(docs[a:b]), pa.array(anchors[a:b]), pa.array(np.zeros(b - a, dtype=bool))], names=["doc", "anchor", "known"])
+            for a, b in zip(cuts, cuts[1:])
+        ]
+        got = [(x["anchor"], x["doc"]) for out in _answers(iter(batches)) for x in out.to_pylist()]
+        several = {a for a in anchors if len(set(docs[anchors == a])) > 1}
+        assert set(got) == {(a, d) for a, d in zip(anchors, docs) if a in several}
+
+
 def targets(size, weight, most=3):
     """Excess reshared by weight until no target is above its limit."""
     total, full = sum(size.values()), set()
