@@ -16,6 +16,7 @@ leaves no half-written shard.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,12 +30,17 @@ from pyspark.sql.window import Window
 
 from mercalith.llm.common import ids_bytes, scratch_path, tokenizer_file
 from mercalith.llm.perfect_hash import MinimalPerfectHash, fingerprint
-from mercalith.llm.pieces import PieceEncoder, pack
+from mercalith.llm.pieces import WHITE, PieceEncoder, pack
 
 SHARD_IDS = 1_000_000
 BATCH_PIECES = 8192
+LINE_PIECES = 512
+BATCH_LINES = 16
 END_ID = 2
 
+# white space behind a piece's first character, and white space as its first but for the space
+_INSIDE = re.compile(f"[{WHITE}]").search
+
 SCHEMA = (
     "part int, seq int, first_key bigint, last_key bigint, n_docs bigint, n_null_keys bigint, "
     "n_ids bigint, local_start bigint, width int, keys binary, levels binary, bits binary, "
@@ -53,13 +59,34 @@ def library_encoder(name: str) -> PieceEncoder:
     tokenizer.no_padding()
     specials = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
 
+    (line_end,) = tokenizer.encode("\n", add_special_tokens=False).ids
+
+    def encode_lines(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, how many each piece has) of pieces without white space but for a first space.
+
+        They are handed over as lines: the pre-tokenizer keeps a line end apart from what stands around it.
+        """
+        lines = ["\n".join(pieces[at : at + LINE_PIECES]) for at in range(0, len(pieces), LINE_PIECES)]
+        found = []
+        for at in range(0, len(lines), BATCH_LINES):  # the library's results are large objects
+            for e in tokenizer.encode_batch_fast(lines[at : at + BATCH_LINES], add_special_tokens=False):
+                found += [np.array(e.ids, dtype=np.uint32), np.array([line_end], dtype=np.uint32)]
+        ids = np.concatenate(found)
+        ends = np.flatnonzero(ids == line_end)
+        return ids[ids != line_end], np.diff(ends, prepend=-1) - 1
+
     def encode_many(pieces: list[str]) -> list[bytes]:
-        found: list[list[int]] = []
-        for at in range(0, len(pieces), BATCH_PIECES):  # the library's results are large objects
-            batch = tokenizer.encode_batch_fast(pieces[at : at + BATCH_PIECES], add_special_tokens=False)
-            found += [e.ids for e in batch]
-        bounds = np.cumsum([0, *map(len, found)])
-        return pack(np.array([i for ids in found for i in ids], dtype=np.int64), bounds)
+        inside = [_INSIDE(x, 1) is not None or x in (" ", "") for x in pieces]
+        plain = [x for x, odd in zip(pieces, inside) if not odd]
+        flat, lengths = encode_lines(plain) if plain else (np.empty(0, np.uint32), np.empty(0, np.int64))
+        packed = iter(pack(flat, np.concatenate([[0], np.cumsum(lengths)])))
+        odd = [x for x, is_odd in zip(pieces, inside) if is_odd]
+        alone: list[bytes] = []
+        for at in range(0, len(odd), BATCH_PIECES):
+            batch = tokenizer.encode_batch_fast(odd[at : at + BATCH_PIECES], add_special_tokens=False)
+            alone += [ids_bytes(e.ids) for e in batch]
+        others = iter(alone)
+        return [next(others) if is_odd else next(packed) for is_odd in inside]
 
     encoder = PieceEncoder(encode_many, specials)
     encoder.vocabulary_size = tokenizer.get_vocab_size(with_added_tokens=True)
