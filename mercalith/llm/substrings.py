@@ -8,7 +8,9 @@ internal node of depth WINDOW or more in the tree of all suffixes.
    of PREFIX words in it, the one of smallest hash (the leftmost of equals), so that equal windows are
    filed under the same run; about a quarter of all runs are chosen.  Runs that occur in one
    document only are dropped, and with them the suffixes that start in their windows.
-2. The suffixes left are split by their prefix.  A prefix has PREFIX words; where more than GROUP_ROWS
+2. What is left of a document are stretches of consecutive suffixes.  Of equal stretches, as copies of a
+   document have them, only the smallest document's goes on; the others repeat it.
+   The suffixes left are then split by their prefix.  A prefix has PREFIX words; where more than GROUP_ROWS
    suffixes are expected below it, it is lengthened, at last to the whole window.  Which prefixes
    these are is read from a sample of documents (SAMPLE_DOCS); it decides where suffixes meet, not
    what is found.  Within a task equal windows are answered at once, and only those of the smallest
@@ -23,8 +25,8 @@ internal node of depth WINDOW or more in the tree of all suffixes.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +43,10 @@ WINDOW = 13
 PREFIX = 7
 GROUP_ROWS = 200_000
 TASK_ROWS = 150_000
-SAMPLE_DOCS = 20_000
-# bytes of a word's hash that order the leaves; equality of windows is decided by 128 bits
-_PART = 3
+STRETCH = 4096
+SAMPLE_DOCS = 2000
+# bytes of a word's hash that order the leaves; equal windows agree in these of each word and in 64 bits of the whole
+_PART = 2
 
 
 def _anchors(hashes: np.ndarray, bounds: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, ...]:
@@ -162,22 +165,9 @@ def _fold(words: np.ndarray, seed: int) -> np.ndarray:
     return h
 
 
-@dataclass
-class _Suffixes:
-    """Suffixes by the document and word they start at, with the words of their window."""
-
-    doc: np.ndarray
-    sig: np.ndarray
-    at: np.ndarray
-    words: np.ndarray  # [suffix, word]
-
-    @staticmethod
-    def of(parts: list[_Suffixes]) -> _Suffixes:
-        return _Suffixes(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("doc", "sig", "at", "words")))
-
-
-def _asked_suffixes(batches: Iterator[pa.RecordBatch], window: int, prefix: int) -> Iterator[_Suffixes]:
-    """The suffixes that start in a window filed under a run the document was told to repeat."""
+def _asked_windows(batches: Iterator[pa.RecordBatch], window: int, prefix: int):
+    """(docs, sigs, first word of each text, text of each window, its first word, all word hashes), some texts at a time:
+    the windows filed under a run that the document was told to repeat."""
     for batch in batches:
         docs, sigs = np.asarray(batch.column("doc_id")), np.asarray(batch.column("sig"))
         lists = batch.column("anchors")
@@ -192,10 +182,7 @@ def _asked_suffixes(batches: Iterator[pa.RecordBatch], window: int, prefix: int)
             keep = np.isin(have, asked)
             row, offset = np.nonzero(mask[keep, None] >> np.arange(window - prefix + 1) & 1)
             start = np.sort(at[keep][row] - offset)
-            text = np.searchsorted(bounds, start, "right") - 1
-            for i in range(0, len(start), TASK_ROWS):  # a long text has many
-                s, t = start[i : i + TASK_ROWS], text[i : i + TASK_ROWS]
-                yield _Suffixes(docs[first + t], sigs[first + t], s - bounds[t], hashes[s[:, None] + np.arange(window)])
+            yield docs[first : first + len(part)], sigs[first : first + len(part)], bounds, np.searchsorted(bounds, start, "right") - 1, start, hashes
 
 
 def _prefixes(window: int, prefix: int) -> list[int]:
@@ -204,13 +191,59 @@ def _prefixes(window: int, prefix: int) -> list[int]:
 
 
 def _sampled_prefixes(window: int, prefix: int):
-    """(length, key): the prefixes of every suffix, each length but the longest."""
+    """(length, key, whole): the prefixes of every suffix, each length but the longest, with its window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in _asked_suffixes(batches, window, prefix):
-            for n in _prefixes(window, prefix)[:-1]:
-                key = _fold(some.words[:, :n], n).view(np.int64)
-                yield _batch({"length": np.full(len(key), n, np.int32), "key": key})
+        for _, _, _, _, start, hashes in _asked_windows(batches, window, prefix):
+            for i in range(0, len(start), TASK_ROWS):
+                words = hashes[start[i : i + TASK_ROWS, None] + np.arange(window)]
+                whole = _fold(words, window).view(np.int64)
+                for n in _prefixes(window, prefix)[:-1]:
+                    key = _fold(words[:, :n], n).view(np.int64)
+                    yield _batch({"length": np.full(len(key), n, np.int32), "key": key, "whole": whole})
+
+    return run
+
+
+def _stretches(window: int, prefix: int):
+    """Stretches of consecutive suffixes (high, low, doc, sig, at, words) and, as `done`, repeats found in the task.
+
+    `words` holds the hashes of the words from the first suffix to the end of the last one's window.  Equal
+    stretches, as copies of a document have them, are answered at once; the smallest document's go on.
+    """
+
+    def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        rows.sort(key=lambda r: (r[0], r[1], r[2], r[3]))
+        go, done, first = [], [], None
+        for r in rows:
+            if first is None or r[0] != first[0]:
+                first = r
+            (go if r[1] == first[1] else done).append((r, first))
+        if done:
+            columns = np.array([(r[1], r[2], r[3], f[1], f[2], f[3], len(r[4]) // 8) for r, f in done], dtype=np.int64).T
+            yield _entry_batch(*columns[:3], columns[6], first=columns[3:6])
+        digests = np.frombuffer(b"".join(r[0] for r, _ in go), np.int64).reshape(-1, 2)
+        doc, sig, at, size = np.array([(*r[1:4], len(r[4]) // 8) for r, _ in go], dtype=np.int64).T
+        words = pa.array([r[4] for r, _ in go], pa.binary())
+        yield _entry_batch(doc, sig, at, size, key=digests[:, 0], high=digests[:, 0], low=digests[:, 1], words=words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for docs, sigs, bounds, text, start, hashes in _asked_windows(batches, window, prefix):
+            breaks = np.flatnonzero((np.diff(start) != 1) | (np.diff(text) != 0)) + 1
+            edges = [0, *breaks.tolist(), len(start)]
+            for a, b in zip(edges, edges[1:]):
+                for i in range(a, b, STRETCH):  # counted from its start, so copies are cut alike
+                    j = min(b, i + STRETCH)
+                    t, words = int(text[i]), hashes[start[i] : start[j - 1] + window].tobytes()
+                    digest = hashlib.blake2b(words, digest_size=16).digest()
+                    rows.append((digest, int(docs[t]), int(sigs[t]), int(start[i] - bounds[t]), words))
+                    held += j - i
+                    if held >= TASK_ROWS:
+                        yield from flush(rows)
+                        rows, held = [], 0
+        if rows:
+            yield from flush(rows)
 
     return run
 
@@ -222,45 +255,66 @@ _ENTRY = (
 
 
 def _entries(window: int, prefix: int, frequent):
-    """Suffixes (key, doc, sig, at, high, low, words) and, as `done`, repeats that the task has found."""
+    """Suffixes (key, doc, sig, at, high, words) of stretches sorted by (done, high, low, doc); `done` rows pass through.
+
+    Of equal stretches all but the smallest document's are done, and of equal windows that the task holds.
+    """
     lengths = _prefixes(window, prefix)
 
-    def flush(some: _Suffixes) -> Iterator[pa.RecordBatch]:
-        high, low = (_fold(some.words, seed).view(np.int64) for seed in (window, 101))
-        order = np.lexsort((some.at, some.doc, low, high))
-        high, low = high[order], low[order]
-        doc, sig, at = some.doc[order], some.sig[order], some.at[order]
-        head = np.flatnonzero(~_same_as_before(high, low))
+    def flush(doc, sig, at, words) -> Iterator[pa.RecordBatch]:
+        high = _fold(words, window).view(np.int64)
+        order = np.lexsort((at, doc, high))
+        high, doc, sig, at, words = (x[order] for x in (high, doc, sig, at, words))
+        same = _same_as_before(high)
+        same[1:] &= (words[1:] == words[:-1]).all(axis=1)
+        head = np.flatnonzero(~same)
         group = np.repeat(head, np.diff(np.append(head, len(doc))))
         again = doc > doc[group]
         if again.any():
-            mine, firsts = np.flatnonzero(again), group[again]
-            found = _chains(doc[mine], sig[mine], at[mine], doc[firsts], sig[firsts], at[firsts], np.full(len(mine), window))
+            firsts = group[again]
+            found = _chains(doc[again], sig[again], at[again], doc[firsts], sig[firsts], at[firsts], np.full(len(firsts), window))
             yield _entry_batch(*found[:3], found[6], first=found[3:6])
         go = ~again
-        words = some.words[order[go]]
+        words = words[go]
         key = _fold(words[:, : lengths[0]], lengths[0]).view(np.int64)
         for n, longer in zip(lengths, lengths[1:]):
-            crowded = np.isin(key, frequent.value.get(n, ())) if n in frequent.value else np.zeros(len(key), dtype=bool)
+            crowded = np.isin(key, frequent.value[n]) if n in frequent.value else np.zeros(len(key), dtype=bool)
             key[crowded] = _fold(words[crowded, :longer], longer).view(np.int64)
         # the leading bytes of each word's hash, in the order of bytes
         data = np.ascontiguousarray(words.astype(">u8").view(np.uint8).reshape(len(words), window, 8)[:, :, :_PART])
-        size = window * _PART
-        offsets = pa.py_buffer((np.arange(len(words) + 1) * size).astype(np.int32).tobytes())
+        offsets = pa.py_buffer((np.arange(len(words) + 1) * window * _PART).astype(np.int32).tobytes())
         binary = pa.BinaryArray.from_buffers(pa.binary(), len(words), [None, offsets, pa.py_buffer(data.tobytes())])
-        yield _entry_batch(doc[go], sig[go], at[go], window, key=key, high=high[go], low=low[go], words=binary)
+        yield _entry_batch(doc[go], sig[go], at[go], window, key=(key.view(np.uint64) >> np.uint64(48)).view(np.int64), high=high[go], words=binary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = None
         parts, held = [], 0
-        for some in _asked_suffixes(batches, window, prefix):
-            parts.append(some)
-            held += len(some.doc)
-            if held >= TASK_ROWS:
-                yield from flush(_Suffixes.of(parts))
-                parts, held = [], 0
-                pa.default_memory_pool().release_unused()
+        for batch in batches:
+            done = np.asarray(batch.column("done"))
+            if done.any():
+                yield batch.filter(pa.array(done))
+                batch = batch.filter(pa.array(~done))
+            again = []
+            rows = zip(*(batch.column(c).to_pylist() for c in ("high", "low", "doc", "sig", "at")), batch.column("words"))
+            for high, low, doc, sig, at, words in rows:
+                if first is None or (high, low) != first[:2]:
+                    first = high, low, doc, sig, at
+                hashes = np.frombuffer(words.as_buffer(), np.uint64)
+                if doc != first[2]:
+                    again.append((doc, sig, at, *first[2:], len(hashes)))
+                    continue
+                n = len(hashes) - window + 1
+                parts.append((np.full(n, doc), np.full(n, sig), at + np.arange(n), np.lib.stride_tricks.sliding_window_view(hashes, window)))
+                held += n
+                if held >= TASK_ROWS:
+                    yield from flush(*(np.concatenate(x) for x in zip(*parts)))
+                    parts, held = [], 0
+                    pa.default_memory_pool().release_unused()
+            if again:
+                columns = np.array(again, dtype=np.int64).T
+                yield _entry_batch(*columns[:3], columns[6], first=columns[3:6])
         if held:
-            yield from flush(_Suffixes.of(parts))
+            yield from flush(*(np.concatenate(x) for x in zip(*parts)))
 
     return run
 
@@ -268,7 +322,7 @@ def _entries(window: int, prefix: int, frequent):
 def _entry_batch(doc, sig, at, length, *, key=None, high=None, low=None, words=None, first=None) -> pa.RecordBatch:
     n = len(doc)
     column = lambda x, kind: pa.nulls(n, kind) if x is None else pa.array(x).cast(kind)
-    first_doc, first_sig, first_at = first or (None, None, None)
+    first_doc, first_sig, first_at = (None, None, None) if first is None else first
     return pa.RecordBatch.from_arrays(
         [column(key, pa.int64()), pa.array(np.full(n, first is not None)), column(doc, pa.int64()), column(sig, pa.int64()),
          column(at, pa.int32()), column(np.broadcast_to(length, n), pa.int32()), column(first_doc, pa.int64()), column(first_sig, pa.int64()),
@@ -306,7 +360,7 @@ def _subtrees(window: int):
             n = len(batch)
             if not n:
                 continue
-            key, high, low, doc, sig, at = (np.asarray(batch.column(c)) for c in ("key", "high", "low", "doc", "sig", "at"))
+            high, doc, sig, at = (np.asarray(batch.column(c)) for c in ("high", "doc", "sig", "at"))
             binary = batch.column("words")
             begin = int(np.frombuffer(binary.buffers()[1], np.int32, 1, 4 * binary.offset)[0])
             words = np.frombuffer(binary.buffers()[2], np.uint8, n * size, begin).reshape(n, window, _PART)
@@ -314,11 +368,11 @@ def _subtrees(window: int):
             unlike = np.ones((n, window + 1), dtype=bool)
             unlike[1:, :window] = (words[1:] != words[:-1]).any(axis=2)
             if before is not None:
-                unlike[0, :window] = (words[0] != before[3]).any(axis=1)
+                unlike[0, :window] = (words[0] != before[1]).any(axis=1)
             common = unlike.argmax(axis=1)
             whole = common == window
-            whole[1:] &= (key[1:] == key[:-1]) & (high[1:] == high[:-1]) & (low[1:] == low[:-1])
-            whole[0] &= before is not None and (key[0], high[0], low[0]) == before[:3]
+            whole[1:] &= high[1:] == high[:-1]
+            whole[0] &= before is not None and high[0] == before[0]
             # leaves below one node of depth `window` or more
             head = np.flatnonzero(~whole)
             node = np.cumsum(~whole) - 1
@@ -327,7 +381,7 @@ def _subtrees(window: int):
             if again.any():
                 found = _chains(*(x[again] for x in (doc, sig, at, *firsts)), np.full(int(again.sum()), window))
                 yield _repeat_batch(*found)
-            before = int(key[-1]), int(high[-1]), int(low[-1]), words[-1].copy()
+            before = int(high[-1]), words[-1].copy()
             first = [int(x[-1]) for x in firsts]
 
     return run
@@ -374,9 +428,10 @@ def packed_slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
 
 def _frequent(sample: DataFrame, window: int, prefix: int, least: int) -> dict[int, np.ndarray]:
     """By length, the keys of the prefixes that at least `least` suffixes of the sample start with."""
-    keys = sample.mapInArrow(_sampled_prefixes(window, prefix), "length int, key bigint")
+    keys = sample.mapInArrow(_sampled_prefixes(window, prefix), "length int, key bigint, whole bigint")
     found: dict[int, list[int]] = {}
-    for r in keys.groupBy("length", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= least).collect():
+    counted = keys.distinct().groupBy("length", "key").agg(F.count("*").alias("n"))
+    for r in counted.filter(F.col("n") >= least).collect():
         found.setdefault(r["length"], []).append(r["key"])
     return {n: np.array(sorted(x), dtype=np.int64) for n, x in found.items()}
 
@@ -406,9 +461,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group_r
         share = max(1, size["docs"] // SAMPLE_DOCS)
         sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0) if share > 1 else docs
         frequent = _frequent(told(sample), window, prefix, max(group_rows // share, 16 if share > 1 else 1))
-    entries = told(docs).mapInArrow(_entries(window, prefix, spark.sparkContext.broadcast(frequent)), _ENTRY)
-    place = F.when(F.col("done"), F.xxhash64("doc")).otherwise(F.col("key"))
-    leaves = entries.repartition(place).sortWithinPartitions("done", "key", "words", "high", "low", "doc", "at")
+    # done rows are dealt by document, all others by what has to meet
+    def met(rows: DataFrame) -> DataFrame:
+        return rows.repartition(F.when(F.col("done"), F.xxhash64("doc")).otherwise(F.xxhash64("key")))
+
+    stretches = met(told(docs).mapInArrow(_stretches(window, prefix), _ENTRY)).sortWithinPartitions("done", "high", "low", "doc")
+    entries = stretches.mapInArrow(_entries(window, prefix, spark.sparkContext.broadcast(frequent)), _ENTRY).drop("low")
+    leaves = met(entries).sortWithinPartitions("done", "words", "high", "doc", "at")
     return stored(leaves.mapInArrow(_subtrees(window), _REPEAT), "repeats")
 
 
