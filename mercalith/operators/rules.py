@@ -43,9 +43,16 @@ TAX_ID_JUNK = ("0", "00", "000", "NA", "N/A", "NONE", "NULL", "TBD")
 
 # Normalised forms the row rules refer to: t_ trimmed, f_ trimmed and lower case, i_ number.
 _TEXT = (
-    "AcquirerName AggregatorName BASEIIName BusinessRegistrationID CAID City DBAName LegalName "
-    "Street"
-).split()
+    "AcquirerName",
+    "AggregatorName",
+    "BASEIIName",
+    "BusinessRegistrationID",
+    "CAID",
+    "City",
+    "DBAName",
+    "LegalName",
+    "Street",
+)
 _IDS = ("ProcessorBINCIB", "AcquirerBID", "AcquirerBIN")
 
 
@@ -141,10 +148,31 @@ GROUP_RULES: dict[str, GroupRule] = {
 }
 
 
-def _columns(names: tuple[str, ...]) -> list[str]:
+def group_columns(names: tuple[str, ...]) -> list[str]:
     return [f"{GROUP_COLUMNS[n]} AS {n}" for n in names]
 
 
+# Target columns behind the normalised ones.
+_INPUTS = {
+    "_mid": ("AcquirerMerchantID",),
+    "_caid": ("CAID",),
+    "_dba": ("DBAName",),
+    "_legal": ("LegalName",),
+    "_street": ("Street",),
+    "_city": ("City",),
+    "_postal": ("PostalCode",),
+    "_address": ("Street", "City", "PostalCode"),
+    "_aggregator": ("AggregatorID",),
+    "_tax": ("BusinessRegistrationID",),
+}
+
+
+def group_inputs(rule_id: str) -> list[str]:
+    """The target columns that a group rule reads."""
+    rule = GROUP_RULES[rule_id]
+    return [c for name in (*rule.keys, *rule.values, *rule.nonempty) for c in _INPUTS[name]]
+
+
 def _present(keys: tuple[str, ...], nonempty: tuple[str, ...]) -> str:
     """A NULL key can match nothing later, so such rows leave before any shuffle."""
     tests = [f"{k} IS NOT NULL" for k in keys if k not in nonempty]
@@ -170,7 +198,7 @@ def flagged_groups(df: DataFrame, rule_id: str) -> DataFrame:
         f"""
         SELECT {keys}, count(*) AS n
         FROM (SELECT {keys}, {", ".join(f"{f} AS {n}" for f, n in zip(forms, names))}
-              FROM (SELECT {", ".join(_columns(rule.keys + rule.values))} FROM {{df}})
+              FROM (SELECT {", ".join(group_columns(rule.keys + rule.values))} FROM {{df}})
               WHERE {_present(rule.keys, rule.nonempty)})
         GROUP BY {keys}
         HAVING {broken}
@@ -184,12 +212,66 @@ def rows_in_flagged_groups(df: DataFrame, rule_id: str, keep: list[str]) -> Data
     rule = GROUP_RULES[rule_id]
     # rows are filtered by key only: a rule may return rows it did not count
     on_keys = tuple(c for c in rule.nonempty if c in rule.keys)
-    keyed = df.selectExpr(*[quoted(c) for c in keep], *_columns(rule.keys)).where(
+    keyed = df.selectExpr(*[quoted(c) for c in keep], *group_columns(rule.keys)).where(
         _present(rule.keys, on_keys)
     )
     return join_groups(keyed, flagged_groups(df, rule_id), rule.keys).drop(*rule.keys)
 
 
+# Group rules whose keys nest: the groups of the later ones are unions of groups of the first.
+NESTED = ("V3", "V10", "V11")
+
+
+def nested_states(df: DataFrame) -> DataFrame:
+    """One row for each (_caid, _mid, _dba) with a CAID: the smallest and largest hashes of what the NESTED
+    rules compare.  States merge by min and max, so the coarser groups are rolled up from these rows."""
+    forms = {f"_a{i}": h for i, h in enumerate(_hashes("_address"))} | {f"_l{i}": h for i, h in enumerate(_hashes("_legal"))}
+    ranges = ", ".join(f"min({n}) AS lo{n}, max({n}) AS hi{n}" for n in forms)
+    return df.sparkSession.sql(
+        f"""
+        SELECT _caid, _mid, _dba, {ranges}
+        FROM (SELECT _caid, _mid, _dba, {", ".join(f"{f} AS {n}" for n, f in forms.items())}
+              FROM (SELECT {", ".join(group_columns(("_caid", "_mid", "_dba", "_address", "_legal")))} FROM {{df}})
+              WHERE _caid <> '')
+        GROUP BY _caid, _mid, _dba
+        """,
+        df=df,
+    )
+
+
+def nested_flags(states: DataFrame) -> DataFrame:
+    """(_caid, _mid, _dba, _broken): the groups of `nested_states` that break a rule, and which rules.
+
+    `states` is read three times, so it should be a written table.
+    """
+    differ = lambda names: " OR ".join(f"min(lo{n}) <> max(hi{n})" for n in names)
+    hashed = lambda c: ", ".join(f"{h} AS lo_k{i}, {h} AS hi_k{i}" for i, h in enumerate(_hashes(c)))
+    spark = states.sparkSession
+    of_pair = spark.sql(
+        f"""SELECT _caid, _mid, true AS _v10 FROM (SELECT *, {hashed("_dba")} FROM {{s}} WHERE _mid IS NOT NULL)
+        GROUP BY _caid, _mid HAVING {differ(("_l0", "_l1", "_k0", "_k1"))}""", s=states,
+    )
+    of_caid = spark.sql(
+        f"SELECT _caid, true AS _v11 FROM (SELECT _caid, {hashed('_mid')} FROM {{s}}) GROUP BY _caid HAVING {differ(('_k0', '_k1'))}", s=states
+    )
+    own = "_mid IS NOT NULL AND _dba IS NOT NULL AND (lo_a0 <> hi_a0 OR lo_a1 <> hi_a1)"
+    broken = f"array_compact(array(CASE WHEN {own} THEN 'V3' END, CASE WHEN _v10 THEN 'V10' END, CASE WHEN _v11 THEN 'V11' END))"
+    return (
+        states.join(of_pair, ["_caid", "_mid"], "left")
+        .join(of_caid, "_caid", "left")
+        .selectExpr("_caid", "_mid", "_dba", f"{broken} AS _broken")
+        .where("size(_broken) > 0")
+    )
+
+
+def nested_hits(df: DataFrame, rule_ids: list[str], flags: DataFrame, keep: list[str]) -> DataFrame:
+    """`keep` columns plus `rule_id` for the NESTED rules among `rule_ids`: one scan and one join."""
+    keyed = df.selectExpr(*[quoted(c) for c in keep], *group_columns(("_caid", "_mid", "_dba"))).where("_caid <> ''")
+    found = join_groups(keyed, flags, ("_caid", "_mid", "_dba"), "INNER", ("_broken",), null_safe=True)
+    asked = _junk(tuple(rule_ids))
+    return found.selectExpr(*[quoted(c) for c in keep], f"explode(filter(_broken, r -> r IN {asked})) AS rule_id")
+
+
 def acquirer_name_hits(df: DataFrame, keep: list[str]) -> DataFrame:
     """V1: `keep` columns plus `violated_column`, the first name field that shows the acquirer.
 

@@ -25,8 +25,12 @@ from mercalith.functions.similarity import register_sql_functions
 from mercalith.operators.groups import join_groups
 from mercalith.operators.rules import (
     GROUP_RULES,
+    NESTED,
     ROW_RULES,
     acquirer_name_hits,
+    nested_flags,
+    nested_hits,
+    nested_states,
     row_rule_hits,
     rows_in_flagged_groups,
     rule_rows,
@@ -310,7 +314,8 @@ def check(
 ) -> Violations:
     """Check `target` (31 columns plus `row_id`) with the chosen rules, all by default.
 
-    The row rules share one scan.  A group rule costs one aggregate and one narrow semi-join.
+    The row rules share one scan.  A group rule costs one aggregate and one narrow semi-join; those
+    whose keys nest share one aggregate, which is written at once and rolled up, and one join.
     User SQL runs rule by rule, because a failing one must not take the others with it.
     """
     target = target.drop(*RESULT_COLUMNS)
@@ -324,7 +329,14 @@ def check(
     if row_rules:
         hits = row_rule_hits(target, row_rules, [ROW_ID, CAID, MID])
         parts.append(_long(hits, "rule_id"))
+    nested = [r for r in built_in if r in NESTED]
+    if len(nested) > 1:
+        keep = list(dict.fromkeys([ROW_ID, CAID, MID, *(c for r in nested for c in RULES[r].group_by)]))
+        flags = nested_flags(stored(nested_states(target), "groups"))
+        parts.append(_long_of_groups(nested_hits(target, nested, flags, keep), nested))
     for rule_id in built_in:
+        if len(nested) > 1 and rule_id in nested:
+            continue
         if rule_id == "V1":
             hits = acquirer_name_hits(target, [ROW_ID, CAID, MID])
             parts.append(_long(hits, f"'{rule_id}'"))
@@ -366,6 +378,20 @@ def _long(hits: DataFrame, rule_id: str, group_by: Iterable[str] = ()) -> DataFr
     )
 
 
+def _long_of_groups(hits: DataFrame, rule_ids: list[str]) -> DataFrame:
+    """`_long` of rows that carry their `rule_id`, each with the group columns of its rule."""
+    keys = " ".join(
+        f"WHEN '{r}' THEN array({', '.join(f'CAST({quoted(c)} AS STRING)' for c in RULES[r].group_by)})" for r in rule_ids
+    )
+    return hits.selectExpr(
+        f"CAST({ROW_ID} AS BIGINT) AS {ROW_ID}",
+        "rule_id",
+        "CAST(NULL AS STRING) AS violated_column",
+        f"CASE rule_id {keys} END AS group_key",
+        f"named_struct('caid', CAST({CAID} AS STRING), 'mid', CAST({MID} AS STRING)) AS pair",
+    )
+
+
 def trial_rule(target: DataFrame, sql: str, view: str = TARGET_VIEW) -> dict:
     """Try a rule text: how many rows it flags, a few of them, or the error it raises."""
     result = {

@@ -8,6 +8,7 @@ needs_confirmation.  Fixes are ordered by (source_row_id, column_no).
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +16,18 @@ from pyspark.sql import types as T
 
 from mercalith.functions.normalize import WHITESPACE, cast_value, literal, quoted
 from mercalith.operators.groups import join_groups
-from mercalith.operators.rules import NAME_FIELDS
+from mercalith.operators.rules import (
+    GROUP_RULES,
+    NAME_FIELDS,
+    ROW_RULES,
+    acquirer_name_hits,
+    group_columns,
+    group_inputs,
+    row_rule_hits,
+    rows_in_flagged_groups,
+)
 from mercalith.plans.checker import CAID, MID, Rule, run_rule
+from mercalith.session import stored
 from mercalith.spec import DEFAULT_STRATEGY, ROW_ID, RULES, SPARK_TYPES, TARGET_COLUMNS
 
 _ORDER = ("source_row_id", "column_no")
@@ -237,10 +248,10 @@ def apply_fixes(
 
 
 def rows_modified(target: DataFrame, fixes: DataFrame) -> DataFrame:
-    """One row: how many fixes had a value that fits and a row to go to, repeats included."""
+    """One row: how many fixes had a known column, a value that fits and a row to go to, repeats included."""
     return (
         _judged(target, fixes)
-        .where("_fits")
+        .where("_known AND _fits")
         .join(target.select(ROW_ID), ROW_ID, "left_semi")
         .agg(F.count(F.lit(1)).alias("rows_modified"))
     )
@@ -280,6 +291,76 @@ def reverify(rule: Rule, before: DataFrame, after: DataFrame, counts: DataFrame
     )
 
 
+def reverify_delta(
+    target: DataFrame, fixes: DataFrame, counts: DataFrame, rules: Iterable[str] | None = None, order: Iterable[str] = _ORDER
+) -> DataFrame:
+    """The counts of built-in rules after `fixes`, from those before (`counts`: rule_id, rows), without a new run.
+
+    Row rules are run on the changed rows alone, as they were and as they are.  For a group rule the keys that the
+    changed rows had and have select the touched groups; only their rows are aggregated, in both
+    versions, and the count moves by the difference.  One row for each rule: rule_id,
+    previous_violation_count, new_violation_count, delta (positive: fewer), total_violations over all
+    rules of `counts` after the fixes, and rows_modified, the number of fixes applied.
+    """
+    spark = target.sparkSession
+    chosen = [r for r in RULES if rules is None or r in set(rules)]
+    usable = _judged(target, fixes).where("_known AND _fits")
+    touched = usable.select(ROW_ID).distinct()
+    # three readers each
+    old = stored(target.join(touched, ROW_ID, "left_semi"), "changed-old")
+    new = stored(apply_fixes(old, fixes, order), "changed-new")
+    parts = []
+
+    def count(rows: DataFrame, sign: int, rule_id: str | None = None) -> None:
+        named = rows.withColumn("rule_id", F.lit(rule_id)) if rule_id else rows
+        parts.append(named.groupBy("rule_id").agg((F.count(F.lit(1)) * sign).alias("moved")))
+
+    row_rules = [r for r in chosen if r in ROW_RULES]
+    for version, sign in ((old, -1), (new, 1)):
+        if row_rules:
+            count(row_rule_hits(version, row_rules, [ROW_ID]), sign)
+        if "V1" in chosen:
+            count(acquirer_name_hits(version, [ROW_ID]), sign, "V1")
+    for rule_id in (r for r in chosen if r in GROUP_RULES):
+        before, after = _touched_groups(target, old, new, rule_id)
+        count(rows_in_flagged_groups(before, rule_id, [ROW_ID]), -1, rule_id)
+        count(rows_in_flagged_groups(after, rule_id, [ROW_ID]), 1, rule_id)
+    moved = reduce(DataFrame.unionByName, parts).groupBy("rule_id").agg(F.sum("moved").alias("moved"))
+    listed = spark.createDataFrame([(r,) for r in chosen], "rule_id string")
+    # a row for each rule
+    each = (
+        counts.select("rule_id", "rows").join(listed, "rule_id", "full").join(moved, "rule_id", "left")
+        .na.fill(0, ["rows", "moved"])
+    )
+    # one row each, joined by a constant
+    totals = each.agg(F.sum(F.col("rows") + F.col("moved")).alias("total_violations")).withColumn("one", F.lit(1))
+    applied = rows_modified(target, fixes).withColumn("one", F.lit(1))
+    return (
+        each.join(listed, "rule_id", "left_semi")
+        .withColumn("one", F.lit(1))
+        .join(totals, "one")
+        .join(applied, "one")
+        .selectExpr(
+            "rule_id", "rows AS previous_violation_count", "rows + moved AS new_violation_count", "-moved AS delta",
+            "total_violations", "rows_modified",
+        )
+    )
+
+
+def _touched_groups(target: DataFrame, old: DataFrame, new: DataFrame, rule_id: str) -> tuple[DataFrame, DataFrame]:
+    """All rows, before and after, of the groups that the changed rows left or joined."""
+    rule = GROUP_RULES[rule_id]
+    needed = list(dict.fromkeys([ROW_ID, *group_inputs(rule_id)]))
+    keyed = lambda df: df.select(*needed).selectExpr("*", *group_columns(rule.keys))
+    some = keyed(old).select(*rule.keys).unionByName(keyed(new).select(*rule.keys))
+    keys = some.where(" AND ".join(f"{k} IS NOT NULL" for k in rule.keys)).distinct()
+    within = lambda df: join_groups(keyed(df), keys, rule.keys).select(*needed)
+    # read by the aggregate and by the join of either version
+    before = stored(within(target), "touched")
+    unchanged = before.join(old.select(ROW_ID), ROW_ID, "left_anti")
+    return before, unchanged.unionByName(within(new))
+
+
 def usable_suggestions(target: DataFrame, suggested: DataFrame) -> DataFrame:
     """Suggested values (row_id, column, value, position) that name a target column and hold a
     value, in the layout of fixes."""
@@ -294,8 +375,9 @@ def apply_suggestions(target: DataFrame, suggested: DataFrame) -> DataFrame:
 
 
 def columns_modified(target: DataFrame, suggested: DataFrame) -> DataFrame:
-    """row_id, columns_modified for every target row that takes a suggestion."""
-    usable = usable_suggestions(target, suggested).groupBy(ROW_ID).agg(
+    """row_id, columns_modified for every target row that takes a suggestion; values that the
+    column's type refuses are none."""
+    usable = _judged(target, usable_suggestions(target, suggested)).where("_known AND _fits").groupBy(ROW_ID).agg(
         F.count(F.lit(1)).alias("columns_modified")
     )
     return usable.join(target.select(ROW_ID), ROW_ID, "left_semi")

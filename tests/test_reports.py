@@ -139,7 +139,8 @@ def test_apply_fixes(spark, make):
     after = {r.row_id: r for r in fix.apply_fixes(rows, fixes).collect()}
     assert (after[1].DBAName, after[1].City, after[1].MCC1) == ("", None, 7)
     assert after[2].DBAName == "y" and len(after) == 2
-    assert fix.rows_modified(rows, fixes).collect()[0].rows_modified == 4
+    # the fix of a column that the target lacks changes nothing
+    assert fix.rows_modified(rows, fixes).collect()[0].rows_modified == 3
     same = fix.apply_fixes(rows, fixes.where("false"))
     assert sorted(map(tuple, same.collect())) == sorted(map(tuple, rows.collect()))
 
@@ -188,3 +189,36 @@ def test_findings_are_ranked_not_filtered(spark):
         (q, r) for q in (2, 4, 6) for r in (7, 8, 9)
     ]
     assert sorted(r.source for r in got if r.merchant_name == "b") == [f"s{i:02}" for i in range(5)]
+
+
+def test_a_delta_gives_the_figures_of_a_full_run(spark):
+    rows = target(spark, SF_DIR)
+    fixes = spark.sql(
+        """SELECT id AS row_id, id AS source_row_id, n AS column_no, c AS `column`, v AS new_value FROM (
+        SELECT id * 3 AS id, inline(array(
+          struct(0 AS n, 'CAID' AS c, concat('CA', id * 3 - id * 3 % 7) AS v),
+          struct(1 AS n, 'CAID' AS c, IF(id % 9 = 0, NULL, concat('CA', id % 50)) AS v),
+          struct(2 AS n, IF(id % 2 = 0, 'AggregatorID', 'Street') AS c, IF(id % 4 = 0, 'AGG1', 'PO Box 7') AS v),
+          struct(3 AS n, 'MCC1' AS c, 'abc' AS v), struct(4 AS n, 'Nowhere' AS c, 'x' AS v))) FROM range(1, 300))"""
+    )
+    counts = check(rows).store().counts().select("rule_id", "rows")
+    got = {r.rule_id: r for r in fix.reverify_delta(rows, fixes, counts).collect()}
+    after = check(fix.apply_fixes(rows, fixes)).store().counts().collect()
+    full = {r.rule_id: r.rows for r in after}
+    assert {r: x.new_violation_count for r, x in got.items() if x.new_violation_count} == full
+    assert {x.total_violations for x in got.values()} == {sum(full.values())}
+    known = fixes.where("`column` NOT IN ('MCC1', 'Nowhere') AND new_value IS NOT NULL").join(rows, "row_id", "left_semi").count()
+    assert {x.rows_modified for x in got.values()} == {known} and len(got) == 13
+    assert all(x.delta == x.previous_violation_count - x.new_violation_count for x in got.values())
+    one = fix.reverify_delta(rows, fixes, counts, ["V11"]).collect()
+    assert [(r.rule_id, r.new_violation_count) for r in one] == [("V11", full["V11"])]
+    none = fix.reverify_delta(rows, fixes.limit(0), counts).collect()
+    assert all(r.delta == 0 and r.rows_modified == 0 for r in none)
+
+
+def test_refused_values_are_no_modifications(make, spark):
+    rows = make({1: {"MCC1": 5411, "City": "Rome"}})
+    said = spark.createDataFrame([(1, "MCC1", "abc", 0), (1, "City", "Oslo", 1), (1, "Nowhere", "x", 2)], "row_id bigint, `column` string, value string, position int")
+    assert [r.columns_modified for r in fix.columns_modified(rows, said).collect()] == [1]
+    fixes = said.selectExpr("row_id", "`column`", "value AS new_value")
+    assert fix.rows_modified(rows, fixes).first().rows_modified == 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from mercalith.plans import remediation as fix
 from mercalith.plans.checker import effective_rules, run_rule
-from workload.oracle import RULE_SQL, over_forms, over_target
+from workload.oracle import FORMS, HITS, RULE_SQL, SPREADS, over_forms, over_hits, over_target
 from workload.registry import query
+from workload.rule_queries import found
 from workload.target_view import table, target
 
 _RULES = {r.id: r for r in effective_rules()}
@@ -233,6 +235,51 @@ def reverify(spark, sf_dir):
     return fix.reverify(_RULES["V5"], rows, fix.apply_fixes(rows, fixes))
 
 
+# Fixes of many columns: keys that rows share afterwards, keys they leave, refused values, unknown columns.
+_MANY = """
+SELECT o_orderkey AS row_id, o_orderkey AS source_row_id, 0 AS column_no,
+       CASE o_orderkey % 40 WHEN 0 THEN 'CAID' WHEN 5 THEN 'AcquirerMerchantID' WHEN 10 THEN 'DBAName' WHEN 13 THEN 'DBAName'
+            WHEN 15 THEN 'Street' WHEN 20 THEN 'BusinessRegistrationID' WHEN 24 THEN 'AggregatorID' WHEN 28 THEN 'BASEIIName'
+            WHEN 30 THEN 'MCC1' WHEN 31 THEN 'Nowhere' WHEN 33 THEN 'CAID' ELSE 'AcquirerBIN' END AS {column},
+       CASE o_orderkey % 40 WHEN 0 THEN 'CA' || CAST(o_orderkey - 10 AS STRING) WHEN 5 THEN 'M' || CAST(o_orderkey - 5 AS STRING)
+            WHEN 10 THEN 'Bank of ASIA' WHEN 13 THEN '' WHEN 15 THEN 'PO Box 1' WHEN 20 THEN 'TAX-SHARED-1' WHEN 24 THEN 'AGG3'
+            WHEN 28 THEN 'Shop ' || CAST(o_orderkey AS STRING) WHEN 30 THEN 'abc' WHEN 31 THEN 'x' WHEN 33 THEN '' ELSE '400001' END AS new_value
+FROM orders WHERE o_orderkey % 40 IN (0, 5, 10, 13, 15, 20, 24, 28, 30, 31, 33, 37)"""
+
+_FIXED_COLUMNS = ("CAID", "AcquirerMerchantID", "DBAName", "Street", "BusinessRegistrationID", "AggregatorID", "BASEIIName")
+
+
+def _renamed(sql: str) -> str:
+    """The forms, spreads and hits again, over the fixed target."""
+    for name in ("target", "n", "g", "hits"):
+        sql = re.sub(rf"\b{name}\b(?= AS \()|(?<=FROM ){name}\b", f"{name}2", sql)
+    return sql
+
+
+def _delta_sql() -> str:
+    fixed = ", ".join(f"CASE WHEN f.col = '{c}' THEN f.new_value ELSE t.{c} END AS {c}" for c in _FIXED_COLUMNS)
+    bin_ = "CASE WHEN f.col = 'AcquirerBIN' THEN CAST(f.new_value AS BIGINT) ELSE t.AcquirerBIN END AS AcquirerBIN"
+    listed = ", ".join(f"('{r}')" for r in RULE_SQL)
+    return over_hits(
+        f"""SELECT rule_id, coalesce(a.n, 0) AS previous_violation_count, coalesce(b.n, 0) AS new_violation_count,
+               coalesce(a.n, 0) - coalesce(b.n, 0) AS delta, (SELECT count(*) FROM hits2) AS total_violations,
+               (SELECT count(*) FROM f WHERE col NOT IN ('MCC1', 'Nowhere')) AS rows_modified
+        FROM (VALUES {listed}) r(rule_id)
+        LEFT JOIN (SELECT rule_id, count(*) AS n FROM hits GROUP BY 1) a USING (rule_id)
+        LEFT JOIN (SELECT rule_id, count(*) AS n FROM hits2 GROUP BY 1) b USING (rule_id)""",
+        f"f AS ({_MANY.format(column='col')})",
+        f"target2 AS (SELECT t.* REPLACE ({fixed}, {bin_}) FROM target t LEFT JOIN f ON f.row_id = t.row_id)",
+        _renamed(FORMS), _renamed(SPREADS), _renamed(HITS),
+    )
+
+
+@query("reverify_delta", _delta_sql())
+def reverify_delta(spark, sf_dir):
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    counts = found(spark, sf_dir).counts().select("rule_id", "rows")
+    return fix.reverify_delta(target(spark, sf_dir), spark.sql(_MANY.format(column="`column`")), counts)
+
+
 _SUGGESTED = """
 SELECT CAST(floor(event_id / 3) AS BIGINT) AS row_id, event_id AS position,
        CASE event_id % 4 WHEN 0 THEN 'Street' WHEN 1 THEN 'City' WHEN 2 THEN 'Street'
