@@ -42,11 +42,11 @@ from mercalith.llm.word_hashes import SLICE_BYTES, gram_hashes, slices, word_has
 WINDOW = 13
 PREFIX = 7
 GROUP_ROWS = 200_000
-TASK_ROWS = 150_000
+TASK_ROWS = 100_000
 STRETCH = 4096
 SAMPLE_DOCS = 2000
 # bytes of a word's hash that order the leaves; equal windows agree in these of each word and in 64 bits of the whole
-_PART = 2
+_PART = 1
 
 
 def _anchors(hashes: np.ndarray, bounds: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, ...]:
@@ -242,6 +242,7 @@ def _stretches(window: int, prefix: int):
                     if held >= TASK_ROWS:
                         yield from flush(rows)
                         rows, held = [], 0
+                        pa.default_memory_pool().release_unused()
         if rows:
             yield from flush(rows)
 
@@ -313,6 +314,7 @@ def _entries(window: int, prefix: int, frequent):
             if again:
                 columns = np.array(again, dtype=np.int64).T
                 yield _entry_batch(*columns[:3], columns[6], first=columns[3:6])
+            pa.default_memory_pool().release_unused()
         if held:
             yield from flush(*(np.concatenate(x) for x in zip(*parts)))
 
@@ -383,6 +385,7 @@ def _subtrees(window: int):
                 yield _repeat_batch(*found)
             before = int(high[-1]), words[-1].copy()
             first = [int(x[-1]) for x in firsts]
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -405,6 +408,7 @@ def packed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [small if c == "text" else batch.column(c) for c in batch.schema.names], names=batch.schema.names
             )
+            pa.default_memory_pool().release_unused()
 
     schema = ", ".join(
         f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema
@@ -529,14 +533,18 @@ def _cut(others: list[str], as_is: bool):
                  pa.array(kept, pa.binary()).cast(pa.string())],
                 names=[*others, "n_words", "n_removed", "kept_text"],
             )
+            pa.default_memory_pool().release_unused()
 
     return run
 
 
 def _rows(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, text, *keep, sig); `sig` tells rows of one doc_id apart by their text."""
+    """(doc_id, text, *keep, sig); `sig` tells rows of a repeated doc_id apart by their text, elsewhere it is 0."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *keep)
-    return rows.withColumn("sig", F.xxhash64("text"))
+    # a written table, so its size is known; mostly it has no row
+    twice = stored(rows.groupBy(F.col("doc_id").alias("twice")).agg(F.count("*").alias("n")).filter("n > 1").select("twice"), "repeated-ids")
+    told = rows.join(twice, F.col("doc_id") == F.col("twice"), "left")
+    return told.select(*rows.columns, F.when(F.col("twice").isNull(), F.lit(0).cast("bigint")).otherwise(F.xxhash64("text")).alias("sig"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = (), as_is: bool = False) -> DataFrame:
