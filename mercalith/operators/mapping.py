@@ -69,8 +69,8 @@ def low_confidence(mappings: DataFrame, below: float = LOW_CONFIDENCE) -> DataFr
     return mappings.where(f"coalesce(source_column, '') <> '' AND confidence < {below}D")
 
 
-# Weights of the candidate score: dictionary text first, then name, type and fill rate.
-_WEIGHTS = {"dictionary": 0.4, "name": 0.4, "type": 0.1, "fill": 0.1}
+# Weights of the candidate score: dictionary text and known values first, then name, type and fill rate.
+_WEIGHTS = {"dictionary": 0.4, "values": 0.4, "name": 0.4, "type": 0.1, "fill": 0.1}
 _FAMILIES = {
     "integer": "('tinyint', 'smallint', 'int', 'bigint')",
     "string": "('string')",
@@ -79,13 +79,14 @@ _FAMILIES = {
 
 
 def rank_candidates(
-    stats: DataFrame, dictionary: DataFrame | None = None, keep: int = MAX_CANDIDATES
+    stats: DataFrame, dictionary: DataFrame | None = None, keep: int = MAX_CANDIDATES, evidence: DataFrame | None = None
 ) -> DataFrame:
     """Up to `keep` source columns per target column, best first.
 
     `stats` is the profile (a row per source column); each row meets the 31 target columns.
     The score weighs whether a dictionary text names the target, how close the names are,
-    whether the type fits and how few NULLs the column has.
+    whether the type fits and how few NULLs the column has, and, with `evidence`
+    (`content.value_evidence`), how alike its values are to those known for the target.
     """
     spec = ", ".join(
         f"struct({i} AS position, '{c.name}' AS target, '{c.type}' AS type)"
@@ -105,8 +106,13 @@ def rank_candidates(
     type_fit = " ".join(
         f"WHEN type = '{t}' AND data_type IN {family} THEN 1D" for t, family in _FAMILIES.items()
     )
+    each = described.selectExpr("*", f"inline(array({spec}))")
+    if evidence is None:
+        each = each.withColumn("value_score", F.lit(0.0))
+    else:
+        each = each.join(evidence, ["table_name", "column_name", "target"], "left").withColumn("value_score", F.coalesce("similarity", F.lit(0.0)))
     scored = (
-        described.selectExpr("*", f"inline(array({spec}))")
+        each
         .selectExpr("*", f"{source} AS _source", f"{plain.format('target')} AS _target")
         .selectExpr(
             "*",
@@ -118,7 +124,7 @@ def rank_candidates(
         )
         .selectExpr(
             "*",
-            f"round({_WEIGHTS['dictionary']}D * dictionary_score"
+            f"round({_WEIGHTS['dictionary']}D * dictionary_score + {_WEIGHTS['values']}D * value_score"
             f" + {_WEIGHTS['name']}D * name_score + {_WEIGHTS['type']}D * type_score"
             f" + {_WEIGHTS['fill']}D * (1D - null_pct / 100D), 4) AS confidence",
         )
@@ -136,6 +142,7 @@ def rank_candidates(
             "column_name AS source_column",
             "confidence",
             "CASE WHEN dictionary_score > 0 THEN 'dictionary text names the column' "
+            "WHEN value_score > 0 THEN 'values known for the column' "
             "WHEN name_score >= 0.5 THEN 'similar name' ELSE 'closest available' END AS reasoning",
         )
         .where(f"rank <= {keep}")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mercalith.functions.normalize import is_whitespace, literal, quoted
+from mercalith.session import stored
 
 # Longer values are counted by their digest, so texts of any size make small shuffle keys.
 _RAW_LENGTH = 64
@@ -238,10 +239,18 @@ def sample_values(
 
 
 def quality_report(
-    tables: dict[str, DataFrame], order_by: dict[str, list[str]], k: int = SAMPLES
+    tables: dict[str, DataFrame],
+    order_by: dict[str, list[str]],
+    k: int = SAMPLES,
+    unread: dict[str, list[str]] | None = None,
 ) -> DataFrame:
-    """Everything known per (table, column), with the table's score repeated on its columns."""
-    stats = column_stats(tables)
+    """Everything known per (table, column), with the table's score repeated on its columns.
+
+    Columns in `unread` order a table's samples but are no part of the report.
+    """
+    unread = unread or {}
+    # statistics feed the rows and the scores; as many rows as there are columns
+    stats = stored(column_stats({n: df.drop(*unread.get(n, ())) for n, df in tables.items()}), "column-stats")
     samples = sample_values(tables, order_by, k)
     return (
         stats.join(samples, ["table_name", "column_name"], "left")

@@ -80,7 +80,7 @@ def build_target(
     A mapping of several feeds needs `feed`; a target mapped twice is refused.  `constants` set target columns outright.  Unmapped columns are NULL.  `key` is a column of
     `main` that identifies its rows; of rows alike in all 31 columns the smallest key stays.
     """
-    chosen = _chosen(mapping, feed)
+    chosen = chosen_columns(mapping, feed)
     for name, value in (constants or {}).items():
         chosen[name] = "NULL" if value is None else literal(str(value))
     columns = [
@@ -91,7 +91,7 @@ def build_target(
     return distinct_rows(built) if distinct else built
 
 
-def _chosen(mapping: DataFrame | Iterable[dict], feed: str | None) -> dict[str, str]:
+def chosen_columns(mapping: DataFrame | Iterable[dict], feed: str | None = None) -> dict[str, str]:
     """SQL text per mapped target column, of one feed."""
     if isinstance(mapping, DataFrame):
         if feed is not None:
@@ -112,7 +112,7 @@ def lost_values(
     tables: dict[str, DataFrame], mapping: DataFrame | Iterable[dict], plan: Iterable[dict], main: str, feed: str | None = None
 ) -> DataFrame:
     """column_name, lost: per mapped column how many values that are not blank its type cannot hold."""
-    chosen = {t: e for t, e in _chosen(mapping, feed).items() if e != "NULL"}
+    chosen = {t: e for t, e in chosen_columns(mapping, feed).items() if e != "NULL"}
     types = {c.name: SPARK_TYPES[c.type] for c in TARGET_COLUMNS}
     names = [n for n in TARGET_NAMES if n in chosen]
     counts = [

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mercalith.operators import discovery, inclusion, mapping, profile, reference_values
 from mercalith.plans import master
-from mercalith.session import scratch_path
+from mercalith.session import scratch_path, stored
 from mercalith.sources.files import ingest, pick_largest, read_csv, table_stats
 from mercalith.spec import TARGET_COLUMNS
 from workload.oracle import over_target
@@ -219,47 +219,64 @@ def issue_blank(spark, sf_dir):
 
 
 _ORDER = {
-    "orders": ["o_orderkey"],
-    "customer": ["c_custkey"],
+    "region": ["r_regionkey"],
     "nation": ["n_nationkey"],
+    "customer": ["c_custkey"],
     "supplier": ["s_suppkey"],
+    "part": ["p_partkey"],
+    "orders": ["o_orderkey"],
+    "lineitem": ["l_orderkey", "l_linenumber"],
+    "events": ["event_id"],
+    "documents": ["doc_id"],
+    "embeddings": ["vec_id"],
+    "pages": ["page_id"],
+    "benchmark": ["item_id"],
+    "labels": ["doc_id"],
+    "conversations": ["conv_id", "turn"],
+    "target": ["row_id"],
     "merchants": ["merchant_no"],
     "owners": ["owner_no"],
 }
+# engines write lists of floats differently
+_UNSHOWN = ("embedding",)
 
 
 def _samples_sql(names, k: int) -> str:
     parts = []
     for t in names:
-        for c, _ in _columns(t):
+        keys = ", ".join(_ORDER[t])
+        columns = [c.name for c in TARGET_COLUMNS] if t == "target" else [c for c, _ in _columns(t)]
+        for c in columns:
+            value = "''" if c in _UNSHOWN else f"CAST({c} AS VARCHAR)"
             parts.append(
-                f"SELECT '{t}' AS table_name, '{c}' AS column_name, "
-                f"string_agg(v, ' | ' ORDER BY o) AS samples FROM (SELECT {_ORDER[t][0]} AS o, "
-                f"CAST({c} AS VARCHAR) AS v FROM {t} WHERE {c} IS NOT NULL ORDER BY o LIMIT {k})"
+                f"SELECT '{t}' AS table_name, '{c}' AS column_name, coalesce(string_agg(v, ' | ' ORDER BY o, v), '') AS samples "
+                f"FROM (SELECT row({keys}) AS o, {value} AS v FROM {t} WHERE {c} IS NOT NULL ORDER BY {keys}, v LIMIT {k})"
             )
     return _union(parts)
 
 
-@query("sample_values", _samples_sql(("orders", "customer"), 5))
+_SHOWN_SAMPLES = (
+    f"IF(column_name IN ({', '.join(map(repr, _UNSHOWN))}), array_join(transform(sample_values, x -> ''), ' | '), "
+    "array_join(sample_values, ' | ')) AS samples"
+)
+
+
+@query("sample_values", _samples_sql(ALL, 5))
 def sample_values(spark, sf_dir):
-    found = profile.sample_values(_tables(spark, sf_dir, ("orders", "customer")), _ORDER)
-    return found.selectExpr(
-        "table_name", "column_name", "array_join(sample_values, ' | ') AS samples"
-    )
+    found = profile.sample_values(_tables(spark, sf_dir, ALL), _ORDER)
+    return found.selectExpr("table_name", "column_name", _SHOWN_SAMPLES)
 
 
 @query(
     "schema_summary",
     f"SELECT s.table_name, s.column_name, data_type, row_count, null_count, distinct_count, samples "
-    f"FROM ({_stats_sql(('orders', 'customer'))}) s JOIN ({_samples_sql(('orders', 'customer'), 3)}) "
+    f"FROM ({_stats_sql(ALL)}) s JOIN ({_samples_sql(ALL, 3)}) "
     "USING (table_name, column_name)",
 )
 def schema_summary(spark, sf_dir):
-    tables = _tables(spark, sf_dir, ("orders", "customer"))
-    report = profile.quality_report(tables, _ORDER, k=3)
+    report = profile.quality_report(_tables(spark, sf_dir, ALL), _ORDER, k=3)
     return report.selectExpr(
-        "table_name", "column_name", "data_type", "row_count", "null_count", "distinct_count",
-        "array_join(sample_values, ' | ') AS samples",
+        "table_name", "column_name", "data_type", "row_count", "null_count", "distinct_count", _SHOWN_SAMPLES
     )
 
 
@@ -288,26 +305,38 @@ _ISSUES_N = (
     "table_score",
     "SELECT table_name, max(row_count) AS row_count, round(greatest(0.0, "
     f"100 - avg(null_pct) - 5 * sum({_ISSUES_N})), 1)::DOUBLE AS overall_score "
-    f"FROM (SELECT *, {_PCT} AS null_pct FROM ({_stats_sql(TPCH)}) "
+    f"FROM (SELECT *, {_PCT} AS null_pct FROM ({_stats_sql(ALL)}) "
     f"UNION ALL SELECT * FROM ({_target_stats_sql()})) GROUP BY table_name",
 )
 def table_score(spark, sf_dir):
-    tables = {**_tables(spark, sf_dir, TPCH), "target": target(spark, sf_dir).drop("row_id")}
+    tables = {**_tables(spark, sf_dir, ALL), "target": target(spark, sf_dir).drop("row_id")}
     return profile.table_scores(profile.column_stats(tables))
 
 
+_ISSUE_TEXTS = (
+    "list_filter([CASE WHEN null_pct > 50 THEN 'High null rate: ' || CAST(null_pct AS VARCHAR) || '%' END, "
+    "CASE WHEN null_pct = 100 THEN 'Column is entirely null' END, "
+    "CASE WHEN distinct_count = 1 AND row_count > 10 THEN 'Only 1 distinct value (constant column)' END, "
+    "CASE WHEN distinct_count = row_count AND row_count > 100 THEN 'All values unique (potential PK)' END, "
+    "CASE WHEN blank_count > 0 THEN blank_count || ' values are blank/whitespace-only' END], lambda x: x IS NOT NULL)"
+)
+
+
 @query(
     "quality_report",
-    f"SELECT table_name, column_name, data_type, row_count, null_count, null_pct, distinct_count, "
-    f"{_ISSUES_N}::BIGINT AS issue_count FROM ("
-    f"SELECT *, {_PCT}::DOUBLE AS null_pct FROM ({_stats_sql(ALL)}) "
-    f"UNION ALL SELECT * FROM ({_target_stats_sql()}))",
+    f"WITH s AS (SELECT *, {_PCT}::DOUBLE AS null_pct FROM ({_stats_sql(ALL)}) UNION ALL SELECT * FROM ({_target_stats_sql()})), "
+    f"r AS (SELECT *, {_ISSUE_TEXTS} AS texts FROM s), "
+    f"v AS ({_samples_sql(ALL, 5)} UNION ALL SELECT * FROM ({over_target(_samples_sql(('target',), 5))})) "
+    "SELECT table_name, column_name, data_type, row_count, null_count, null_pct, distinct_count, array_to_string(texts, '; ') AS issues, samples, "
+    "round(greatest(0.0, 100 - avg(null_pct) OVER t - 5 * sum(len(texts)) OVER t), 1)::DOUBLE AS overall_score "
+    "FROM r JOIN v USING (table_name, column_name) WINDOW t AS (PARTITION BY table_name)",
 )
 def quality_report(spark, sf_dir):
-    tables = {**_tables(spark, sf_dir, ALL), "target": target(spark, sf_dir).drop("row_id")}
-    return profile.column_stats(tables).selectExpr(
-        "table_name", "column_name", "data_type", "row_count", "null_count", "null_pct",
-        "distinct_count", "CAST(size(issues) AS BIGINT) AS issue_count",
+    tables = {**_tables(spark, sf_dir, ALL), "target": target(spark, sf_dir)}
+    report = profile.quality_report(tables, _ORDER, unread={"target": ["row_id"]})
+    return report.selectExpr(
+        "table_name", "column_name", "data_type", "row_count", "null_count", "null_pct", "distinct_count",
+        "array_join(issues, '; ') AS issues", _SHOWN_SAMPLES, "overall_score",
     )
 
 
@@ -491,8 +520,9 @@ _ROLES = {
 )
 def table_roles(spark, sf_dir):
     tables = _tables(spark, sf_dir, TPCH)
-    stats = profile.column_stats(tables)
-    return discovery.table_roles(stats, discovery.discover_joins(tables))
+    # both are read several times
+    stats = stored(profile.column_stats(tables), "stats")
+    return discovery.table_roles(stats, stored(discovery.discover_joins(tables), "joins"))
 
 
 @query(
