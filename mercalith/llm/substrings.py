@@ -166,8 +166,8 @@ def _fold(words: np.ndarray, seed: int) -> np.ndarray:
 
 
 def _asked_windows(batches: Iterator[pa.RecordBatch], window: int, prefix: int):
-    """(docs, sigs, first word of each text, text of each window, its first word, all word hashes), some texts at a time:
-    the windows filed under a run that the document was told to repeat."""
+    """(docs, sigs, first word of each text, text of each window, its first word, the run it is filed under, all
+    word hashes), some texts at a time: the windows whose run the document was told to repeat."""
     for batch in batches:
         docs, sigs = np.asarray(batch.column("doc_id")), np.asarray(batch.column("sig"))
         lists = batch.column("anchors")
@@ -181,8 +181,11 @@ def _asked_windows(batches: Iterator[pa.RecordBatch], window: int, prefix: int):
             have = mix(anchor.view(np.uint64), 9) ^ (first + text).astype(np.uint64)
             keep = np.isin(have, asked)
             row, offset = np.nonzero(mask[keep, None] >> np.arange(window - prefix + 1) & 1)
-            start = np.sort(at[keep][row] - offset)
-            yield docs[first : first + len(part)], sigs[first : first + len(part)], bounds, np.searchsorted(bounds, start, "right") - 1, start, hashes
+            start = at[keep][row] - offset
+            order = np.argsort(start)
+            start, filed = start[order], anchor[keep][row][order]
+            text = np.searchsorted(bounds, start, "right") - 1
+            yield docs[first : first + len(part)], sigs[first : first + len(part)], bounds, text, start, filed, hashes
 
 
 def _prefixes(window: int, prefix: int) -> list[int]:
@@ -191,10 +194,15 @@ def _prefixes(window: int, prefix: int) -> list[int]:
 
 
 def _sampled_prefixes(window: int, prefix: int):
-    """(length, key, whole): the prefixes of every suffix, each length but the longest, with its window."""
+    """(length, key, whole): the prefixes of every suffix, each length but the longest, with its window; and as
+    length 0 the places where stretches meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, _, start, hashes in _asked_windows(batches, window, prefix):
+        for _, _, _, text, start, filed, hashes in _asked_windows(batches, window, prefix):
+            if len(start):
+                head = _stretch_heads(text, start)
+                low = np.minimum.reduceat(filed, head)
+                yield _batch({"length": np.zeros(len(head), np.int32), "key": low, "whole": hashes[start[head]].view(np.int64)})
             for i in range(0, len(start), TASK_ROWS):
                 words = hashes[start[i : i + TASK_ROWS, None] + np.arange(window)]
                 whole = _fold(words, window).view(np.int64)
@@ -205,11 +213,20 @@ def _sampled_prefixes(window: int, prefix: int):
     return run
 
 
-def _stretches(window: int, prefix: int):
-    """Stretches of consecutive suffixes (high, low, doc, sig, at, words) and, as `done`, repeats found in the task.
+def _stretch_heads(text: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Where stretches of consecutive windows of one text begin; long ones are cut alike, counted from their start."""
+    new = np.append(True, (np.diff(start) != 1) | (np.diff(text) != 0))
+    begin = np.maximum.accumulate(np.where(new, np.arange(len(start)), 0))
+    return np.flatnonzero((np.arange(len(start)) - begin) % STRETCH == 0)
+
+
+def _stretches(window: int, prefix: int, frequent):
+    """Stretches of consecutive suffixes (key, high, low, doc, sig, at, words) and, as `done`, repeats found in the task.
 
     `words` holds the hashes of the words from the first suffix to the end of the last one's window.  Equal
-    stretches, as copies of a document have them, are answered at once; the smallest document's go on.
+    stretches, as copies of a document have them, are answered at once; the smallest document's go on.  They meet
+    by the smallest run they are filed under, which near copies mostly share too, or by their digest where
+    very many share that.
     """
 
     def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -225,24 +242,26 @@ def _stretches(window: int, prefix: int):
         digests = np.frombuffer(b"".join(r[0] for r, _ in go), np.int64).reshape(-1, 2)
         doc, sig, at, size = np.array([(*r[1:4], len(r[4]) // 8) for r, _ in go], dtype=np.int64).T
         words = pa.array([r[4] for r, _ in go], pa.binary())
-        yield _entry_batch(doc, sig, at, size, key=digests[:, 0], high=digests[:, 0], low=digests[:, 1], words=words)
+        key = np.array([r[5] for r, _ in go], dtype=np.int64)
+        key = np.where(np.isin(key, frequent.value.get(0, ())), digests[:, 0], key)
+        yield _entry_batch(doc, sig, at, size, key=key, high=digests[:, 0], low=digests[:, 1], words=words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
-        for docs, sigs, bounds, text, start, hashes in _asked_windows(batches, window, prefix):
-            breaks = np.flatnonzero((np.diff(start) != 1) | (np.diff(text) != 0)) + 1
-            edges = [0, *breaks.tolist(), len(start)]
-            for a, b in zip(edges, edges[1:]):
-                for i in range(a, b, STRETCH):  # counted from its start, so copies are cut alike
-                    j = min(b, i + STRETCH)
-                    t, words = int(text[i]), hashes[start[i] : start[j - 1] + window].tobytes()
-                    digest = hashlib.blake2b(words, digest_size=16).digest()
-                    rows.append((digest, int(docs[t]), int(sigs[t]), int(start[i] - bounds[t]), words))
-                    held += j - i
-                    if held >= TASK_ROWS:
-                        yield from flush(rows)
-                        rows, held = [], 0
-                        pa.default_memory_pool().release_unused()
+        for docs, sigs, bounds, text, start, filed, hashes in _asked_windows(batches, window, prefix):
+            if not len(start):
+                continue
+            head = _stretch_heads(text, start)
+            lowest = np.minimum.reduceat(filed, head).tolist()
+            for i, j, low in zip(head.tolist(), [*head[1:].tolist(), len(start)], lowest):
+                t, words = int(text[i]), hashes[start[i] : start[j - 1] + window].tobytes()
+                digest = hashlib.blake2b(words, digest_size=16).digest()
+                rows.append((digest, int(docs[t]), int(sigs[t]), int(start[i] - bounds[t]), words, low))
+                held += j - i
+                if held >= TASK_ROWS:
+                    yield from flush(rows)
+                    rows, held = [], 0
+                    pa.default_memory_pool().release_unused()
         if rows:
             yield from flush(rows)
 
@@ -256,7 +275,7 @@ _ENTRY = (
 
 
 def _entries(window: int, prefix: int, frequent):
-    """Suffixes (key, doc, sig, at, high, words) of stretches sorted by (done, high, low, doc); `done` rows pass through.
+    """Suffixes (key, doc, sig, at, high, words) of stretches sorted by (done, key, high, low, doc); `done` rows pass through.
 
     Of equal stretches all but the smallest document's are done, and of equal windows that the task holds.
     """
@@ -279,7 +298,7 @@ def _entries(window: int, prefix: int, frequent):
         words = words[go]
         key = _fold(words[:, : lengths[0]], lengths[0]).view(np.int64)
         for n, longer in zip(lengths, lengths[1:]):
-            crowded = np.isin(key, frequent.value[n]) if n in frequent.value else np.zeros(len(key), dtype=bool)
+            crowded = np.isin(key, frequent.value.get(n, ()))
             key[crowded] = _fold(words[crowded, :longer], longer).view(np.int64)
         # the leading bytes of each word's hash, in the order of bytes
         data = np.ascontiguousarray(words.astype(">u8").view(np.uint8).reshape(len(words), window, 8)[:, :, :_PART])
@@ -469,8 +488,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group_r
     def met(rows: DataFrame) -> DataFrame:
         return rows.repartition(F.when(F.col("done"), F.xxhash64("doc")).otherwise(F.xxhash64("key")))
 
-    stretches = met(told(docs).mapInArrow(_stretches(window, prefix), _ENTRY)).sortWithinPartitions("done", "high", "low", "doc")
-    entries = stretches.mapInArrow(_entries(window, prefix, spark.sparkContext.broadcast(frequent)), _ENTRY).drop("low")
+    plan = spark.sparkContext.broadcast(frequent)
+    stretches = met(told(docs).mapInArrow(_stretches(window, prefix, plan), _ENTRY)).sortWithinPartitions("done", "key", "high", "low", "doc")
+    entries = stretches.mapInArrow(_entries(window, prefix, plan), _ENTRY).drop("low")
     leaves = met(entries).sortWithinPartitions("done", "words", "high", "doc", "at")
     return stored(leaves.mapInArrow(_subtrees(window), _REPEAT), "repeats")
 
