@@ -125,7 +125,7 @@ def test_graph_finds_what_brute_force_finds():
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     graph = SmallWorld.build(v)
     beam = audited_beam(graph, 0.98)
-    got = sum(len(graph.above(graph.vectors[i], 0.98, beam)) for i in range(len(v)))
+    got = len(graph.above(graph.vectors, 0.98, beam)[0])
     assert got >= 0.97 * (v @ v.T >= 0.98).sum()
 
 
@@ -178,6 +178,11 @@ def test_near_vectors(spark, shard_rows):
     assert sorted((r.vec_id is None, r.vec_id or 0, r.n_links, r.component_id) for r in got) == want
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
     assert near_vectors(df.limit(0)).count() == 0
+    # labels of any type, also beyond 32 bits
+    for label in ("concat('label ', label)", "CAST(label AS BIGINT) + 5000000000"):
+        other = near_vectors(df.selectExpr("vec_id", "embedding", f"{label} AS label"), shard_rows=shard_rows)
+        key = lambda r: repr((r.vec_id, r.n_links, r.component_id, r.kept))
+        assert sorted(map(key, other.collect())) == sorted(map(key, got))
 
 
 def test_pipeline_stages_follow_their_operators(spark):
