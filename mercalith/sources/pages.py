@@ -29,11 +29,13 @@ def write_pages(df: DataFrame, path: str, order_by: list[str] | None = None, row
     keys = order_by or [ROW_ID]
     rest = [c for c in df.columns if c not in keys]
     order = [*[F.col(quoted(c)) for c in keys], *[F.to_json(F.struct(F.col(quoted(c)))) for c in rest]]
-    files = max(1, -(-df.count() // rows_per_file))
+    total = df.count()
+    files = max(1, -(-total // rows_per_file))
     ranged = df.repartitionByRange(files, *order).sortWithinPartitions(*order)
     # the sort is kept on writing, one task and file for each range
     placed = ranged.withColumn(_FILE, F.spark_partition_id()).withColumn(_PLACE, F.monotonically_increasing_id())
-    placed.write.partitionBy(_FILE).parquet(f"{path}/rows")
+    # without rows there is no partition, only the columns
+    (placed.write.partitionBy(_FILE) if total else placed.write).parquet(f"{path}/rows")
     spark = df.sparkSession
     sizes = spark.read.parquet(f"{path}/rows").groupBy(_FILE).agg(F.count("*").alias("n"), F.min(_PLACE).alias("first"))
     # a row for each file
