@@ -10,9 +10,9 @@ import html
 import re
 from collections.abc import Iterator
 
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 # elements whose content is no markup
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
+RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template"))
 # what the start of one element closes, up to the nearest of the second group
 _CLOSES = {
     "li": (("li",), ("ul", "ol", "menu")),

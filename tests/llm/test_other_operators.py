@@ -58,6 +58,115 @@ def test_templates_recur_on_a_host(spark):
     assert extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "inside",
+    [
+        '<div class="post-header"><h1>T</h1></div>', '<p class="related">T</p>', '<h2 id="social">T</h2>', '<section class="related-work"><p>T</p></section>',
+        '<p class="notice-period">T</p>', '<div class="ad-hoc">T</div>', '<section id="notice">T</section>', "<p><math><mi>T</mi></math></p>", "<svg><text>T</text></svg>",
+    ],
+)
+def test_an_article_keeps_its_own(inside):
+    assert main_text(f"<article><p>a</p>{inside}<div class='ad'>no</div><ul class='comments'><li>no</li></ul></article>").split() == ["a", "T"]
+
+
+def plain_templates(pages):
+    """{host: (exact, shapes)} as nested tuples, counted in plain Python over what the second reading may delete."""
+    from mercalith.llm import extraction as x
+    from mercalith.llm.markup import parse
+
+    def exact(e):
+        return (e.name, e.marks.get("class", ""), *[" ".join(c.split()) if isinstance(c, str) else exact(c) for c in e.children if not isinstance(c, str) or c.split()])
+
+    def shape(e):
+        out = []
+        for c in e.children:
+            if not isinstance(c, str) and (not out or out[-1] != shape(c)):
+                out.append(shape(c))
+        return (e.name, e.marks.get("class", ""), *out)
+
+    def chars(e):
+        return sum(len(" ".join(c.split())) if isinstance(c, str) else chars(c) for c in e.children)
+
+    def walk(e, inside):
+        inside = inside or e.name in ("article", "main")
+        yield e, inside
+        if not (inside and e.name in x._PROSE):
+            for c in e.children:
+                if not isinstance(c, str):
+                    yield from walk(c, inside)
+
+    size = lambda s: 1 + sum(size(c) for c in s[2:])
+    marked = lambda s: bool(s[1]) or any(map(marked, s[2:]))
+    prose = lambda s: s[0] in x._PROSE or any(map(prose, s[2:]))
+    by_host = {}
+    for name, source in set(pages):
+        on = {}
+        for e, inside in walk(parse(source), False):
+            if x._may_recur(e, inside):
+                on["exact", exact(e)] = chars(e)
+                s = shape(e)
+                if not prose(s) and (marked(s) or size(s) > 2):
+                    on["shape", s] = max(on.get(("shape", s), 0), chars(e))
+        by_host.setdefault(name, []).append(on)
+    out = {}
+    for name, found in by_host.items():
+        for kind, share in (("exact", x.RECURS_SHARE), ("shape", x.SHAPE_SHARE)):
+            for s in {k for on in found for k in on if k[0] == kind}:
+                lengths = [on[s] for on in found if s in on]
+                if len(lengths) >= x.RECURS_ON and len(lengths) >= share * len(found):
+                    if kind == "exact" or max(lengths) <= max(x.SHORT_TEXT, 2 * min(lengths)):
+                        out.setdefault(name, set()).add(s)
+    return out
+
+
+def test_templates_are_those_that_plain_counting_finds(spark):
+    from mercalith.llm import extraction as x
+    from mercalith.llm.markup import parse
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").selectExpr("page_id", "url", "html")
+    pages = rows.select(x.host(rows.url).alias("host"), "html").where("host <> '' AND html IS NOT NULL")
+    got = {}
+    for r in x.templates(pages).collect():
+        got.setdefault(r.host, set()).add((r.by_shape, r.subtree))
+    want = plain_templates([(r.host, r.html) for r in pages.collect()])
+    assert {h: len(s) for h, s in got.items()} == {h: len(s) for h, s in want.items()}
+    # the template step changes pages by itself: without any rule on markup, menus and footers go
+    changed = 0
+    for r in pages.collect():
+        shapes = {h for by_shape, h in got.get(r.host, ()) if by_shape}
+        exact = {h for by_shape, h in got.get(r.host, ()) if not by_shape}
+        root = parse(r.html)
+        before = x._text_of(root, {}, set(), set(), False)
+        found = x.subtrees(root)
+        names = {e.name for e in _elements(root) if shapes and found[id(e)].shape in shapes}
+        changed += bool(names & {"nav", "footer"} or exact & {found[id(e)].exact for e in _elements(root)})
+        assert len(before) > 0 or not r.html
+    assert changed > 50
+
+
+def _elements(root):
+    stack = [root]
+    while stack:
+        e = stack.pop()
+        yield e
+        stack += [c for c in e.children if not isinstance(c, str)]
+
+
+def test_shapes_recur_whatever_they_say(spark):
+    """No article, and menus that differ by page."""
+    pages = [
+        (i, f"http://h.example/{i}", f"<div class='bar'><a>go {i}</a><a>to {i * 7}</a></div><div>own {i} {'word ' * (i * 40)}</div><ul><li><a>x{i}</a></li><li><a>y</a></li></ul>")
+        for i in range(12)
+    ]
+    pages += [(50 + i, f"http://few.example/{i}", f"<div class='bar'><a>go {i}</a></div>own {i}") for i in range(3)]
+    pages += [(70 + i, f"http://only.example/{i}", f"<div class='x'><i>only {i}</i></div>") for i in range(9)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    for i in range(12):
+        assert got[i].split() == ["own", str(i), *["word"] * (i * 40)]
+    assert all(got[50 + i] == f"go {i} own {i}" for i in range(3))  # too few pages to tell
+    assert all(got[70 + i] == f"only {i}" for i in range(9))  # shapes never leave a page without text
+
+
 def test_host(spark):
     df = spark.createDataFrame([("HTTP://U@Www.Example.org:80/a?b",), ("//x.y/z",), ("nothing",), (None,)], "url string")
     assert [r[0] for r in df.select(host(df.url)).collect()] == ["www.example.org", "x.y", "", ""]
