@@ -3,8 +3,10 @@
 For each language a probability is learned for every piece of a fixed public vocabulary.  The
 probability of a word is the sum, over all ways to cut it into pieces, of the product of the pieces'
 probabilities (a forward algorithm); a text's is the product over its words.  Words are runs of
-letters, lower case, with a space before the first letter, so that pieces that begin a word are
-pieces of their own.  Runs of more than PART letters are read in parts of PART letters.
+letters and the marks on them, lower case, with a space before the first, so that pieces that begin a
+word are pieces of their own.  Words may be of any length: up to SHORT characters the sums are taken
+as they are, many words at once; beyond that in logarithms, and beyond STEPWISE characters stretch by
+stretch, carrying only as many sums along as the longest piece has characters.
 
 Learning is the same sum with a backward pass: every word adds to each piece the share of its
 segmentations that use it (one step of expectation maximisation, from equal probabilities; more steps
@@ -17,6 +19,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,10 @@ from mercalith.llm.perfect_hash import mix
 from mercalith.llm.word_hashes import slices
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-PART = 20
+SHORT = 31  # a letter's smallest probability to this power is still a number
+STEPWISE = 256
+STRETCH = 1024
+MAX_LANGUAGES = 2000
 ITERATIONS = 1
 ADDED = 0.1  # added to every expected count
 STRANGE = 1e-9  # probability of a letter that is no piece
@@ -40,7 +46,7 @@ UNKNOWN = "und"
 
 @lru_cache(maxsize=2)
 def pieces(name: str = VOCABULARY) -> dict[str, int]:
-    """The vocabulary's pieces of letters, lower case, that can stand in a word, numbered from 1."""
+    """The vocabulary's pieces of letters and marks, lower case, that can stand in a word, numbered from 1."""
     found: dict[str, int] = {}
     with open(tokenizer_file(name), "rb") as f:
         for line in f:
@@ -49,7 +55,7 @@ def pieces(name: str = VOCABULARY) -> dict[str, int]:
             except UnicodeDecodeError:
                 continue
             body = text[1:] if text.startswith(" ") else text
-            if body.isalpha() and body == body.lower() and len(text) <= PART + 1:
+            if body and body == body.lower() and all(category(c)[0] in "LM" for c in body):
                 found.setdefault(text, len(found) + 1)
     return found
 
@@ -90,7 +96,10 @@ class PieceTable:
     def find(self, h: np.ndarray, i: int, j: int, power: np.uint64) -> np.ndarray:
         """The piece that each word's characters i to j are, -1 if none."""
         with np.errstate(over="ignore"):
-            key = h[:, j] - h[:, i] * power
+            return self.numbers(h[:, j] - h[:, i] * power)
+
+    def numbers(self, key: np.ndarray) -> np.ndarray:
+        """The piece of each hash, -1 if there is none."""
         at = (mix(key, 1) & np.uint64(self.mask)).astype(np.int64)
         out = np.where(self.keys[at] == key, self.values[at], -1)
         open_ = np.flatnonzero((out < 0) & (self.values[at] >= 0))
@@ -167,19 +176,41 @@ class Model:
                 a[j][on] += a[i][on] * self.p[ids[on]]
         return a
 
+    def _forward_logs(self, lattice: dict[tuple[int, int], np.ndarray], count: int, n: int) -> np.ndarray:
+        """`_forward` in logarithms."""
+        logs = np.log(self.p)
+        a = np.full((n + 1, count, self.p.shape[1]), -np.inf)
+        a[0] = 0.0
+        for (i, j), ids in lattice.items():
+            on = ids >= 0
+            a[j][on] = np.logaddexp(a[j][on], a[i][on] + logs[ids[on]])
+        return a
+
     def log_probabilities(self, words: list[str]) -> np.ndarray:
-        """log P(word) for each word (of at most PART + 1 characters) and language."""
+        """log P(word) for each word and language."""
         out = np.zeros((len(words), self.p.shape[1]))
         for n, rows in _by_length(words):
-            a = self._forward(self._lattice([words[r] for r in rows], n), len(rows), n)
-            out[rows] = np.log(a[n])
+            some = [words[r] for r in rows]
+            if n > STEPWISE:
+                out[rows] = [_LongWord(self, w).log_probability() for w in some]
+            elif n > SHORT:
+                out[rows] = self._forward_logs(self._lattice(some, n), len(rows), n)[n]
+            else:
+                out[rows] = np.log(self._forward(self._lattice(some, n), len(rows), n)[n])
         return out
 
     def expected(self, words: list[str], weights: np.ndarray) -> np.ndarray:
         """Expected uses of every piece, from words and how often each language has them."""
         out = np.zeros_like(self.p)
         for n, rows in _by_length(words):
+            if n > STEPWISE:
+                for r in rows:
+                    _LongWord(self, words[r]).add_expected(out, weights[r])
+                continue
             lattice = self._lattice([words[r] for r in rows], n)
+            if n > SHORT:
+                self._add_expected_logs(out, lattice, weights[rows], n)
+                continue
             a = self._forward(lattice, len(rows), n)
             b = np.zeros_like(a)
             b[n] = 1.0
@@ -193,36 +224,123 @@ class Model:
                     out[:, k] += np.bincount(ids[on], used[:, k], minlength=len(out))
         return out
 
+    def _add_expected_logs(self, out: np.ndarray, lattice: dict[tuple[int, int], np.ndarray], weights: np.ndarray, n: int) -> None:
+        logs = np.log(self.p)
+        a = self._forward_logs(lattice, len(weights), n)
+        b = np.full_like(a, -np.inf)
+        b[n] = 0.0
+        for (i, j), ids in reversed(lattice.items()):
+            on = np.flatnonzero(ids >= 0)
+            p = logs[ids[on]] + b[j][on]
+            b[i][on] = np.logaddexp(b[i][on], p)
+            used = np.exp(a[i][on] + p - a[n][on]) * weights[on]
+            for k in range(out.shape[1]):
+                out[:, k] += np.bincount(ids[on], used[:, k], minlength=len(out))
+
+
+class _LongWord:
+    """The sums over a word of any length, stretch by stretch and in logarithms.
+
+    a[j] of a stretch needs a of the `longest` characters before it only.  The backward pass goes through the
+    stretches from the last to the first and takes each one's forward sums again from where it began.
+    """
+
+    def __init__(self, model: Model, word: str):
+        self.model, self.n = model, len(word)
+        self.codes = np.frombuffer(word.encode("utf-32-le"), np.uint32)
+        self.logs = np.log(model.p)
+
+    def _pieces(self, begin: int, end: int) -> np.ndarray:
+        """ids[j - begin, l - 1]: the piece of l characters that ends before j, -1 if there is none."""
+        longest, table = self.model.longest, self.model.table
+        low = max(0, begin - longest)
+        h = table.hashes(self.codes[None, low:end])[0]
+        ids = np.full((end - begin + 1, longest), -1, dtype=np.int64)
+        power = np.uint64(1)
+        for size in range(1, longest + 1):
+            with np.errstate(over="ignore"):
+                power = power * _STEP
+                first = max(begin, low + size)
+                if first > end:
+                    break
+                j = np.arange(first, end + 1)
+                ids[j - begin, size - 1] = table.numbers(h[j - low] - h[j - low - size] * power)
+        if begin or end:
+            j = np.arange(max(begin, 1), end + 1)
+            ids[j - begin, 0] = np.maximum(ids[j - begin, 0], 0)  # a letter that is no piece
+        return ids
+
+    def _stretch(self, begin: int, end: int, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(a[begin - longest .. end], pieces) from the sums of the `longest` characters up to `begin`."""
+        longest = self.model.longest
+        ids = self._pieces(begin, end)
+        a = np.concatenate([before, np.full((end - begin, before.shape[1]), -np.inf)])
+        for j in range(1, end - begin + 1):
+            on = np.flatnonzero(ids[j] >= 0)
+            terms = a[longest + j - 1 - on] + self.logs[ids[j, on]]
+            most = terms.max(axis=0)
+            a[longest + j] = most + np.log(np.exp(terms - most).sum(axis=0))
+        return a, ids
+
+    def _walk(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(begin, end, sums before) of every stretch, and at last the sums at the word's end as (n, n, sums)."""
+        before = np.full((self.model.longest + 1, self.logs.shape[1]), -np.inf)
+        before[-1] = 0.0
+        for begin in range(0, self.n, STRETCH):
+            end = min(self.n, begin + STRETCH)
+            yield begin, end, before
+            before = self._stretch(begin, end, before)[0][-self.model.longest - 1 :]
+        yield self.n, self.n, before
+
+    def log_probability(self) -> np.ndarray:
+        *_, (_, _, last) = self._walk()
+        return last[-1]
+
+    def add_expected(self, out: np.ndarray, weights: np.ndarray) -> None:
+        longest = self.model.longest
+        stretches = list(self._walk())
+        whole = stretches[-1][2][-1]
+        ahead = np.full((longest, self.logs.shape[1]), -np.inf)  # b of what lies before a stretch's end, so far
+        b_end = np.zeros(self.logs.shape[1])
+        for begin, end, before in reversed(stretches[:-1]):
+            a, ids = self._stretch(begin, end, before)
+            b = np.full_like(a, -np.inf)
+            b[-1] = b_end
+            # pieces of later stretches that begin in this one or before it
+            b[-longest - 1 : -1] = np.logaddexp(b[-longest - 1 : -1], ahead)
+            for j in range(end - begin, 0, -1):
+                on = np.flatnonzero(ids[j] >= 0)
+                start = longest + j - 1 - on
+                p = self.logs[ids[j, on]] + b[longest + j]
+                b[start] = np.logaddexp(b[start], p)
+                used = np.exp(a[start] + p - whole) * weights
+                np.add.at(out, ids[j, on], used)
+            ahead, b_end = b[:longest], b[longest]
+
 
 def _by_length(words: list[str]) -> Iterator[tuple[int, np.ndarray]]:
     length = np.fromiter(map(len, words), np.int64, len(words))
     for n in np.unique(length):
         rows = np.flatnonzero(length == n)
-        for at in range(0, len(rows), 20_000):
-            yield int(n), rows[at : at + 20_000]
+        step = max(1, 20_000 * SHORT // max(SHORT, int(n)))
+        for at in range(0, len(rows), step):
+            yield int(n), rows[at : at + step]
 
 
 def _coded(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(distinct words, number of the word at each place, which text each place is in)."""
-    lists = pc.split_pattern_regex(pc.utf8_lower(texts), r"[^\p{L}]+")
+    lists = pc.split_pattern_regex(pc.utf8_lower(texts), r"[^\p{L}\p{M}]+")
     flat = lists.flatten()
     owner = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
-    size = np.asarray(pc.utf8_length(flat))
-    keep = size > 0
-    if (size > PART).any():
-        parts, whose = [], []
-        for i in np.flatnonzero(size > PART).tolist():
-            word = flat[i].as_py()
-            some = [word[k : k + PART] for k in range(0, len(word), PART)]
-            parts += some
-            whose += [owner[i]] * len(some)
-        keep &= size <= PART
-        flat = pa.concat_arrays([flat.filter(pa.array(keep)), pa.array(parts, flat.type)])
-        owner = np.concatenate([owner[keep], np.array(whose, dtype=np.int64)])
-    elif not keep.all():
-        flat, owner = flat.filter(pa.array(keep)), owner[keep]
     coded = pc.dictionary_encode(flat)
-    return [" " + w for w in coded.dictionary.to_pylist()], np.asarray(coded.indices).astype(np.int64), owner
+    index = np.asarray(coded.indices).astype(np.int64)
+    # a mark without any letter is no word
+    words = np.asarray(pc.match_substring_regex(coded.dictionary, r"\p{L}"))
+    if not words.all():
+        keep = words[index]
+        owner, index = owner[keep], (np.cumsum(words) - 1)[index[keep]]
+    listed = coded.dictionary.filter(pa.array(words)).to_pylist()
+    return [" " + w for w in listed], index, owner
 
 
 def _key(doc_id: str = "doc_id"):
@@ -232,7 +350,9 @@ def _key(doc_id: str = "doc_id"):
 def learn(docs: DataFrame, iterations: int = ITERATIONS, vocabulary: str = VOCABULARY) -> tuple[list[str], Model]:
     """Languages (by code point) and their model, from all rows of (text, lang) with a lang."""
     known = docs.filter("lang IS NOT NULL").select("text", "lang")
-    languages = sorted(r.lang for r in known.select("lang").distinct().collect())
+    languages = sorted(r.lang for r in known.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"lang has more than {MAX_LANGUAGES} values; a model has a column for each")
     number = {x: i for i, x in enumerate(languages)}
     model = Model.equal(len(languages), vocabulary)
     sent = docs.sparkSession.sparkContext

@@ -391,6 +391,66 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(lengths @ counts, sum(map(len, words)))
 
 
+def test_long_words_are_summed_whole(monkeypatch):
+    """Words beyond each limit, against the sum over all segmentations by recursion."""
+    from functools import lru_cache
+
+    from mercalith.llm import language
+
+    rng = np.random.default_rng(17)
+    model = Model.equal(2)
+    model.p = rng.random(model.p.shape) * 0.2
+    known = pieces()
+    assert all(p == p.lower() for p in known) and any(len(p) > 12 for p in known)
+
+    def total(word, k):
+        @lru_cache(None)
+        def rest(i):
+            if i == len(word):
+                return 1.0
+            out = 0.0
+            for j in range(i + 1, min(len(word), i + model.longest) + 1):
+                p = known.get(word[i:j], 0 if j == i + 1 else None)
+                out += 0 if p is None else model.p[p, k] * rest(j)
+            return out
+
+        return rest(0)
+
+    words = [" " + w for w in ("internationalization" * 3, "theandthing" * 9, "ꙮ" * 40, "हिन्दीभाषा" * 6, "abc", "x" * 33)]
+    want = np.log([[total(w, k) for k in range(2)] for w in words])
+    weights = rng.random((len(words), 2))
+    plain = model.expected([words[4]], weights[4:5])
+    results = []
+    for short, stepwise, stretch in ((31, 256, 1024), (31, 35, 16), (5, 6, 7), (1, 2, 64)):
+        monkeypatch.setattr(language, "SHORT", short)
+        monkeypatch.setattr(language, "STEPWISE", stepwise)
+        monkeypatch.setattr(language, "STRETCH", stretch)
+        assert np.allclose(model.log_probabilities(words), want)
+        results.append(model.expected(words, weights))
+        assert np.allclose(model.expected([words[4]], weights[4:5]), plain)
+    for r in results[1:]:
+        assert np.allclose(r, results[0])
+    # every character of a word is in one piece
+    lengths = np.zeros(len(model.p))
+    lengths[list(known.values())] = [len(x) for x in known]
+    lengths[0] = 1
+    assert np.allclose(lengths @ results[0], np.array(list(map(len, words))) @ weights)
+    assert np.isfinite(Model.equal(2).log_probabilities([" " + "ꙮ" * 50_000])).all()
+
+
+def test_words_keep_their_marks_and_ties_go_to_the_first(spark):
+    from mercalith.llm.language import _coded
+
+    words, index, owner = _coded(pa.array(["हिन्दी भाषा", "a\u0301b ̈ \u0301", "", "ab"], pa.large_string()))
+    assert [words[i] for i in index] == [" हिन्दी", " भाषा", " a\u0301b", " ab"] and owner.tolist() == [0, 0, 1, 3]
+    rows = [(i, "same words here", lang) for i, lang in enumerate("ba" * 10)] + [(100, "same words", None), (101, "\u0301", None)]
+    got = {r.doc_id: (r.lang_pred, round(r.score, 6)) for r in identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").where("doc_id < 16 OR doc_id > 50")).collect()}
+    learnt = [lang for i, _, lang in rows[:16] if zlib.crc32(str(i).encode()) % 4 != 2]
+    if learnt.count("a") == learnt.count("b"):
+        assert got[100] == ("a", 0.5)
+    assert got[100][0] in "ab" and got[101] == ("und", 0.0)
+
+
 def test_language(spark, docs, empty):
     sample = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = identify(clash(sample)).join(sample.select("doc_id", "lang"), "doc_id").toPandas()
