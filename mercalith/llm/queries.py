@@ -55,7 +55,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIX_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+         md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS k
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 3 * sum(size) AS lim,
@@ -72,7 +72,7 @@ t AS (
          CAST(least(lim, (SELECT max(level) FROM share) * w) AS DOUBLE) AS target FROM s),
 o AS (
   SELECT doc_id, d.source, size, source_size, target,
-         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, text
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, source, CAST(size AS BIGINT) AS size, source_size, target,

@@ -364,6 +364,17 @@ def test_mixing(spark, docs, empty):
     assert mix(empty).count() == 0
 
 
+def test_rows_without_an_id_are_spread(spark):
+    from mercalith.llm import mixing
+
+    rows = spark.range(6000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "concat_ws(' ', id, id % 7) AS text", "IF(id % 3 = 0, 'a', 'b') AS source")
+    sized = mixing._sized(rows, [])
+    assert sized.selectExpr("count(DISTINCT substring(_key, 1, 2)) AS n").first().n == 256
+    got = mix(rows).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    for r in got:
+        assert abs(r["sum(taken)"] - r["max(target)"]) <= 2
+
+
 def test_forward_sums_all_segmentations():
     rng = np.random.default_rng(7)
     model = Model.equal(2)
