@@ -105,7 +105,11 @@ def layout_of(paths: set[str]) -> Layout | None:
     exact = BY_FINGERPRINT.get(fingerprint(paths))
     if exact:
         return exact
-    fitting = [x for x in LAYOUTS if x.paths <= paths]
+    # a text may be given as a list of parts
+    whole = paths | {re.sub(r"\[\](\.\w+)?$", "", x) for x in paths}
+    # an empty conversation has no fields below it
+    whole |= {y for x in paths if x.endswith("[]") for z in LAYOUTS for y in z.paths if y.startswith(x + ".")}
+    fitting = [x for x in LAYOUTS if x.paths <= whole]
     return max(fitting, key=lambda x: len(x.paths), default=None)
 
 
@@ -127,7 +131,8 @@ def table_turns(rows: DataFrame) -> DataFrame:
     key = F.col("conv_id").cast("bigint").alias("conv_id")
     roles = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
     if layout.rows:
-        item = rows.select(key, F.posexplode(layout.rows).alias("turn", "m"))
+        # a conversation without turns keeps its place by one turn without role and text
+        item = rows.select(key, F.posexplode_outer(layout.rows).alias("turn", "m")).withColumn("turn", F.coalesce("turn", F.lit(0)))
         role = F.coalesce(F.col("m").getField(layout.role), F.lit(""))
         named = F.coalesce(F.element_at(roles, F.lower(role)), role)
         return item.select("conv_id", F.col("turn").cast("bigint"), named.alias("role"), text(F.col("m").getField(layout.text)).alias("text"))
@@ -141,7 +146,9 @@ def json_turns(records: DataFrame, column: str = "record") -> DataFrame:
     """Canonical turns of (conv_id, JSON text) records, each recognised by its own field paths.
 
     Records that are no JSON object or have no known layout give one turn of role `unknown` with
-    the record as text, so that nothing is lost silently.
+    the record as text, and so do items of a conversation that are no turn, at their place; a conversation without
+    items is one turn without role and text.  Texts given as parts are joined, parts that are no text as
+    JSON.  Nothing is lost silently.
     """
 
     def turns(record: str | None) -> list[tuple[str, str]]:
@@ -153,9 +160,10 @@ def json_turns(records: DataFrame, column: str = "record") -> DataFrame:
         if layout is None or layout.rows == "table":
             return [("unknown", record or "")]
         if layout.rows:
-            items = [x for x in value[layout.rows] if isinstance(x, dict)]
-            pairs = [(x.get(layout.role) or "", x.get(layout.text)) for x in items]
-            return [(ROLES.get(str(r).lower(), str(r)), _as_text(t)) for r, t in pairs]
+            items = value[layout.rows]
+            if not isinstance(items, list):
+                return [("unknown", record or "")]
+            return [_item_turn(x, layout) for x in items] or [("", "")]
         pairs = [(r, _as_text(value.get(f))) for r, f in layout.turns]
         return [(r, t) for r, t in pairs if t or r == LEARNED]
 
@@ -175,7 +183,18 @@ def json_turns(records: DataFrame, column: str = "record") -> DataFrame:
     return records.select(F.col("conv_id").cast("bigint"), F.col(column).cast("string")).mapInArrow(run, TURN)
 
 
+def _item_turn(item: object, layout: Layout) -> tuple[str, str]:
+    if not isinstance(item, dict) or not {layout.role, layout.text} & item.keys():
+        return "unknown", _as_text(item)
+    role = _as_text(item.get(layout.role))
+    return ROLES.get(role.lower(), role), _as_text(item.get(layout.text))
+
+
 def _as_text(value: object) -> str:
+    if isinstance(value, list):
+        return "".join(
+            x if isinstance(x, str) else x["text"] if isinstance(x, dict) and isinstance(x.get("text"), str) else _as_text(x) for x in value
+        )
     return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 

@@ -37,6 +37,7 @@ BATCH_PIECES = 8192
 LINE_PIECES = 512
 BATCH_LINES = 16
 END_ID = 2
+WANTED_KEYS = 50_000
 
 # white space behind a piece's first character, and white space as its first but for the space
 _INSIDE = re.compile(f"[{WHITE}]").search
@@ -242,7 +243,8 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     """(doc_id, copy, token_ids) for the non-NULL `doc_id` of `keys` that are in the store.
 
     A key goes to the writer partitions whose range holds it (their bounds are a table of bounded
-    size), from there to the shard, and is found by the shard's index without reading its keys.
+    size), from there to the shard, and is found by the shard's index without reading its keys.  Keys
+    that are not there cost a look at one shard each; a shard is asked for WANTED_KEYS at a time.
     """
     bounds = (
         read_shards(spark, path).groupBy("part")
@@ -287,7 +289,13 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     per_shard = (
         asked.mapInArrow(places, "doc_id bigint, part int").join(ranges, "part")
         .filter("doc_id BETWEEN first_key AND last_key")
-        .groupBy("part", "seq").agg(F.collect_list("doc_id").alias("wanted"))  # at most a shard's keys
+    )
+    # lists of about WANTED_KEYS, however many keys are asked for in the range of one shard
+    asked_of = per_shard.groupBy("part", "seq").agg(F.ceil(F.count("*") / WANTED_KEYS).alias("lists"))
+    group = F.pmod(F.xxhash64("doc_id"), F.col("lists"))
+    per_shard = (
+        per_shard.join(asked_of, ["part", "seq"]).groupBy("part", "seq", group.alias("list"))
+        .agg(F.collect_list("doc_id").alias("wanted")).drop("list")
     )
     return (
         read_shards(spark, path).drop("keys").join(per_shard, ["part", "seq"])

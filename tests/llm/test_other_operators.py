@@ -218,6 +218,25 @@ def test_layouts_are_recognised(spark):
         table_turns(spark.createDataFrame([(1,)], "something int"))
 
 
+def test_no_turn_vanishes(spark):
+    records = [
+        {"messages": [{"role": "user", "content": "a"}, "loose", 5, {"role": "assistant", "content": [{"type": "text", "text": "b"}, "c", {"url": "u"}]}]},
+        {"messages": []},
+        {"conversations": [{"from": "human", "value": None}, {"other": 1}]},
+        {"messages": "no list"},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "conv_id bigint, record string")
+    got = {}
+    for r in json_turns(df).orderBy("conv_id", "turn").collect():
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert got[0] == [("user", "a"), ("unknown", "loose"), ("unknown", "5"), ("assistant", 'bc{"url": "u"}')]
+    assert got[1] == [("", "")]
+    assert got[2] == [("user", ""), ("unknown", '{"other": 1}')]
+    assert len(got[3]) == 1 and got[3][0][0] == "unknown"
+    table = spark.createDataFrame([(1, []), (2, None), (3, [("user", "x")])], "conv_id bigint, messages array<struct<role: string, content: string>>")
+    assert sorted((r.conv_id, r.turn, r.role, r.text) for r in table_turns(table).collect()) == [(1, 0, "", ""), (2, 0, "", ""), (3, 0, "user", "x")]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 300)]
     links = chain + [(1000, 1001), (1001, 1000), (7, 7), (None, 3), (500, 400), (500, 401), (450, 401)]
@@ -331,3 +350,27 @@ def test_pipeline_stages_follow_their_operators(spark):
     empty = docs.limit(0)
     for _, stage in p.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_pipeline_with_awkward_rows(spark, tmp_path):
+    """Repeated and NULL ids, NULL texts, further columns with the names of results."""
+    import corpus_pipeline as p
+
+    words = "the of river stone light house and in was on".split()
+    rng = np.random.default_rng(9)
+    text = lambda n: " ".join(rng.choice(words, n)) + " " + " ".join(f"w{int(x)}" for x in rng.integers(0, 10**6, 20))
+    shared = " ".join(f"s{i}" for i in range(30))
+    rows = [(i, f"{text(60)} {shared if i % 4 == 0 else ''}", "en", f"s{i % 3}") for i in range(60)]
+    rows += [(7, text(50), "en", "s0"), (7, text(10) + " " + shared, "de", None), (7, "short", "en", "s0"), (None, text(70), None, "s1"), (None, None, None, None)]
+    rows += [(61, None, "en", "s1"), (62, "", "en", "s1"), rows[3], rows[3]]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs = docs.selectExpr("*", "1 AS sig", "'x' AS kept", "2 AS _key", "3 AS size", "4 AS passages", "5 AS fingerprint")
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    now = docs
+    for i, (name, stage) in enumerate(p.STAGES):
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{i}")
+        now = spark.read.parquet(f"{tmp_path}/{i}")
+        assert i == 4 or now.columns == docs.columns, name
+    assert now.count() > 20
+    assert p.run(spark, str(tmp_path)).count() == now.count()

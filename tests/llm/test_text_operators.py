@@ -125,6 +125,16 @@ def test_token_store(spark, docs, library, tmp_path):
         assert r.token_ids in [library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
 
 
+def test_lookup_of_keys_that_are_not_there(spark, tmp_path, monkeypatch):
+    from mercalith.llm import token_store
+
+    monkeypatch.setattr(token_store, "WANTED_KEYS", 7)
+    given = spark.range(0, 400, 2).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    path = write_store(given, f"{tmp_path}/store")
+    got = {r.doc_id for r in lookup(spark, path, spark.range(-100, 600).toDF("doc_id")).collect()}
+    assert got == set(range(0, 400, 2))
+
+
 def repeat_words(w):
     seen = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
     return len({j for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)})
@@ -158,6 +168,63 @@ def test_quality_counts_and_verdicts(spark, docs, empty):
     assert quality(more, labels.limit(0)).filter("NOT base_failed AND NOT kept").count() == 0
 
 
+def plain_verdicts(texts, trusted):
+    """(score, good) of each text by dictionaries: counts of hashed n-grams, log ratios, their mean, the threshold."""
+    import math
+
+    import regex
+    import xxhash
+
+    from mercalith.llm.quality import BINS, LOW_END
+
+    cut = regex.compile(r"[\x20\x09-\x0D]+|(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}\x20\x09-\x0D])", regex.V1)
+    of_long = lambda x, seed: xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed)
+
+    def bins(text):
+        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in cut.split((text or "").strip(" \t\n\x0b\x0c\r"))]
+        signed = lambda x: x - 2**64 if x >= 2**63 else x
+        pairs = [of_long(y, of_long(x, 42)) for x, y in zip(h, h[1:])]
+        return [signed(x) % BINS for x in [*h, *pairs]]
+
+    corpus, good = collections.Counter(range(BINS)), collections.Counter(range(BINS))
+    for i, t in texts:
+        corpus.update(bins(t))
+        if i in trusted:
+            good.update(bins(t))
+    n, m = sum(corpus.values()), sum(good.values())
+    score = lambda t: sum(math.log(good[b] / m) - math.log(corpus[b] / n) for b in bins(t)) / len(bins(t))
+    scores = [score(t) for _, t in texts]
+    low, middle = np.percentile([s for s, (i, _) in zip(scores, texts) if i in trusted], [100 * LOW_END, 50])
+    return scores, 2 * low - middle
+
+
+def test_the_verdict_is_the_plain_likelihood_ratio(spark):
+    rng = np.random.default_rng(12)
+    pool = ["the", "of", "river.", "stone,", "light", "house", "and", "in"]
+    texts = [" ".join(rng.choice(pool, 40)) for _ in range(60)] + [" ".join(rng.choice([f"z{i}!" for i in range(50)], 40)) for _ in range(30)]
+    texts += [texts[0], texts[0], texts[70], texts[70], "", None, " \n ", "one", "(a) b--c"]
+    rows = [*enumerate(texts), (3, "repeated id of a trusted one"), (None, "no id")]
+    more = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    trusted = set(range(20))
+    labels = spark.createDataFrame([(i, 1, 0) for i in trusted] + [(5, 1, 0), (40, 0, 1)], "doc_id bigint, quality int, toxic int")
+    want, threshold = plain_verdicts(rows, trusted)
+    got = quality(more.repartition(3), labels).collect()
+    plain = sorted((repr((i, t)), s, s >= threshold) for (i, t), s in zip(rows, want))
+    found = sorted((repr((r.doc_id, r.text)), r.score, r.kept, r.base_failed) for r in got)
+    assert len(plain) == len(found)
+    for (a, s, good), (b, t, kept, failed) in zip(plain, found):
+        assert a == b and abs(s - t) < 1e-9
+        assert abs(s - threshold) < 1e-9 or kept == (good and not failed)
+
+
+def test_a_score_at_the_threshold_is_kept(spark):
+    """All texts alike: every score is the threshold."""
+    text = " ".join(f"w{i}" for i in range(40))
+    more = spark.createDataFrame([(i, text, "en", "s", 1) for i in range(9)], SCHEMA)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id bigint, quality int, toxic int")
+    assert {r.kept for r in quality(more, labels).collect()} == {True}
+
+
 def fingerprint(text):
     import xxhash
 
