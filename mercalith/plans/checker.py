@@ -43,6 +43,7 @@ CAID, MID = "CAID", "AcquirerMerchantID"
 RESULT_COLUMNS = ("Violations", "violation_id", "violated_column")
 SAMPLE_ROWS = 10
 PARALLEL_JOBS = 8
+MAX_OVERRIDES = 10_000
 
 
 @dataclass(frozen=True)
@@ -59,7 +60,10 @@ def effective_rules(overrides: DataFrame | Iterable[dict] | None = None) -> list
     enabled); a NULL field leaves the built-in value.  Ids unknown to the registry are user
     rules and need SQL."""
     if isinstance(overrides, DataFrame):
-        overrides = [row.asDict() for row in overrides.toLocalIterator()]
+        rows = overrides.limit(MAX_OVERRIDES + 1).collect()
+        if len(rows) > MAX_OVERRIDES:
+            raise ValueError(f"more than {MAX_OVERRIDES} rule overrides")
+        overrides = [row.asDict() for row in rows]
     edits = {o["id"]: {k: v for k, v in o.items() if v is not None} for o in overrides or ()}
     chosen = []
     for rule_id in [*RULES, *[i for i in edits if i not in RULES]]:

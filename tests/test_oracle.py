@@ -21,7 +21,8 @@ def test_every_query_has_its_check():
 
 @pytest.mark.parametrize("name", list(oracle_sql()))
 def test_same_result(spark, db, name):
-    assert compare(queries()[name](spark, SF_DIR), db, oracle_sql()[name]) in (None, "both empty")
+    # two empty results prove nothing
+    assert compare(queries()[name](spark, SF_DIR), db, oracle_sql()[name]) is None
 
 
 def test_entry(spark):
