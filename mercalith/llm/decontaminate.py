@@ -68,11 +68,8 @@ def _parts(items: DataFrame, window: int) -> DataFrame:
     return rows.select("item", F.array_join(F.slice("w", F.col("at").cast("int") + 1, PART_WORDS), " ").alias("part"))
 
 
-def _blocks(items: DataFrame, window: int, block_bytes: int) -> list[list[tuple[str, str]]]:
-    """The parts in blocks of at most `block_bytes`, or of one part that is larger alone.
-
-    One block after the other is on the driver; their sizes are known before any is fetched.
-    """
+def _blocks(items: DataFrame, window: int, block_bytes: int) -> tuple[DataFrame, int]:
+    """(item, part, block) and the number of blocks, of at most `block_bytes`, or of one part that is larger alone."""
     parts = stored(_parts(items, window), "test-items")
     size = F.sum(F.octet_length("part") + 1)
     total = parts.agg(size).first()[0] or 0
@@ -81,9 +78,7 @@ def _blocks(items: DataFrame, window: int, block_bytes: int) -> list[list[tuple[
         dealt = parts.withColumn("block", F.pmod(F.xxhash64("item", "part"), F.lit(n)).cast("int"))
         worst = dealt.groupBy("block").agg(size.alias("size"), F.count("*").alias("n")).filter("n > 1").agg(F.max("size")).first()[0]
         if (worst or 0) <= block_bytes:
-            return [
-                [tuple(r) for r in dealt.filter(F.col("block") == b).select("item", "part").collect()] for b in range(n)
-            ]
+            return dealt, n
         n *= 2
 
 
@@ -237,16 +232,19 @@ def contamination(
     judged one by one, so repeated ids and ties need no rule, and a text is read whole in one task.
     """
     sc = docs.sparkSession.sparkContext
-    blocks = _blocks(items, window, block_bytes)
+    dealt, blocks = _blocks(items, window, block_bytes)
     now = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     kinds = {f.name: f.dataType.simpleString() for f in now.schema}
-    for i, block in enumerate(blocks):
-        last = i == len(blocks) - 1
+    for i in range(blocks):
+        # one block at a time is on the driver; its size is known before it is fetched
+        block = sc.broadcast([tuple(r) for r in dealt.filter(F.col("block") == i).select("item", "part").collect()])
+        last = i == blocks - 1
         keep = with_text or not last
         schema = ", ".join([*(f"`{c}` {k}" for c, k in kinds.items() if keep or c != "text"), _FOUND])
-        scan = _scan(next(_numbers), sc.broadcast(block), window, list(kinds), i > 0, keep)
-        now = now.mapInArrow(scan, schema)
-        now = now if last else stored(now, "hits")
+        now = now.mapInArrow(_scan(next(_numbers), block, window, list(kinds), i > 0, keep), schema)
+        if not last:
+            now = stored(now, "hits")
+            block.unpersist()
     return now
 
 

@@ -175,6 +175,7 @@ def _plans(spark, vocabulary: DataFrame, sample_words: int, cell_words: int) ->
     sizes = {r["len"]: r["n"] for r in vocabulary.groupBy(size).agg(F.count("*").alias("n")).filter(F.col("n") > cell_words).collect()}
     if not sizes:
         return {}
+    # a row for each length with a cell's worth of words and more
     table = spark.createDataFrame(sorted(sizes.items()), "len int, many bigint")
     chosen = vocabulary.select("word", size).join(F.broadcast(table), "len")
     chosen = chosen.filter(F.pmod(F.xxhash64("word"), F.col("many")) < sample_words)
