@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercalith.session import scratch_path, stored
 
-__all__ = ["SPACES", "ids_bytes", "scratch_path", "sf_table", "stored", "tokenizer_file", "words"]
+__all__ = ["SPACES", "ids_bytes", "release_memory", "scratch_path", "sf_table", "stored", "tokenizer_file", "words"]
 
 # the characters that separate words: space and U+0009 to U+000D
 SPACES = " \t\n\x0b\x0c\r"
@@ -43,3 +45,19 @@ def ids_bytes(ids) -> bytes:
     import numpy as np
 
     return np.asarray(ids, dtype="<u4").tobytes()
+
+
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return lambda _: 0
+
+
+def release_memory() -> None:
+    """Give memory that is free inside this worker process back to the machine; workers outlive their tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    _trim()(0)

@@ -35,14 +35,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercalith.llm.common import stored
+from mercalith.llm.common import release_memory, stored
 from mercalith.llm.perfect_hash import mix
-from mercalith.llm.word_hashes import SLICE_BYTES, gram_hashes, slices, word_hashes
+from mercalith.llm.word_hashes import gram_hashes, slices, word_hashes
 
 WINDOW = 13
 PREFIX = 7
 GROUP_ROWS = 200_000
 TASK_ROWS = 100_000
+SLICE_BYTES = 1_000_000
+BATCH_TEXTS = 1000
 STRETCH = 4096
 SAMPLE_DOCS = 2000
 # bytes of a word's hash that order the leaves; equal windows agree in these of each word and in 64 bits of the whole
@@ -112,7 +114,7 @@ def _probes(window: int, prefix: int):
         anchors, docs, held = [], [], 0
         for batch in batches:
             ids = np.asarray(batch.column("doc_id"))
-            for at, part in slices(batch.column("text")):
+            for at, part in slices(batch.column("text"), SLICE_BYTES):
                 _, anchor, text, _ = _anchors(*word_hashes(part), window, prefix)
                 anchors.append(anchor)
                 docs.append(ids[at + text])
@@ -120,7 +122,7 @@ def _probes(window: int, prefix: int):
                 if held >= TASK_ROWS:
                     yield flush(np.concatenate(anchors), np.concatenate(docs))
                     anchors, docs, held = [], [], 0
-                    pa.default_memory_pool().release_unused()
+                    release_memory()
         if held:
             yield flush(np.concatenate(anchors), np.concatenate(docs))
 
@@ -261,7 +263,7 @@ def _stretches(window: int, prefix: int, frequent):
                 if held >= TASK_ROWS:
                     yield from flush(rows)
                     rows, held = [], 0
-                    pa.default_memory_pool().release_unused()
+                    release_memory()
         if rows:
             yield from flush(rows)
 
@@ -329,11 +331,11 @@ def _entries(window: int, prefix: int, frequent):
                 if held >= TASK_ROWS:
                     yield from flush(*(np.concatenate(x) for x in zip(*parts)))
                     parts, held = [], 0
-                    pa.default_memory_pool().release_unused()
+                    release_memory()
             if again:
                 columns = np.array(again, dtype=np.int64).T
                 yield _entry_batch(*columns[:3], columns[6], first=columns[3:6])
-            pa.default_memory_pool().release_unused()
+            release_memory()
         if held:
             yield from flush(*(np.concatenate(x) for x in zip(*parts)))
 
@@ -404,7 +406,7 @@ def _subtrees(window: int):
                 yield _repeat_batch(*found)
             before = int(high[-1]), words[-1].copy()
             first = [int(x[-1]) for x in firsts]
-            pa.default_memory_pool().release_unused()
+            release_memory()
 
     return run
 
@@ -421,13 +423,13 @@ def packed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in (whole.slice(at, BATCH_TEXTS) for whole in batches for at in range(0, len(whole), BATCH_TEXTS)):
             texts = pc.fill_null(batch.column("text"), "").cast(pa.binary())
             small = pa.array([pack.compress(x.as_py()) for x in texts], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [small if c == "text" else batch.column(c) for c in batch.schema.names], names=batch.schema.names
             )
-            pa.default_memory_pool().release_unused()
+            release_memory()
 
     schema = ", ".join(
         f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema
@@ -531,7 +533,7 @@ def maximal_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def _cut(others: list[str], as_is: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in (whole.slice(at, BATCH_TEXTS) for whole in batches for at in range(0, len(whole), BATCH_TEXTS)):
             total, removed, kept = [], [], []
             for text, passages in zip(batch.column("text"), batch.column("passages")):
                 whole = unpack.decompress(text.as_py())
@@ -553,7 +555,7 @@ def _cut(others: list[str], as_is: bool):
                  pa.array(kept, pa.binary()).cast(pa.string())],
                 names=[*others, "n_words", "n_removed", "kept_text"],
             )
-            pa.default_memory_pool().release_unused()
+            release_memory()
 
     return run
 
