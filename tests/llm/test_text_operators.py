@@ -15,7 +15,7 @@ from mercalith.llm.common import tokenizer_file
 from mercalith.llm.language import Model, identify, pieces
 from mercalith.llm.mixing import mix, mixed_documents
 from mercalith.llm.perfect_hash import MinimalPerfectHash
-from mercalith.llm.quality import accepted, quality
+from mercalith.llm.quality import accepted, exact_percentiles, quality
 from mercalith.llm.simhash import deduplicated, near_duplicates
 from mercalith.llm.substrings import remove_repeats, without_repeats
 from mercalith.llm.token_store import lookup, scan_store, store_digest, write_store
@@ -225,6 +225,21 @@ def test_a_score_at_the_threshold_is_kept(spark):
     assert {r.kept for r in quality(more, labels).collect()} == {True}
 
 
+def test_every_trusted_document_counts(spark):
+    """All documents are trusted, so both models are the same and every score is exactly 0."""
+    more = spark.range(20_100).selectExpr("id AS doc_id", "concat('word', id, ' and word', id % 97) AS text")
+    labels = more.selectExpr("doc_id", "1 AS quality")
+    assert quality(more, labels).where("score <> 0").count() == 0
+
+
+def test_exact_percentiles(spark):
+    rng = np.random.default_rng(5)
+    for values in (rng.normal(size=1001), rng.integers(0, 4, 500).astype(float), np.array([2.5]), np.array([1.0, 4.0])):
+        frame = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(7)
+        assert np.allclose(exact_percentiles(frame, [0.002, 0.5, 1.0]), np.percentile(values, [0.2, 50, 100]), rtol=1e-12, atol=0)
+    assert exact_percentiles(spark.createDataFrame([], "v double"), [0.5]) is None
+
+
 def fingerprint(text):
     import xxhash
 
