@@ -78,6 +78,15 @@ def test_samples_skip_nulls_and_follow_the_order(spark):
     assert list(got.sample_values) == ["v18", "v16", "v14"]
 
 
+def test_samples_sort_no_whole_column(spark):
+    df = spark.sql("SELECT * FROM VALUES (2, 'b', null), (1, 'z', null), (null, 'q', null), (1, 'a', null) AS v(k, v, none)")
+    found = profile.sample_values({"t": df}, {"t": ["k"]}, k=3)
+    got = {r.column_name: list(r.sample_values) for r in found.collect()}
+    assert got == {"k": ["1", "1", "2"], "v": ["q", "a", "z"], "none": []}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" in plan and "Window" not in plan
+
+
 def test_composite_key(spark):
     df = spark.sql("SELECT * FROM VALUES (1, 1), (1, 2), (2, 1) AS v(a, b)")
     assert discovery.composite_key_check(df, ["a", "b"]).collect()[0].is_key
