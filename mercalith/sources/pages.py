@@ -1,9 +1,9 @@
 """Pages of a large table without ranking it: a range-partitioned dataset and its directory.
 
-`write_pages` sorts the rows once by key, in ranges of about ROWS_PER_FILE, one file each, and writes a
-directory with a row for each file: how many rows it has and how many stand before it.  `read_page`
-looks the page up there and opens the files that hold it, which are one or two unless a page is longer
-than a file.
+`write_pages` sorts the rows once by key, in ranges of about ROWS_PER_RANGE that are cut into files of
+`rows_per_file`, and writes a directory with a row for each file: how many rows it has and how many stand
+before it.  `read_page` looks the page up there and opens the files that hold it, which are one or two
+unless a page is longer than a file or meets the short last file of a range; no other file is listed.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from mercalith.spec import ROW_ID
 
 PAGE_SIZE = 50
 ROWS_PER_FILE = 100_000
+# rows sorted by one task; the driver chooses the ranges from a few rows of each
+ROWS_PER_RANGE = 250_000
 _FILE, _PLACE = "_file", "_place"
 
 
@@ -30,10 +32,13 @@ def write_pages(df: DataFrame, path: str, order_by: list[str] | None = None, row
     rest = [c for c in df.columns if c not in keys]
     order = [*[F.col(quoted(c)) for c in keys], *[F.to_json(F.struct(F.col(quoted(c)))) for c in rest]]
     total = df.count()
-    files = max(1, -(-total // rows_per_file))
-    ranged = df.repartitionByRange(files, *order).sortWithinPartitions(*order)
-    # the sort is kept on writing, one task and file for each range
-    placed = ranged.withColumn(_FILE, F.spark_partition_id()).withColumn(_PLACE, F.monotonically_increasing_id())
+    ranges = max(1, -(-total // max(rows_per_file, ROWS_PER_RANGE)))
+    ranged = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    # a place is the number of the range and, in its lower 33 bits, that of the row in it; a range has at
+    # most as many files as all rows
+    within, files = f"{_PLACE} & 8589934591", max(1, -(-total // rows_per_file))
+    numbered = f"shiftright({_PLACE}, 33) * {files} + ({within}) DIV {rows_per_file}"
+    placed = ranged.withColumn(_PLACE, F.monotonically_increasing_id()).withColumn(_FILE, F.expr(numbered))
     # without rows there is no partition, only the columns
     (placed.write.partitionBy(_FILE) if total else placed.write).parquet(f"{path}/rows")
     spark = df.sparkSession
@@ -54,9 +59,12 @@ def files_of_page(spark: SparkSession, path: str, number: int = 1, size: int = P
 def read_page(spark: SparkSession, path: str, number: int = 1, size: int = PAGE_SIZE) -> DataFrame:
     """Page `number` of what `write_pages` wrote, in order, as text with NULL shown as ''; empty behind the end."""
     held = files_of_page(spark, path, number, size)
-    rows = spark.read.parquet(f"{path}/rows")
+    # behind the end any one file tells the columns
+    some = held or spark.read.parquet(f"{path}/directory").limit(1).collect()
+    places = [f"{path}/rows/{_FILE}={r[_FILE]}" for r in some] or [f"{path}/rows"]
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(*places)
     shown = [c for c in rows.columns if c not in (_FILE, _PLACE)]
-    rows = rows.where(F.col(_FILE).isin([r[_FILE] for r in held]))
+    rows = rows if held else rows.limit(0)
     if held:
         # a file's rows are numbered one after the other
         start = (number - 1) * size
