@@ -33,20 +33,15 @@ from mercalith.spec import DEFAULT_STRATEGY, ROW_ID, RULES, SPARK_TYPES, TARGET_
 _ORDER = ("source_row_id", "column_no")
 
 
-def locate_rows(hits: DataFrame, target: DataFrame, mode: str = "first") -> DataFrame:
-    """`hits` plus `located`, the target row a correction of the hit goes to.
+_IDS = (f"CAST({CAID} AS STRING) AS _caid", f"CAST({MID} AS STRING) AS _mid")
 
-    Mode `first` is the first target row with the same identifiers, compared as text; a NULL
-    identifier is left out of the comparison and a hit with both NULL is dropped.  Mode
-    `exact` is the violating row itself.
 
-    One lookup table answers all hits in one join: the smallest row of every pair, and of every
-    single identifier with the other one NULL.
+def first_rows_of_ids(target: DataFrame, hits: Iterable[DataFrame] = ()) -> DataFrame:
+    """_caid, _mid, located: the smallest row of every pair, and of every single identifier with the other one NULL.
+
+    With `hits` only for the identifiers that occur there, so that one small lookup serves several rules.
     """
-    if mode == "exact":
-        return hits.withColumn("located", F.col(ROW_ID))
-    ids = [f"CAST({CAID} AS STRING) AS _caid", f"CAST({MID} AS STRING) AS _mid"]
-    known = hits.sparkSession.sql(
+    known = target.sparkSession.sql(
         f"""
         SELECT key._caid, key._mid, min(located) AS located
         FROM (
@@ -58,9 +53,27 @@ def locate_rows(hits: DataFrame, target: DataFrame, mode: str = "first") -> Data
         WHERE key._caid IS NOT NULL OR key._mid IS NOT NULL
         GROUP BY key._caid, key._mid
         """,
-        ids=target.selectExpr(*ids, ROW_ID),
+        ids=target.selectExpr(*_IDS, ROW_ID),
     )
-    rows = hits.selectExpr("*", *ids).where("_caid IS NOT NULL OR _mid IS NOT NULL")
+    asked = [h.selectExpr(*_IDS) for h in hits]
+    if not asked:
+        return known
+    return join_groups(known, reduce(DataFrame.unionByName, asked).distinct(), ("_caid", "_mid"), null_safe=True)
+
+
+def locate_rows(hits: DataFrame, target: DataFrame, mode: str = "first", known: DataFrame | None = None) -> DataFrame:
+    """`hits` plus `located`, the target row a correction of the hit goes to.
+
+    Mode `first` is the first target row with the same identifiers, compared as text; a NULL
+    identifier is left out of the comparison and a hit with both NULL is dropped.  Mode
+    `exact` is the violating row itself.
+
+    One lookup table (`known`, or `first_rows_of_ids` of the target) answers all hits in one join.
+    """
+    if mode == "exact":
+        return hits.withColumn("located", F.col(ROW_ID))
+    known = first_rows_of_ids(target) if known is None else known
+    rows = hits.selectExpr("*", *_IDS).where("_caid IS NOT NULL OR _mid IS NOT NULL")
     found = join_groups(rows, known, ("_caid", "_mid"), "INNER", ("located",), null_safe=True)
     return found.drop("_caid", "_mid")
 
@@ -145,18 +158,38 @@ def _proposals(rule_id: str, columns: Iterable[str]) -> list[str]:
     return [_stub(0, first, "true", f"'Flagged by {rule_id}, needs {need}'", strategy)]
 
 
+# The columns that the proposals of a rule with a plan of its own read.
+_READ = {
+    "V1": ("AcquirerName", *NAME_FIELDS),
+    "V2": ("Street", "City", "DBAName"),
+    "V4": ("Street", "DBAName"),
+    "V5": ("AggregatorName", "DBAName", "BASEIIName"),
+    "V9": ("BusinessRegistrationID", "DBAName"),
+    "V12": ("BASEIIName", "DBAName", "LegalName"),
+}
+
+
+def columns_read(rule: Rule) -> list[str]:
+    """The columns of a hit that `propose_fixes` needs for `rule`."""
+    return list(dict.fromkeys([ROW_ID, CAID, MID, *_READ.get(rule.id, rule.columns[:1])]))
+
+
 def propose_fixes(
     target: DataFrame,
     rule: Rule,
     mode: str = "first",
     max_fixes: int | None = None,
     hits: DataFrame | None = None,
+    known: DataFrame | None = None,
 ) -> DataFrame:
-    """The proposals for one rule, all of them unless `max_fixes` asks for the first so many."""
+    """The proposals for one rule, all of them unless `max_fixes` asks for the first so many.
+
+    Where several rules are asked, `known` may be the stored `first_rows_of_ids` of all their hits.
+    """
     hits = run_rule(target, rule) if hits is None else hits
     proposals = ", ".join(_proposals(rule.id, rule.columns))
     found = (
-        locate_rows(hits, target, mode)
+        locate_rows(hits, target, mode, known)
         .selectExpr(f"{ROW_ID} AS source_row_id", f"located AS {ROW_ID}", f"inline(array({proposals}))")
         .where("column_no IS NOT NULL")
         .selectExpr(

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from mercalith.operators import content, discovery, inferred, mapping, profile_states
 from mercalith.plans import feeds
-from mercalith.plans.checker import check
+from mercalith.plans import remediation as fix
+from mercalith.plans.checker import check, effective_rules, run_rule
 from mercalith.sources import pages, sinks
 from workload.target_view import target
 
@@ -120,6 +121,35 @@ def test_pages_open_few_files(spark, tmp_path):
     assert pages.read_page(spark, pages.write_pages(rows.limit(0), str(tmp_path / "none"))).count() == 0
 
 
+def test_pages_need_few_ranges_and_list_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pages, "ROWS_PER_RANGE", 4000)
+    rows = spark.range(10_000).selectExpr("id % 3000 AS row_id", "CAST(id AS STRING) AS name")
+    path = pages.write_pages(rows, str(tmp_path / "pages"), rows_per_file=100)
+    written = spark.read.parquet(f"{path}/rows")
+    assert written.selectExpr("shiftright(_place, 33) AS r").distinct().count() <= 3  # not one range for each file
+    sizes = [r.n for r in spark.read.parquet(f"{path}/directory").collect()]
+    assert len(sizes) >= 100 and max(sizes) <= 100 and sum(sizes) == 10_000
+    want = [(r.row_id, r.name) for r in rows.selectExpr("*", "to_json(struct(name)) AS j").orderBy("row_id", "j").collect()]
+    for n in (1, 70, 81, 200):
+        page = pages.read_page(spark, path, n)
+        assert len(page.inputFiles()) <= 3
+        assert [(int(r.row_id), r.name) for r in page.collect()] == want[(n - 1) * 50 : n * 50]
+
+
+def test_one_lookup_serves_several_rules(spark):
+    """Fixes from a shared lookup and narrow hits are those that every rule finds by itself."""
+    rows = target(spark, SF_DIR)
+    rules = {r.id: r for r in effective_rules() if r.id in ("V1", "V5", "V7", "V10", "V12")}
+    hits = {r: run_rule(rows, rule).select(*fix.columns_read(rule)) for r, rule in rules.items()}
+    known = fix.first_rows_of_ids(rows, hits.values()).cache()
+    ids = {(r._caid, r._mid) for h in hits.values() for r in h.selectExpr(*fix._IDS).collect()}
+    assert {(r._caid, r._mid) for r in known.collect()} == ids - {(None, None)}
+    for r, rule in rules.items():
+        alone = fix.propose_fixes(rows, rule)
+        shared = fix.propose_fixes(rows, rule, hits=hits[r], known=known)
+        assert shared.count() and shared.exceptAll(alone).count() == alone.exceptAll(shared).count() == 0
+
+
 def test_pages_after_a_row_lose_no_tie(spark):
     rows = spark.sql("SELECT * FROM VALUES (1, 'a'), (1, 'b'), (1, 'c'), (2, NULL), (3, 'x') AS v(row_id, n)")
     first = sinks.page(rows, size=2).collect()

@@ -337,11 +337,13 @@ def _plans_sql() -> str:
 def plan_summary_all(spark, sf_dir):
     rows = target(spark, sf_dir)
     rules = {r.id: r for r in effective_rules()}
+    # the columns that proposals read, of every hit
+    hits = {r: stored(run_rule(rows, rules[r]).select(*fix.columns_read(rules[r])), "hits") for r in RULES}
+    known = stored(fix.first_rows_of_ids(rows, hits.values()), "first-rows")
     fixes, totals = [], []
-    for rule_id in RULES:
-        hits = stored(run_rule(rows, rules[rule_id]), "hits")
-        fixes.append(fix.propose_fixes(rows, rules[rule_id], hits=hits).select("rule_id", "strategy"))
-        totals.append(hits.agg(F.count("*").alias("total_affected")).selectExpr(f"'{rule_id}' AS rule_id", "total_affected"))
+    for rule_id, found_rows in hits.items():
+        fixes.append(fix.propose_fixes(rows, rules[rule_id], hits=found_rows, known=known).select("rule_id", "strategy"))
+        totals.append(found_rows.agg(F.count("*").alias("total_affected")).selectExpr(f"'{rule_id}' AS rule_id", "total_affected"))
     plan = fix.plan_summary(reduce(DataFrame.unionByName, fixes), reduce(DataFrame.unionByName, totals))
     return plan.select("rule_id", "total_affected", "summary")
 
