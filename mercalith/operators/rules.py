@@ -6,8 +6,8 @@ and the values compared inside a group; one shared plan evaluates them:
     groups = rows -> GROUP BY keys: count, min and max of each value's hash   map-side combine
     hits   = rows LEFT SEMI JOIN groups                                       one narrow shuffle
 
-"More than one distinct value" is min <> max of a hash of 128 bits in two numbers, so no distinct
-aggregate and no sort is needed, and a group of any size is reduced before it is shuffled.
+"More than one distinct value" is min <> max of a hash of 64 bits, so no distinct aggregate and no sort
+is needed, and a group of any size is reduced before it is shuffled.  Only values of one group are compared.
 """
 
 from __future__ import annotations
@@ -179,16 +179,20 @@ def _present(keys: tuple[str, ...], nonempty: tuple[str, ...]) -> str:
     return " AND ".join([*tests, *[f"{c} <> ''" for c in nonempty]])
 
 
-def _hashes(value: str) -> list[str]:
-    """Two independent 64-bit hashes of a value, NULL for NULL."""
-    return [f"IF({value} IS NULL, NULL, xxhash64({value}, {seed}))" for seed in (1, 2)]
+def _hash(value: str) -> str:
+    """A 64-bit hash of a value, NULL for NULL.
+
+    A second number from the same function would be as large in every shuffle and tell no more values apart:
+    its further arguments only go on from the hash of the first.
+    """
+    return f"IF({value} IS NULL, NULL, xxhash64({value}))"
 
 
 def flagged_groups(df: DataFrame, rule_id: str) -> DataFrame:
     """Keys of the groups that break the rule, with the number `n` of rows they hold."""
     rule = GROUP_RULES[rule_id]
     keys = ", ".join(rule.keys)
-    forms = [h for v in rule.values for h in _hashes(v)]
+    forms = [_hash(v) for v in rule.values]
     names = [f"_h{i}" for i in range(len(forms))]
     if rule.differ:
         broken = " OR ".join(f"min({h}) <> max({h})" for h in names)
@@ -225,7 +229,7 @@ NESTED = ("V3", "V10", "V11")
 def nested_states(df: DataFrame) -> DataFrame:
     """One row for each (_caid, _mid, _dba) with a CAID: the smallest and largest hashes of what the NESTED
     rules compare.  States merge by min and max, so the coarser groups are rolled up from these rows."""
-    forms = {f"_a{i}": h for i, h in enumerate(_hashes("_address"))} | {f"_l{i}": h for i, h in enumerate(_hashes("_legal"))}
+    forms = {"_a": _hash("_address"), "_l": _hash("_legal")}
     ranges = ", ".join(f"min({n}) AS lo{n}, max({n}) AS hi{n}" for n in forms)
     return df.sparkSession.sql(
         f"""
@@ -245,16 +249,16 @@ def nested_flags(states: DataFrame) -> DataFrame:
     `states` is read three times, so it should be a written table.
     """
     differ = lambda names: " OR ".join(f"min(lo{n}) <> max(hi{n})" for n in names)
-    hashed = lambda c: ", ".join(f"{h} AS lo_k{i}, {h} AS hi_k{i}" for i, h in enumerate(_hashes(c)))
+    hashed = lambda c: f"{_hash(c)} AS lo_k, {_hash(c)} AS hi_k"
     spark = states.sparkSession
     of_pair = spark.sql(
         f"""SELECT _caid, _mid, true AS _v10 FROM (SELECT *, {hashed("_dba")} FROM {{s}} WHERE _mid IS NOT NULL)
-        GROUP BY _caid, _mid HAVING {differ(("_l0", "_l1", "_k0", "_k1"))}""", s=states,
+        GROUP BY _caid, _mid HAVING {differ(("_l", "_k"))}""", s=states,
     )
     of_caid = spark.sql(
-        f"SELECT _caid, true AS _v11 FROM (SELECT _caid, {hashed('_mid')} FROM {{s}}) GROUP BY _caid HAVING {differ(('_k0', '_k1'))}", s=states
+        f"SELECT _caid, true AS _v11 FROM (SELECT _caid, {hashed('_mid')} FROM {{s}}) GROUP BY _caid HAVING {differ(('_k',))}", s=states
     )
-    own = "_mid IS NOT NULL AND _dba IS NOT NULL AND (lo_a0 <> hi_a0 OR lo_a1 <> hi_a1)"
+    own = "_mid IS NOT NULL AND _dba IS NOT NULL AND lo_a <> hi_a"
     broken = f"array_compact(array(CASE WHEN {own} THEN 'V3' END, CASE WHEN _v10 THEN 'V10' END, CASE WHEN _v11 THEN 'V11' END))"
     return (
         states.join(of_pair, ["_caid", "_mid"], "left")

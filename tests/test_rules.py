@@ -258,3 +258,16 @@ def test_nested_rules_find_the_same_rows_together_and_alone(spark):
     assert together == alone and {x[1] for x in together} == {"V3", "V10", "V11"}
     two = {(r.row_id, r.rule_id) for r in check(df, ["V10", "V11"]).long.collect()}
     assert two == {x[:2] for x in alone if x[1] != "V3"}
+
+
+def test_rows_without_a_group_leave_before_the_join(spark):
+    from mercalith.operators import groups
+
+    rows = spark.range(20000).selectExpr("id AS row_id", "IF(id % 100 = 0, NULL, CAST(id AS STRING)) AS k", "'x' AS l")
+    flagged = spark.sql("SELECT * FROM VALUES ('7', 'x'), (NULL, 'x'), ('8', 'y') AS v(k, l)")
+    left = groups._with_a_group(rows, flagged, ("k", "l"))
+    assert left.columns == rows.columns
+    assert 201 <= left.count() < 230  # those of a group, and few by chance
+    assert ids(groups.join_groups(rows, flagged, ("k", "l"))) == {7}
+    null_safe = groups.join_groups(rows, flagged, ("k", "l"), null_safe=True)
+    assert ids(null_safe) == {7, *range(0, 20000, 100)}
