@@ -14,10 +14,12 @@ values two columns share are sums over those rows.
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -225,6 +227,7 @@ def _pairs_frame(spark: SparkSession, pairs: list[tuple[Column, Column]]) -> Dat
 # ---- composite keys --------------------------------------------------------------------------
 
 SLICES = 64
+PARALLEL_TABLES = 4
 
 
 def composite_keys(df: DataFrame, max_columns: int | None = None, name: str = "t", distinct: dict[str, int] | None = None) -> DataFrame:
@@ -232,7 +235,7 @@ def composite_keys(df: DataFrame, max_columns: int | None = None, name: str = "t
 
     Level by level: sets of k columns none of whose parts is a key, each with a product of distinct counts
     that reaches the number of rows.  All sets of a level are tested together, twice: on the rows whose
-    hash of the set falls into one of SLICES slices (equal rows of a set fall into the same), which refutes
+    hash of one column of the set falls into one of SLICES slices (equal rows of a set fall into the same), which refutes
     nearly all, and the ones left over on all rows.  `distinct` may bring the distinct counts of the columns, else
     they are counted.  Without `max_columns` the search goes on until no set is left; it stops at once where whole
     rows repeat, as then no set of columns is a key.
@@ -256,9 +259,11 @@ def composite_keys(df: DataFrame, max_columns: int | None = None, name: str = "t
     keys: list[tuple[int, ...]] = [(i,) for i in at if sizes[i] == rows]
     rest = [i for i in at if sizes[i] < rows]
     found = []
-    if len(rest) > 1 and not _refuted(narrow, [tuple(rest)], None):
+    last = min(len(rest), max_columns or len(rest))
+    # the sets of one level are refuted by themselves, so whole rows need no test before it
+    if len(rest) > 1 and (last == 2 or not _refuted(narrow, [tuple(rest)], None)):
         level = 2
-        while level <= min(len(rest), max_columns or len(rest)):
+        while level <= last:
             sets = []
             for s in combinations(rest, level):
                 product = reduce(lambda a, b: a * b, (sizes[i] for i in s))
@@ -267,7 +272,7 @@ def composite_keys(df: DataFrame, max_columns: int | None = None, name: str = "t
             if not sets and not any(not any(set(k) <= set(s) for k in keys) for s in combinations(rest, level)):
                 break
             for part in (SLICES, None):
-                gone = _refuted(narrow, sets, part)
+                gone = _refuted(narrow, sets, part, sizes)
                 sets = [s for i, s in enumerate(sets) if i not in gone]
             keys += sets
             found += sets
@@ -276,23 +281,35 @@ def composite_keys(df: DataFrame, max_columns: int | None = None, name: str = "t
     return spark.createDataFrame(listed, schema)
 
 
-def _refuted(narrow: DataFrame, sets: list[tuple[int, ...]], slices: int | None) -> set[int]:
-    """The numbers of the sets that repeat, in a slice of the rows or in all; one aggregate for all sets."""
+def _refuted(narrow: DataFrame, sets: list[tuple[int, ...]], slices: int | None, sizes: list[int] | None = None) -> set[int]:
+    """The numbers of the sets that repeat, in a slice of the rows or in all; one aggregate for all sets.
+
+    A slice is that of the set's column with the most values (`sizes`; else its first): rows equal in the set are
+    equal there, and a row is hashed once for each column, and as a whole set in the slice only.
+    """
     if not sets:
         return set()
     # 128 bits: of two hashes with different seeds, as the second starts from the first
-    entries = ", ".join(
-        f"named_struct('s', {i}, 'h', xxhash64({cols}), 'g', xxhash64('#', {cols}))"
-        for i, cols in ((i, ", ".join(f"c{j}" for j in s)) for i, s in enumerate(sets))
-    )
-    some = f"filter(array({entries}), x -> pmod(x.h, {slices}) = 0)" if slices else f"array({entries})"
-    each = narrow.selectExpr(f"inline({some})")
+    entry = lambda i, cols: f"named_struct('s', {i}, 'h', xxhash64({cols}), 'g', xxhash64('#', {cols}))"
+    entries = [entry(i, ", ".join(f"c{j}" for j in s)) for i, s in enumerate(sets)]
+    if slices:
+        by = [max(s, key=lambda j: sizes[j]) if sizes else s[0] for s in sets]
+        inside = [f"pmod(xxhash64(c{j}), {slices}) = 0 AS in{j}" for j in sorted(set(by))]
+        kept = ", ".join(f"CASE WHEN in{j} THEN {e} END" for j, e in zip(by, entries))
+        some = narrow.selectExpr("*", *inside).where(" OR ".join(f"in{j}" for j in sorted(set(by))))
+        each = some.selectExpr(f"inline(array_compact(array({kept})))")
+    else:
+        each = narrow.selectExpr(f"inline(array({', '.join(entries)}))")
     twice = each.groupBy("s", "h", "g").agg(F.count("*").alias("n")).where("n > 1")
     return {r["s"] for r in twice.select("s").distinct().collect()}
 
 
 def table_composite_keys(tables: dict[str, DataFrame], max_columns: int | None = None) -> DataFrame:
-    """`composite_keys` of several tables."""
-    return reduce(DataFrame.unionByName, [composite_keys(df, max_columns, name) for name, df in tables.items()])
+    """`composite_keys` of several tables, which are searched side by side, so a small one fills idle cores."""
+    spark = next(iter(tables.values())).sparkSession
+    search = inheritable_thread_target(spark)(lambda name, df: composite_keys(df, max_columns, name))
+    with ThreadPoolExecutor(max_workers=PARALLEL_TABLES) as pool:
+        found = list(pool.map(search, tables, tables.values()))
+    return reduce(DataFrame.unionByName, found)
 
 

@@ -109,3 +109,20 @@ def test_slices_only_refute(spark):
     assert inclusion._refuted(narrow, [(0, 1), (1, 2)], 64) == set()
     few = narrow.where("c0 < 3").union(narrow.where("c0 = 1 AND c1 = 1"))
     assert inclusion._refuted(few, [(0, 1)], None) == {0}
+
+
+def test_a_row_is_hashed_as_a_set_in_its_slice_only(spark):
+    narrow = spark.range(4000).selectExpr("id % 3 AS c0", "id div 2 AS c1", "id % 2000 AS c2")
+    # rows of a set meet in the slice of the column with the most values
+    assert inclusion._refuted(narrow, [(0, 1), (1, 2), (0, 2)], 64, [3, 2000, 2000]) == set()
+    twice = narrow.union(narrow)
+    assert inclusion._refuted(twice, [(0, 1), (1, 2), (0, 2)], 64, [3, 2000, 2000]) == {0, 1, 2}
+
+
+def test_tables_are_searched_side_by_side_in_order(spark):
+    from mercalith.operators.inclusion import table_composite_keys
+
+    grid = spark.range(100).selectExpr("id div 10 AS a", "id % 10 AS b", "'x' AS c")
+    tables = {f"t{i}": grid for i in range(6)} | {"none": grid.limit(0), "twice": grid.union(grid)}
+    found = [(r.table_name, r.key_columns) for r in table_composite_keys(tables, 2).collect()]
+    assert found == [(f"t{i}", "a, b") for i in range(6)]
