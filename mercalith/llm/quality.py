@@ -36,22 +36,19 @@ def let(value: Column, body) -> Column:
 def _hashes(text: Column) -> Column:
     """Hashes of the words of a text and of the signs that follow them."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
-    cut = r"[\x20\x09-\x0D]+|(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}\x20\x09-\x0D])"
+    # what follows is looked at first, as it rules out nearly all places
+    cut = r"[\x20\x09-\x0D]+|(?=[^\p{L}\p{N}\x20\x09-\x0D])(?<=[\p{L}\p{N}])"
     return F.transform(F.split(trimmed, cut), lambda x: F.xxhash64(x))
 
 
-def ngram_bins(text: Column, bins: int = BINS) -> Column:
-    """The bin of every unigram and bigram of a text."""
-    return let(
-        _hashes(text),
-        lambda h: F.concat(
-            F.transform(h, lambda x: F.pmod(x, F.lit(bins)).cast("int")),
-            F.transform(
-                F.slice(h, 2, F.size(h)),
-                lambda x, i: F.pmod(F.xxhash64(F.get(h, i), x), F.lit(bins)).cast("int"),
-            ),
-        ),
-    )
+def _bigrams(h: Column) -> Column:
+    """Hashes of the neighbours in an array of hashes."""
+    return F.transform(F.slice(h, 2, F.size(h)), lambda x, i: F.xxhash64(F.get(h, i), x))
+
+
+def _bin(x: Column, bins: int) -> Column:
+    """The bin of a hash; `bins` is a power of two."""
+    return x.bitwiseAND(F.lit(bins - 1).cast("long")).cast("int")
 
 
 def repeat_words(found: Column, window: int = WINDOW) -> Column:
@@ -122,18 +119,20 @@ def base_counts(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     ).withColumn("base_failed", failed)
 
 
-def bin_counts(docs: DataFrame, bins: int = BINS) -> list[int]:
-    """How often each bin occurs in the texts, with one added to each count."""
-    n = [1] * bins
-    counted = docs.select(F.explode(ngram_bins(F.col("text"), bins)).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
-    for row in counted.collect():  # one row for each bin
+def bin_counts(docs: DataFrame, bins: int = BINS) -> tuple[list[int], list[int]]:
+    """How often each bin occurs in the `trusted` texts and in all, with one added to each count."""
+    t, n = [1] * bins, [1] * bins
+    grams = let(_hashes(F.col("text")), lambda h: F.concat(h, _bigrams(h)))
+    counted = docs.select("trusted", F.explode(grams).alias("gram")).groupBy(_bin(F.col("gram"), bins).alias("bin"))
+    for row in counted.agg(F.count_if("trusted").alias("t"), F.count("*").alias("n")).collect():  # one row for each bin
+        t[row.bin] += row.t
         n[row.bin] += row.n
-    return n
+    return t, n
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, bins: int = BINS) -> list[float]:
-    """log(trusted / corpus) for each bin, from all rows of both."""
-    t, n = bin_counts(trusted, bins), bin_counts(docs, bins)
+def log_ratios(docs: DataFrame, bins: int = BINS) -> list[float]:
+    """log(trusted / corpus) for each bin, from all rows; one pass counts both."""
+    t, n = bin_counts(docs, bins)
     sum_t, sum_n = sum(t), sum(n)
     return [math.log(a / sum_t) - math.log(b / sum_n) for a, b in zip(t, n)]
 
@@ -141,10 +140,11 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, bins: int = BINS) -> list[fl
 def score(text: Column, ratios: list[float]) -> Column:
     """The mean log ratio over a text's n-grams; NULL and blank texts score as one empty word."""
     weights = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
-    return let(
-        ngram_bins(text, len(ratios)),
-        lambda b: F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(weights, x)) / F.size(b),
-    )
+
+    def total(h: Column, begin: Column) -> Column:
+        return F.aggregate(h, begin, lambda a, x: a + F.get(weights, _bin(x, len(ratios))))
+
+    return let(_hashes(text), lambda h: total(_bigrams(h), total(h, F.lit(0.0))) / (2 * F.size(h) - 1))
 
 
 def exact_percentiles(values: DataFrame, shares: list[float]) -> list[float] | None:
@@ -153,8 +153,9 @@ def exact_percentiles(values: DataFrame, shares: list[float]) -> list[float] | N
     The distinct values are written once in ranges; the sizes of the ranges tell which of them hold the
     wanted places, and only those are ranked, so no task or driver holds more than a range.
     """
-    found = values.toDF("v").where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
-    ranged = stored(found.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "scores")
+    found = values.toDF("v").groupBy("v").agg(F.count("*").alias("n"))
+    # NULL leaves behind the written ranges: a filter before them would compute every value twice
+    ranged = stored(found.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "scores").where("v IS NOT NULL")
     # a row for each range
     sizes = sorted(tuple(r) for r in ranged.groupBy("part").agg(F.sum("n")).collect())
     total = sum(n for _, n in sizes)
@@ -182,8 +183,8 @@ def exact_percentiles(values: DataFrame, shares: list[float]) -> list[float] | N
     return [between(at) for at in places]
 
 
-def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The texts of all rows of `docs` whose id is labelled good; written, as they are read twice.
+def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, trusted) of all rows of `docs`: whether their id is labelled good.
 
     The ids are packed 64 to a row and written first, so Spark knows their size and, while they are small,
     brings them to the texts instead of shuffling those.
@@ -191,7 +192,7 @@ def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     word, bit = "shiftright(doc_id, 6) AS _word", "CAST(doc_id & 63 AS INT)"
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").selectExpr(word, f"shiftleft(1L, {bit}) AS bit")
     packed = stored(good.groupBy("_word").agg(F.expr("bit_or(bit) AS _bits")), "trusted-ids")
-    return stored(docs.selectExpr("*", word).join(packed, "_word").where(f"getbit(_bits, {bit}) = 1").select("text"), "trusted")
+    return docs.selectExpr("*", word).join(packed, "_word", "left").selectExpr("text", f"coalesce(getbit(_bits, {bit}) = 1, false) AS trusted")
 
 
 def quality(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -203,10 +204,10 @@ def quality(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> D
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
-    trusted = trusted_documents(rows, known)
-    ratios = log_ratios(rows, trusted)
+    known_rows = with_trust(rows, known)
+    ratios = log_ratios(known_rows)
     # as far below the low end of the trusted scores as their middle is above it
-    found = exact_percentiles(trusted.select(score(F.col("text"), ratios)), [LOW_END, 0.5])
+    found = exact_percentiles(known_rows.where("trusted").select(score(F.col("text"), ratios)), [LOW_END, 0.5])
     threshold = None if found is None else 2 * found[0] - found[1]
     judged = base_counts(rows, keep).withColumn("score", score(F.col("text"), ratios))
     good = F.lit(True) if threshold is None else F.col("score") >= F.lit(threshold)

@@ -563,3 +563,16 @@ def test_language(spark, docs, empty):
 def test_store_digest_of_nothing(empty):
     assert store_digest(empty).count() == 0
     assert encode_documents(empty).count() == 0
+
+
+def test_trust_is_a_flag_of_every_row_and_both_counts_come_from_one_pass(spark):
+    from mercalith.llm.quality import BINS, bin_counts, with_trust
+
+    rows = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "a, c"), (None, "d"), (70, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (70, 1), (None, 1)], "doc_id bigint, quality int")
+    known = with_trust(rows, labels)
+    assert sorted(tuple(r) for r in known.na.fill("").collect()) == [("", True), ("a b", True), ("a b", True), ("a, c", False), ("d", False)]
+    t, n = bin_counts(known)
+    # unigrams and bigrams: a b, a b, one empty word; besides a , c and d
+    assert (sum(t) - BINS, sum(n) - BINS) == (7, 7 + 5 + 1)
+    assert all(a <= b for a, b in zip(t, n))
