@@ -227,3 +227,18 @@ def test_reference_values_without_numbers_or_columns(spark):
     assert [r.value for r in detect(odd).collect()] == ["NaN"]
     none = {"t": spark.createDataFrame([(1,)], "x int")}
     assert options(none, {"t": ["x"]}).count() == 0
+
+
+def test_samples_of_dense_columns_share_one_search(spark):
+    """Ties at the cut, sparse and empty columns get what a search of their own finds."""
+    wide = [f"'{i}-' || id AS c{i}" for i in range(12)]
+    df = spark.range(500).selectExpr(
+        "id div 50 AS k", "id", *wide, "IF(id >= 300, 's' || (999 - id), NULL) AS sparse", "CAST(NULL AS INT) AS none"
+    )
+    for order in (["id"], ["k"], ["sparse", "id"]):
+        found = profile.sample_values({"t": df}, {"t": order}, k=3)
+        alone = [profile._top_values("t", df, c, order, 3) for c in df.columns]
+        got = {r.column_name: list(r.sample_values) for r in found.collect()}
+        assert got == {r.column_name: list(r.sample_values) for a in alone for r in a.collect()} and len(got) == 16
+    found = profile.sample_values({"t": df}, {"t": ["id"]}, k=3)
+    assert found._jdf.queryExecution().executedPlan().toString().count("TakeOrdered") < 10
