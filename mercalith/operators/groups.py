@@ -4,8 +4,8 @@ The rows stay on the left, the side that adaptive execution can split where a ke
 (`session.SESSION_CONF` lets it do so for every join kind used here); the right side has one row
 for each key, so nothing multiplies.  A small right side becomes a broadcast by its measured size.
 
-Where rows without a group are dropped, most of them are so before the shuffle: the hashes of the keys of
-all groups are set bits of a fixed number of words, which go to the rows.
+Where few rows have a group (`few`), most others are dropped before the shuffle: the hashes of the keys of
+all groups are set bits of a fixed number of words, which go to the rows.  This reads the groups twice.
 """
 
 from __future__ import annotations
@@ -41,6 +41,7 @@ def join_groups(
     carry: tuple[str, ...] = (),
     *,
     null_safe: bool = False,
+    few: bool = False,
 ) -> DataFrame:
     """Join `rows` to `groups` (unique on the string columns `keys`) by `how`.
 
@@ -49,7 +50,7 @@ def join_groups(
     same = "<=>" if null_safe else "="
     match = " AND ".join(f"r.{k} {same} g.{k}" for k in keys)
     carried = "".join(f", g.{c}" for c in carry)
-    if how in ("LEFT SEMI", "INNER"):
+    if few and how in ("LEFT SEMI", "INNER"):
         rows = _with_a_group(rows, groups, keys)
         # the keys are unique on the right; Spark would move a semi-join below the filter by bits
         how = "INNER"

@@ -387,7 +387,7 @@ def _touched_groups(target: DataFrame, old: DataFrame, new: DataFrame, rule_id:
     keyed = lambda df: df.select(*needed).selectExpr("*", *group_columns(rule.keys))
     some = keyed(old).select(*rule.keys).unionByName(keyed(new).select(*rule.keys))
     keys = some.where(" AND ".join(f"{k} IS NOT NULL" for k in rule.keys)).distinct()
-    within = lambda df: join_groups(keyed(df), keys, rule.keys).select(*needed)
+    within = lambda df: join_groups(keyed(df), keys, rule.keys, few=True).select(*needed)
     # read by the aggregate and by the join of either version
     before = stored(within(target), "touched")
     unchanged = before.join(old.select(ROW_ID), ROW_ID, "left_anti")

@@ -268,6 +268,6 @@ def test_rows_without_a_group_leave_before_the_join(spark):
     left = groups._with_a_group(rows, flagged, ("k", "l"))
     assert left.columns == rows.columns
     assert 201 <= left.count() < 230  # those of a group, and few by chance
-    assert ids(groups.join_groups(rows, flagged, ("k", "l"))) == {7}
-    null_safe = groups.join_groups(rows, flagged, ("k", "l"), null_safe=True)
+    assert ids(groups.join_groups(rows, flagged, ("k", "l"), few=True)) == {7}
+    null_safe = groups.join_groups(rows, flagged, ("k", "l"), null_safe=True, few=True)
     assert ids(null_safe) == {7, *range(0, 20000, 100)}
